@@ -111,48 +111,81 @@ def token_categories(c: Column | str) -> Column:
 
 def equipment_map(c: Column | str) -> Column:
     """map<string,int> category -> count, keys in order of first appearance."""
-    cats = F.filter(token_categories(c), lambda x: x.isNotNull())
+    return equipment_map_from_categories(token_categories(c))
+
+
+def equipment_map_from_categories(cats_with_nulls: Column) -> Column:
+    cats = F.filter(cats_with_nulls, lambda x: x.isNotNull())
     return F.map_from_entries(F.transform(
         F.array_distinct(cats),
         lambda k: F.struct(k.alias("key"), F.size(F.filter(cats, lambda x: x == k)).alias("value"))))
 
 
 def resource_vector(map_col: Column, categories: list[str] | None = None) -> Column:
-    """Dense array<double> of counts over ``categories`` (normative ones by default)."""
-    cats = categories or normative_categories()
-    return F.array(*[F.coalesce(F.element_at(map_col, F.lit(k)), F.lit(0)).cast("double") for k in cats])
+    """Dense array<double> of counts over ``categories`` (normative ones by default).
+
+    Built with one ``element_at`` per category rather than a lambda that captures
+    the map: a captured column counts as a single reference for Catalyst's
+    CollapseProject, which would then inline the upstream parse into the lambda
+    and re-run it once per category.
+    """
+    return F.array(*[F.coalesce(F.element_at(map_col, F.lit(k)), F.lit(0)).cast("double")
+                     for k in (categories or normative_categories())])
 
 
 def normalise(vec: Column, categories: list[str] | None = None, maxima: dict[str, int] | None = None) -> Column:
-    """Element-wise count / normative maximum, capped at 1."""
+    """Element-wise count / normative maximum, capped at 1 (0 where the maximum is 0)."""
     cats = categories or normative_categories()
     mx = maxima or normative_maxima()
-    return F.array(*[
-        (F.least(vec[i] / F.lit(float(mx.get(k, 1))), F.lit(1.0)) if mx.get(k, 1) > 0 else F.lit(0.0))
-        for i, k in enumerate(cats)])
+    mxs = F.array(*[F.lit(float(mx.get(k, 1))) for k in cats])
+    return F.zip_with(vec, mxs, lambda v, m: F.when(m > 0, F.least(v / m, F.lit(1.0))).otherwise(F.lit(0.0)))
+
+
+def _prototype_matrix(normatives=NORMATIVES):
+    """(per-category rows of prototype values, per-prototype (ord, rank)) in sort order."""
+    cats = normative_categories(normatives)
+    mx = normative_maxima(normatives)
+    ordered = sorted(normatives, key=lambda r: r[4])
+    protos = [[min(r[6].get(k, 0) / mx[k], 1.0) if mx[k] > 0 else 0.0 for k in cats] for r in ordered]
+    by_cat = [[protos[j][i] for j in range(len(ordered))] for i in range(len(cats))]
+    meta = [(r[4], float(r[0])) for r in ordered]
+    return by_cat, meta
+
+
+def nearest_from_norm(norm: Column, total: Column, normatives=NORMATIVES) -> Column:
+    """struct<rank, distance> nearest to an already-normalised vector; null when ``total`` <= 0.
+
+    ``norm`` is only ever an argument of ``zip_with`` (never captured by a
+    lambda), so it is evaluated once per row. Squared differences are summed in
+    category order, and ``array_min`` over (distance, sort order) keeps the
+    earlier rank on exact ties.
+    """
+    by_cat, meta = _prototype_matrix(normatives)
+    pm = F.array(*[F.array(*[F.lit(x) for x in row]) for row in by_cat])
+    sq = F.zip_with(norm, pm, lambda a, row: F.transform(row, lambda b: (a - b) * (a - b)))
+    zeros = F.array(*[F.lit(0.0) for _ in meta])
+    sums = F.aggregate(sq, zeros, lambda acc, row: F.zip_with(acc, row, lambda u, v: u + v))
+    info = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(r).alias("rank")) for o, r in meta])
+    cands = F.zip_with(sums, info, lambda d, m: F.struct(F.sqrt(d).alias("distance"), m["ord"].alias("ord"),
+                                                         m["rank"].alias("rank")))
+    best = F.array_min(cands)
+    return F.when(total > 0, F.struct(best["rank"].alias("rank"), best["distance"].alias("distance")))
+
+
+def vector_total(vec: Column) -> Column:
+    return F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
 
 
 def nearest_rank(vec: Column, normatives=NORMATIVES) -> Column:
     """struct<rank double, distance double>: closest normative prototype.
 
     Euclidean distance in normalised space; ties keep the earlier sort order;
-    an all-zero vector has no rank.
+    an all-zero vector has no rank. Prefer :func:`nearest_from_norm` on a
+    materialised normalised column inside wide plans.
     """
     cats = normative_categories(normatives)
     mx = normative_maxima(normatives)
-    norm = normalise(vec, cats, mx)
-    candidates = []
-    for rank, _label, _dn, _desc, order, _minc, proto in sorted(normatives, key=lambda r: r[4]):
-        p = [min(proto.get(k, 0) / mx[k], 1.0) if mx[k] > 0 else 0.0 for k in cats]
-        sq = None
-        for i in range(len(cats)):
-            term = (norm[i] - F.lit(p[i])) * (norm[i] - F.lit(p[i]))
-            sq = term if sq is None else sq + term
-        candidates.append(F.struct(F.sqrt(sq).alias("distance"), F.lit(order).alias("ord"),
-                                   F.lit(float(rank)).alias("rank")))
-    best = F.array_min(F.array(*candidates))
-    total = F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
-    return F.when(total > 0, F.struct(best["rank"].alias("rank"), best["distance"].alias("distance")))
+    return nearest_from_norm(normalise(vec, cats, mx), vector_total(vec), normatives)
 
 
 def rank_by_count(c: Column | str) -> Column:

@@ -127,11 +127,20 @@ def severity_rank(score: Column | str, quartiles: dict[float, float]) -> Column:
     return F.when(s == 0, F.lit(1.0)).when(s > 0, positive)
 
 
+def cleaning_statistics(stage1: DataFrame) -> tuple[dict[float, float], float | None]:
+    """Severity quartiles (positive scores) and the damage outlier limit in one pass set."""
+    both = stage1.select(F.when(F.col("severity_score") > 0, F.col("severity_score")).alias("sev_pos"),
+                         "direct_damage")
+    recs = exact_percentiles(both, ["sev_pos", "direct_damage"], [0.25, 0.5, 0.75, S.DAMAGE_OUTLIER_QUANTILE])
+    q = {r["p"]: r["value"] for r in recs if r["column"] == "sev_pos" and r["p"] < 0.9}
+    lim = [r["value"] for r in recs if r["column"] == "direct_damage" and r["p"] == S.DAMAGE_OUTLIER_QUANTILE]
+    return q, (lim[0] if lim else None)
+
+
 def clean(df: DataFrame, time_mode: str = "reference") -> DataFrame:
     """Typed, flagged incident table (identity is added by :func:`identity.event_identity`)."""
     stage1 = clean_stage1(df, time_mode)
-    q = severity_quantiles(stage1)
-    limit = damage_limit(stage1)
+    q, limit = cleaning_statistics(stage1)
     flag_damage = (_falsy(F.col("direct_damage") > F.lit(limit)) if limit is not None else F.lit(False))
     return stage1.select("*", severity_rank("severity_score", q).alias("rank_ref"),
                          flag_damage.alias("flag_damage_outlier"))

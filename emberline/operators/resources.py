@@ -15,17 +15,23 @@ from ..functions.text import strip
 
 
 def parse_diagnostics(df: DataFrame, text_col: str = "equipment", declared_col: str = "equipment_count") -> DataFrame:
-    """Category map, dense + normalised vectors and parse quality columns."""
-    text = F.col(text_col)
+    """Category map, dense + normalised vectors and parse quality columns.
+
+    Three stacked projections (tokens -> categories -> derived columns) so every
+    intermediate array is computed once and referenced by name afterwards.
+    """
     declared = F.col(declared_col).cast("double") if declared_col in df.columns else F.lit(None).cast("double")
-    s = strip(text)
-    empty = s.isNull() | (s == "")
-    toks = R.tokens(text)
-    cats = F.transform(toks, R.token_category)
-    n_parts = F.size(toks)
-    parsed = F.size(F.filter(cats, lambda x: x.isNotNull()))
-    ratio = F.when(n_parts > 0, parsed / n_parts).otherwise(F.lit(0.0))
-    delta = F.abs(parsed - declared)
+    s = strip(F.col(text_col))
+    t1 = df.select("*", (s.isNull() | (s == "")).alias("_empty"), R.tokens(F.col(text_col)).alias("_toks"),
+                   declared.alias("resource_count_declared"))
+    t2 = t1.select("*", F.transform("_toks", R.token_category).alias("_cats"))
+    n_parts = F.size("_toks")
+    parsed = F.size(F.filter("_cats", lambda x: x.isNotNull()))
+    t3 = t2.select("*", n_parts.alias("_nparts"), parsed.alias("_parsed"),
+                   R.equipment_map_from_categories(F.col("_cats")).alias("equipment_vector"))
+    empty, parsed = F.col("_empty"), F.col("_parsed")
+    ratio = F.when(F.col("_nparts") > 0, parsed / F.col("_nparts")).otherwise(F.lit(0.0))
+    delta = F.abs(parsed - F.col("resource_count_declared"))
     conflict = F.coalesce(delta > 0.01, F.lit(False))
     flags = F.array_compact(F.array(
         F.when(empty | (parsed == 0), F.lit(R.FLAG_MISSING)),
@@ -33,20 +39,15 @@ def parse_diagnostics(df: DataFrame, text_col: str = "equipment", declared_col:
         F.when(~empty & conflict, F.lit(R.FLAG_CONFLICT))))
     confidence = F.when(empty | (parsed == 0), F.lit(0.0)).otherwise(
         F.when(conflict, ratio * 0.5).otherwise(ratio))
-    emap = R.equipment_map(text)
-    dense = R.resource_vector(emap)
-    return df.select(
-        "*",
-        emap.alias("equipment_vector"),
-        dense.alias("resource_vector"),
-        R.normalise(dense).alias("equipment_vector_norm"),
-        F.round(confidence, 4).alias("resource_parse_confidence"),
-        flags.alias("resource_parse_flags"),
-        F.when(empty, F.lit(0)).otherwise(parsed).alias("resource_vector_sum"),
-        declared.alias("resource_count_declared"),
-        F.when(empty, F.lit(0)).otherwise(parsed).alias("resource_count_parsed"),
-        F.when(~empty, delta.cast("double")).alias("resource_count_conflict"),
-    )
+    t4 = t3.select("*", R.resource_vector(F.col("equipment_vector")).alias("resource_vector"),
+                   F.round(confidence, 4).alias("resource_parse_confidence"),
+                   flags.alias("resource_parse_flags"),
+                   F.when(empty, F.lit(0)).otherwise(parsed).alias("resource_vector_sum"),
+                   F.when(empty, F.lit(0)).otherwise(parsed).alias("resource_count_parsed"),
+                   F.when(~empty, delta.cast("double")).alias("resource_count_conflict"))
+    out = t4.select("*", R.normalise(F.col("resource_vector")).alias("equipment_vector_norm"),
+                    R.vector_total(F.col("resource_vector")).alias("_vtotal"))
+    return out.drop("_empty", "_toks", "_cats", "_nparts", "_parsed")
 
 
 def assign_rank(df: DataFrame, target: str = "vector", text_col: str = "equipment",
@@ -58,13 +59,13 @@ def assign_rank(df: DataFrame, target: str = "vector", text_col: str = "equipmen
             "usable_for_training", "rank_normative_version", "rank_quality_flags"}
     if target == "vector":
         d = parse_diagnostics(df.select(*[c for c in df.columns if c not in drop]), text_col, count_col)
+        d = d.select("*", R.nearest_from_norm(F.col("equipment_vector_norm"), F.col("_vtotal")).alias("_near"))
         flags = F.col("resource_parse_flags")
         blocked = F.array_contains(flags, R.FLAG_MISSING) | F.array_contains(flags, R.FLAG_PARTIAL)
-        near = R.nearest_rank(F.col("resource_vector"))
-        rank = F.when(~blocked, near["rank"])
-        dist = F.when(~blocked, near["distance"])
+        rank = F.when(~blocked, F.col("_near.rank"))
+        dist = F.when(~blocked, F.col("_near.distance"))
         usable = ~blocked & ~F.array_contains(flags, R.FLAG_CONFLICT) & rank.isNotNull()
-        out = d.select(*[c for c in d.columns if c != "resource_parse_flags"],
+        out = d.select(*[c for c in d.columns if c not in ("resource_parse_flags", "_near", "_vtotal")],
                        rank.alias("rank_tz_vector"), dist.alias("rank_distance"),
                        R.json_string_list(flags).alias("resource_parse_flags"),
                        (canonical & usable).alias("usable_for_training"),

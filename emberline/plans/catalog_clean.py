@@ -297,8 +297,8 @@ def r6_unparsed_report(spark, sf):
 def r7_nearest_rank(spark, sf):
     """Nearest normative prototype in normalised space (no parse-quality gating)."""
     d = RS.parse_diagnostics(V.stage1(spark, sf))
-    near = R.nearest_rank(F.col("resource_vector"))
-    return d.select(*K, near["rank"].alias("rank"), F.round(near["distance"], 6).alias("distance"))
+    d = d.select(*K, R.nearest_from_norm(F.col("equipment_vector_norm"), F.col("_vtotal")).alias("near"))
+    return d.select(*K, F.col("near.rank").alias("rank"), F.round("near.distance", 6).alias("distance"))
 
 
 @register("r8_count_proxy_rank", sql=lambda: _w(V.sql_stage1(),
