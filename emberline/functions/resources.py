@@ -168,8 +168,8 @@ def nearest_from_norm(norm: Column, total: Column, normatives=NORMATIVES) -> Col
     info = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(r).alias("rank")) for o, r in meta])
     cands = F.zip_with(sums, info, lambda d, m: F.struct(F.sqrt(d).alias("distance"), m["ord"].alias("ord"),
                                                          m["rank"].alias("rank")))
-    best = F.array_min(cands)
-    return F.when(total > 0, F.struct(best["rank"].alias("rank"), best["distance"].alias("distance")))
+    # struct<distance, ord, rank>: callers read .rank / .distance
+    return F.when(total > 0, F.array_min(cands))
 
 
 def vector_total(vec: Column) -> Column:

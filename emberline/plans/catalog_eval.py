@@ -1 +1,238 @@
-"""Registered queries."""
+"""Registered queries: profiles and distribution statistics (A*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import profiling as P
+from ..operators.cleaning import period_group
+from . import incidents as V
+from . import sqlblocks as B
+from .registry import register
+
+K = ["sheet_ord", "row_id"]
+KS = "sheet_ord, row_id"
+NUM = ["building_floors", "fire_floor", "distance_to_station", "fatalities", "injuries", "direct_damage"]
+
+
+def _w(chain, select: str) -> str:
+    return B.with_(*chain) + select
+
+
+def _r6(cols):
+    return [F.round(c, 6).alias(c) for c in cols]
+
+
+@register("a2_missing_report", sql=lambda: _w(V.sql_cleaned(), "SELECT \"column\", missing_pct FROM (" + " UNION ALL ".join(
+          f"SELECT '{c}' AS \"column\", round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100, 1) AS missing_pct FROM cleaned"
+          for c in ["region", "fire_date", "settlement_type", "building_floors", "fire_floor", "distance_to_station",
+                    "fatalities", "injuries", "direct_damage", "t_detect_min", "t_arrival_min", "t_first_hose_min",
+                    "equipment", "equipment_count", "source_item_code", "risk_category_code", "severity_score"])
+          + ") ORDER BY missing_pct DESC, \"column\" LIMIT 20"), ids=("A2", "T2"))
+def a2_missing_report(spark, sf):
+    """Missing % per column, highest first (a top-20 report)."""
+    cols = ["region", "fire_date", "settlement_type", "building_floors", "fire_floor", "distance_to_station",
+            "fatalities", "injuries", "direct_damage", "t_detect_min", "t_arrival_min", "t_first_hose_min",
+            "equipment", "equipment_count", "source_item_code", "risk_category_code", "severity_score"]
+    return P.missing_report(V.cleaned(spark, sf), cols, 20)
+
+
+def _a3_sql():
+    parts = [f"SELECT '{c}' AS column, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
+             f"min({c}) AS min, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, "
+             f"round(quantile_cont({c}, 0.75), 6) AS q75, max({c}) AS max FROM stage1" for c in NUM]
+    return _w(V.sql_stage1(), " UNION ALL ".join(parts))
+
+
+@register("a3_numeric_summary", sql=_a3_sql, ids=("A3",))
+def a3_numeric_summary(spark, sf):
+    """count, mean, sample std, min, exact quartiles, max per numeric column."""
+    d = P.describe(V.stage1(spark, sf), NUM)
+    return d.select("column", "count", *_r6(["mean", "std"]), "min", *_r6(["q25", "q50", "q75"]), "max")
+
+
+def _a4_sql(by: str | None):
+    cols = ["building_floors", "distance_to_station", "direct_damage", "t_detect_min"]
+    g = f", {by}" if by else ""
+    gsel = f"{by}, " if by else ""
+    where = f"WHERE {by} IS NOT NULL" if by else ""
+    parts = []
+    for c in cols:
+        parts.append(
+            f"SELECT '{c}' AS column, {gsel}count({c}) AS count, count_if({c} IS NULL) AS missing, round(avg({c}), 6) AS mean, "
+            f"round(stddev_pop({c}), 6) AS std, round(quantile_cont({c}, 0.5), 6) AS median, "
+            f"round(quantile_cont({c}, 0.05), 6) AS q05, round(quantile_cont({c}, 0.25), 6) AS q25, "
+            f"round(quantile_cont({c}, 0.75), 6) AS q75, round(quantile_cont({c}, 0.95), 6) AS q95, "
+            f"round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6) AS iqr, "
+            f"round((SELECT quantile_cont(abs(x.{c} - m.med), 0.5) FROM src x, (SELECT quantile_cont({c}, 0.5) AS med "
+            f"FROM src y WHERE {('y.' + by + ' = s.' + by) if by else 'true'}) m WHERE {('x.' + by + ' = s.' + by) if by else 'true'}), 6) AS mad, "
+            f"min({c}) AS min, max({c}) AS max FROM src s {where} GROUP BY ALL")
+    return parts
+
+
+def _robust_cols():
+    return ["building_floors", "distance_to_station", "direct_damage", "t_detect_min"]
+
+
+def _robust_out(d, by):
+    return d.select("column", *by, "count", "missing", *_r6(["mean", "std", "median", "q05", "q25", "q75", "q95", "iqr",
+                                                             "mad"]), "min", "max")
+
+
+@register("a4_robust_summary", sql=lambda: _w(V.sql_stage1() + ["src AS (SELECT * FROM stage1)"],
+          " UNION ALL ".join(_a4_sql(None))), ids=("A4", "A12"))
+def a4_robust_summary(spark, sf):
+    """count, missing, mean, population std, median, q05/25/75/95, IQR, MAD, min, max."""
+    return _robust_out(P.robust_summary(V.stage1(spark, sf), _robust_cols()), [])
+
+
+@register("a11_rank_conditional_profile", sql=lambda: _w(V.sql_labelled() + ["src AS (SELECT * FROM labelled)"],
+          " UNION ALL ".join(_a4_sql("rank_tz"))), ids=("A11", "A12"))
+def a11_rank_conditional_profile(spark, sf):
+    """Robust summary per vector rank (labelled rows only)."""
+    lab = V.labelled(spark, sf).where(F.col("rank_tz").isNotNull())
+    return _robust_out(P.robust_summary(lab, _robust_cols(), ["rank_tz"]), ["rank_tz"])
+
+
+@register("a5_value_counts", sql=lambda: _w(V.sql_stage1(),
+          "SELECT value, count, share, pos FROM (SELECT value, count, round(count / sum(count) OVER (), 6) AS share, "
+          "row_number() OVER (ORDER BY count DESC, value) AS pos FROM (SELECT coalesce(cast(region_code AS varchar), "
+          "'__missing__') AS value, count(*) AS count FROM stage1 GROUP BY 1)) WHERE pos <= 10"), ids=("A5", "T2"))
+def a5_value_counts(spark, sf):
+    """Top-10 region codes with ``__missing__`` and shares (ties by value)."""
+    return P.value_counts(V.stage1(spark, sf), "region_code", 10)
+
+
+@register("a5_value_counts_by_rank", sql=lambda: _w(V.sql_labelled(),
+          "SELECT rank_tz, value, count, share, pos FROM (SELECT rank_tz, value, count, round(count / sum(count) OVER "
+          "(PARTITION BY rank_tz), 6) AS share, row_number() OVER (PARTITION BY rank_tz ORDER BY count DESC, value) AS pos "
+          "FROM (SELECT rank_tz, coalesce(cast(fire_protection_code AS varchar), '__missing__') AS value, count(*) AS count "
+          "FROM labelled GROUP BY 1, 2)) WHERE pos <= 3"), ids=("A5", "A11", "W4"))
+def a5_value_counts_by_rank(spark, sf):
+    """Top-3 fire-protection codes per rank (first N per group)."""
+    return P.value_counts(V.labelled(spark, sf), "fire_protection_code", 3, by=["rank_tz"])
+
+
+@register("a6_max_row", sql=lambda: _w(V.sql_stage1(),
+          "SELECT 'direct_damage' AS column, direct_damage AS max_value, region, fire_date, object_name, source_sheet, "
+          f"sheet_ord, row_id FROM stage1 WHERE direct_damage IS NOT NULL ORDER BY direct_damage DESC, {KS} LIMIT 1"),
+          ids=("A6",))
+def a6_max_row(spark, sf):
+    """The record holding the maximum damage (one aggregate with min_by)."""
+    return P.max_row(V.stage1(spark, sf), "direct_damage",
+                     ["region", "fire_date", "object_name", "source_sheet", "sheet_ord", "row_id"], K)
+
+
+_FLAGS = ["flag_date_outlier", "flag_floor_outlier", "flag_distance_outlier", "flag_floor_inconsistent",
+          "flag_negative_values", "flag_damage_outlier", "flag_time_invalid", "flag_missing_outputs"]
+
+
+@register("a7_flag_rates", sql=lambda: _w(V.sql_cleaned(), " UNION ALL ".join(
+          f"SELECT '{f}' AS flag, count_if({f}) AS count, round(avg(CAST({f} AS DOUBLE)), 6) AS rate, "
+          f"round(avg(CAST(({' OR '.join(_FLAGS)}) AS DOUBLE)), 6) AS any_flag_share FROM cleaned" for f in _FLAGS)),
+          ids=("A7",))
+def a7_flag_rates(spark, sf):
+    """Count and rate of each quality flag and the share of rows with any flag."""
+    return P.flag_rates(V.cleaned(spark, sf), _FLAGS)
+
+
+_CORR = ["building_floors", "fire_floor", "distance_to_station", "direct_damage", "t_detect_min", "t_report_min",
+         "equipment_count", "nozzle_count"]
+
+
+@register("a8_pearson_matrix", sql=lambda: _w(V.sql_stage1(), " UNION ALL ".join(
+          f"SELECT '{a}' AS a, '{b}' AS b, round(coalesce(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 0.0), 4) AS r FROM stage1"
+          for a in _CORR for b in _CORR)), ids=("A8",))
+def a8_pearson_matrix(spark, sf):
+    """Pairwise-complete Pearson matrix in one aggregate (null -> 0, round 4)."""
+    return P.pearson_matrix(V.stage1(spark, sf), _CORR)
+
+
+@register("a9_spearman", sql=lambda: _w(V.sql_labelled() + [
+          "sp AS (SELECT equipment_count AS a, rank_tz AS b FROM labelled WHERE equipment_count IS NOT NULL AND rank_tz IS NOT NULL)",
+          "spr AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, "
+          "rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM sp)"],
+          "SELECT round(corr(ra, rb), 6) AS spearman, count(*) AS n FROM spr"), ids=("A9", "W3"))
+def a9_spearman(spark, sf):
+    """Spearman rho between declared equipment count and vector rank (exact average ranks)."""
+    r = P.spearman(V.labelled(spark, sf), "equipment_count", "rank_tz")
+    return r.select(F.round("spearman", 6).alias("spearman"), "n")
+
+
+@register("a10_crosstab", sql=lambda: _w(V.sql_labelled() + [
+          "cv AS (SELECT coalesce(cast(region_code AS varchar), '__missing__') AS value, rank_tz FROM labelled)",
+          "tops AS (SELECT value FROM cv GROUP BY value ORDER BY count(*) DESC, value LIMIT 20)",
+          "cells AS (SELECT value, rank_tz AS target, count(*) AS n FROM cv WHERE rank_tz IS NOT NULL AND value IN "
+          "(SELECT value FROM tops) GROUP BY 1, 2)"],
+          "SELECT value, target, round(n / sum(n) OVER (PARTITION BY value), 4) AS share FROM cells"), ids=("A10",))
+def a10_crosstab(spark, sf):
+    """Row-normalised crosstab: top-20 region codes x vector rank."""
+    return P.crosstab_share(V.labelled(spark, sf), "region_code", "rank_tz", 20)
+
+
+def _a14_sql():
+    return _w(V.sql_stage1() + ["mm AS (SELECT min(direct_damage_log) AS lo, max(direct_damage_log) AS hi FROM stage1)"],
+              "SELECT bin, round(lo + bin * ((hi - lo) / 50), 6) AS lower, round(lo + (bin + 1) * ((hi - lo) / 50), 6) AS upper, "
+              "count(*) AS count FROM (SELECT CAST(least(floor((direct_damage_log - lo) / ((hi - lo) / 50)), 49) AS INTEGER) "
+              "AS bin, lo, hi FROM stage1, mm WHERE direct_damage_log IS NOT NULL) GROUP BY bin, lo, hi")
+
+
+@register("a14_histogram", sql=_a14_sql, ids=("A14",))
+def a14_histogram(spark, sf):
+    """50 equal-width bins of log1p(damage) between its min and max."""
+    return P.histogram(V.stage1(spark, sf), "direct_damage_log", 50)
+
+
+@register("a14_box_by_period", sql=lambda: _w(V.sql_stage1() + [
+          "bx AS (SELECT CASE WHEN year IS NULL THEN NULL WHEN year <= 2008 THEN '<=2008' ELSE '>2008' END AS period_group, "
+          "direct_damage_log AS v FROM stage1)"],
+          "SELECT period_group, count(*) AS count, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median, "
+          "round(quantile_cont(v, 0.75), 6) AS q3, round(greatest(min(v), quantile_cont(v, 0.25) - 1.5 * (quantile_cont(v, 0.75) - "
+          "quantile_cont(v, 0.25))), 6) AS whisker_low, round(least(max(v), quantile_cont(v, 0.75) + 1.5 * (quantile_cont(v, 0.75) - "
+          "quantile_cont(v, 0.25))), 6) AS whisker_high FROM bx WHERE period_group IS NOT NULL AND v IS NOT NULL GROUP BY period_group"),
+          ids=("A14", "P13"))
+def a14_box_by_period(spark, sf):
+    """Box statistics of log1p(damage) by period group (exact quartiles per group)."""
+    df = V.stage1(spark, sf).select(period_group("year").alias("period_group"), "direct_damage_log")
+    b = P.box_stats(df, "direct_damage_log", "period_group")
+    return b.select("period_group", "count", *_r6(["q1", "median", "q3", "whisker_low", "whisker_high"]))
+
+
+@register("a15_counts_by_period", sql=lambda: _w(V.sql_stage1(),
+          "SELECT 'year' AS dim, cast(year AS varchar) AS value, count(*) AS n FROM stage1 GROUP BY 2 UNION ALL "
+          "SELECT 'month', cast(month AS varchar), count(*) FROM stage1 GROUP BY 2 UNION ALL "
+          "SELECT 'sheet', source_sheet, count(*) FROM stage1 GROUP BY 2 UNION ALL "
+          f"SELECT 'period', {B.sheet_period('source_sheet')}, count(*) FROM stage1 GROUP BY 2"), ids=("A15",))
+def a15_counts_by_period(spark, sf):
+    """Row counts by year, month, source sheet and sheet period (one grouping-sets aggregate)."""
+    from ..operators.cleaning import sheet_period
+    df = V.stage1(spark, sf).select(F.col("year").cast("string").alias("year"), F.col("month").cast("string").alias("month"),
+                                    "source_sheet", sheet_period("source_sheet").alias("period"))
+    dims = ["year", "month", "source_sheet", "period"]
+    names = {"year": "year", "month": "month", "source_sheet": "sheet", "period": "period"}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(names[d]).alias("dim"), F.col(d).alias("value"))
+                                         for d in dims])).alias("s")).select("s.dim", "s.value")
+    return long.groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a17_robust_scale", sql=lambda: _w(V.sql_stage1() + ["src AS (SELECT * FROM stage1)", "rs AS (" +
+          " UNION ALL ".join(_a4_sql(None)) + ")"],
+          "SELECT \"column\", round(CASE WHEN q75 <> q25 AND (q75 - q25) / 1.349 > 0 THEN (q75 - q25) / 1.349 "
+          "WHEN mad * 1.4826 > 0 THEN mad * 1.4826 WHEN std > 0 THEN std ELSE 1.0 END, 6) AS scale FROM rs"), ids=("A17",))
+def a17_robust_scale(spark, sf):
+    """Robust scale per column: IQR/1.349, else 1.4826*MAD, else std, else 1."""
+    s = P.robust_summary(V.stage1(spark, sf), _robust_cols())
+    s = s.select("column", *_r6(["std", "q25", "q75", "mad"]), "count", "missing", "mean", "median", "q05", "q95", "iqr",
+                 "min", "max")
+    return P.robust_scale(s).select("column", F.round("scale", 6).alias("scale"))
+
+
+_INT = ["building_floors", "distance_to_station", "direct_damage", "equipment_count", "t_detect_min", "severity_score"]
+
+
+@register("a18_integer_like", sql=lambda: _w(V.sql_stage1(), " UNION ALL ".join(
+          f"SELECT '{c}' AS column, coalesce(bool_and(abs({c} - round({c})) <= 1e-8), false) AND count({c}) > 0 AS integer_like FROM stage1"
+          for c in _INT)), ids=("A18",))
+def a18_integer_like(spark, sf):
+    """Integer-like test per numeric column (one aggregate)."""
+    return P.integer_like(V.stage1(spark, sf), _INT)
