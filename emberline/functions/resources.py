@@ -211,18 +211,14 @@ def rank_from_resources(c: Column | str, normatives=NORMATIVES, null_as_rank1: b
 
 def rank_description(c: Column | str) -> Column:
     r = (F.col(c) if isinstance(c, str) else c).cast("double")
-    expr = F.concat(F.lit("Ранг "), r.cast("string"))
-    for rank, text in reversed(RANK_DESCRIPTIONS):
-        expr = F.when(r == rank, F.lit(text)).otherwise(expr)
-    return F.when(r.isNotNull(), expr)
+    m = F.create_map(*[x for rank, text in RANK_DESCRIPTIONS for x in (F.lit(rank), F.lit(text))])
+    return F.coalesce(F.element_at(m, r), F.concat(F.lit("Ранг "), r.cast("string")))
 
 
 def rank_label(c: Column | str, normatives=NORMATIVES) -> Column:
     r = (F.col(c) if isinstance(c, str) else c).cast("double")
-    expr = F.lit(None).cast("string")
-    for row in reversed(normatives):
-        expr = F.when(r == row[0], F.lit(row[1])).otherwise(expr)
-    return expr
+    m = F.create_map(*[x for row in normatives for x in (F.lit(float(row[0])), F.lit(row[1]))])
+    return F.element_at(m, r)
 
 
 def json_string_list(arr: Column) -> Column:

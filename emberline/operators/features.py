@@ -214,20 +214,21 @@ def recompute_derived(df: DataFrame) -> DataFrame:
 
 
 def rank_to_class(c: Column | str, unsupported_as_class1: bool = False) -> Column:
-    """rank 1/1.5/2/3/4/5 -> class 1..6; unsupported -> null (or 1 in research mode)."""
-    r = _c(c).cast("double")
-    expr = F.lit(1 if unsupported_as_class1 else None).cast("int")
-    for rank, cls in reversed(S.RANK_TO_CLASS):
-        expr = F.when(r == rank, F.lit(cls)).otherwise(expr)
-    return expr
+    """rank 1/1.5/2/3/4/5 -> class 1..6; unsupported -> null (or 1 in research mode).
+
+    A literal-map lookup references the input once (a CASE chain would copy it
+    into every branch).
+    """
+    m = F.create_map(*[x for rank, cls in S.RANK_TO_CLASS for x in (F.lit(rank), F.lit(cls))])
+    hit = F.element_at(m, _c(c).cast("double"))
+    return F.coalesce(hit, F.lit(1)) if unsupported_as_class1 else hit
 
 
 def class_to_rank(c: Column | str) -> Column:
+    """Class id -> rank value; unknown ids pass through as doubles."""
+    m = F.create_map(*[x for rank, cls in S.RANK_TO_CLASS for x in (F.lit(cls), F.lit(rank))])
     k = _c(c).cast("int")
-    expr = k.cast("double")
-    for rank, cls in reversed(S.RANK_TO_CLASS):
-        expr = F.when(k == cls, F.lit(rank)).otherwise(expr)
-    return expr
+    return F.coalesce(F.element_at(m, k), k.cast("double"))
 
 
 def ensure_columns(df: DataFrame, names: list[str], dtype: str = "double") -> DataFrame:

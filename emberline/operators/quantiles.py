@@ -86,23 +86,9 @@ def exact_percentiles(df: DataFrame, columns: list[str] | str, probs: list[float
                         targets[(key, r)] = _Target(key, r, row["mn"], row["mx"], 0)
                 plan.append((key, p, n, h, lo_r, hi_r))
         # group sizes of the current open range of every target
-        sizes = {k: None for k in targets}
-        for k, t in targets.items():
-            sizes[k] = next(r["n"] for r in stats if (r["__c"], *[r[b] for b in by]) == t.key)
-        while True:
-            open_t = [t for t in targets.values() if t.value is None]
-            for t in open_t:
-                if t.lo == t.hi:
-                    t.value = t.lo
-            open_t = [t for t in open_t if t.value is None]
-            if not open_t:
-                break
-            small = [t for t in open_t if sizes[(t.key, t.rank)] <= collect_limit]
-            big = [t for t in open_t if sizes[(t.key, t.rank)] > collect_limit]
-            if small:
-                _resolve_small(long, by, small)
-            if big:
-                _refine(long, by, big, bins, sizes)
+        n_by_key = {(r["__c"], *[r[b] for b in by]): r["n"] for r in stats}
+        sizes = {k: n_by_key[t.key] for k, t in targets.items()}
+        _solve(long, by, targets, sizes, bins, collect_limit)
         out = []
         for key, p, n, h, lo_r, hi_r in plan:
             a = targets[(key, lo_r)].value
@@ -116,6 +102,41 @@ def exact_percentiles(df: DataFrame, columns: list[str] | str, probs: list[float
         long.unpersist()
 
 
+def _solve(long: DataFrame, by: list[str], targets: dict, sizes: dict, bins: int, collect_limit: int) -> None:
+    while True:
+        open_t = [t for t in targets.values() if t.value is None]
+        for t in open_t:
+            if t.lo == t.hi:
+                t.value = t.lo
+        open_t = [t for t in open_t if t.value is None]
+        if not open_t:
+            return
+        small = [t for t in open_t if sizes[(t.key, t.rank)] <= collect_limit]
+        big = [t for t in open_t if sizes[(t.key, t.rank)] > collect_limit]
+        if small:
+            _resolve_small(long, by, small)
+        if big:
+            _refine(long, by, big, bins, sizes)
+
+
+def order_statistics(df: DataFrame, column: str | None, ranks: list[int], key=None,
+                     bins: int = 4096, collect_limit: int = 200_000) -> list[float | None]:
+    """Values at the given 0-based ranks of ``column`` (or of the ``key`` expression), nulls ignored."""
+    v = F.col(column).cast("double") if key is None else key.cast("double")
+    long = df.select(F.lit("k").alias("__c"), v.alias("__v")).where(F.col("__v").isNotNull()).persist()
+    try:
+        st = long.agg(F.count("__v").alias("n"), F.min("__v").alias("mn"), F.max("__v").alias("mx")).first()
+        targets = {}
+        for r in ranks:
+            if 0 <= r < st["n"]:
+                targets[(("k",), r)] = _Target(("k",), r, st["mn"], st["mx"], 0)
+        sizes = {k: st["n"] for k in targets}
+        _solve(long, [], targets, sizes, bins, collect_limit)
+        return [targets[(("k",), r)].value if (("k",), r) in targets else None for r in ranks]
+    finally:
+        long.unpersist()
+
+
 def _target_filter(long: DataFrame, by: list[str], ts: list[_Target]):
     v = F.col("__v")
     conds = []

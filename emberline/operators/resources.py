@@ -47,7 +47,23 @@ def parse_diagnostics(df: DataFrame, text_col: str = "equipment", declared_col:
                    F.when(~empty, delta.cast("double")).alias("resource_count_conflict"))
     out = t4.select("*", R.normalise(F.col("resource_vector")).alias("equipment_vector_norm"),
                     R.vector_total(F.col("resource_vector")).alias("_vtotal"))
-    return out.drop("_empty", "_toks", "_cats", "_nparts", "_parsed")
+    new = ["resource_count_declared", "equipment_vector", "resource_vector", "resource_parse_confidence",
+           "resource_parse_flags", "resource_vector_sum", "resource_count_parsed", "resource_count_conflict",
+           "equipment_vector_norm", "_vtotal"]
+    return materialise(out.drop("_empty", "_toks", "_cats", "_nparts", "_parsed"), new)
+
+
+def materialise(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Emit ``cols`` through a one-row ``inline`` (a Generate).
+
+    Catalyst pushes filters through projections by substituting every alias with
+    its defining expression; a later filter on a parsed/ranked column would then
+    re-run the whole parse inside the filter, once per reference. A filter cannot
+    move below a Generate that produces the columns it reads, so the parse is
+    evaluated exactly once per row.
+    """
+    keep = [c for c in df.columns if c not in cols]
+    return df.select(*keep, F.inline(F.array(F.struct(*[F.col(c) for c in cols]))))
 
 
 def assign_rank(df: DataFrame, target: str = "vector", text_col: str = "equipment",
@@ -70,10 +86,12 @@ def assign_rank(df: DataFrame, target: str = "vector", text_col: str = "equipmen
                        R.json_string_list(flags).alias("resource_parse_flags"),
                        (canonical & usable).alias("usable_for_training"),
                        R.json_string_list(flags).alias("rank_quality_flags"))
-        return out.select("*", F.col("rank_tz_vector").alias("rank_tz"),
-                          F.when(F.col("rank_tz_vector").isNotNull(), F.lit(S.LABEL_SOURCE_HISTORICAL_VECTOR))
-                          .alias("rank_label_source"),
-                          F.lit(R.NORMATIVE_VERSION).alias("rank_normative_version"))
+        out = out.select("*", F.col("rank_tz_vector").alias("rank_tz"),
+                         F.when(F.col("rank_tz_vector").isNotNull(), F.lit(S.LABEL_SOURCE_HISTORICAL_VECTOR))
+                         .alias("rank_label_source"),
+                         F.lit(R.NORMATIVE_VERSION).alias("rank_normative_version"))
+        return materialise(out, ["rank_tz_vector", "rank_distance", "resource_parse_flags", "usable_for_training",
+                                 "rank_quality_flags", "rank_tz", "rank_label_source"])
     if target == "count_proxy":
         base = df.select(*[c for c in df.columns if c not in drop])
         proxy = R.rank_by_count(F.col(count_col))

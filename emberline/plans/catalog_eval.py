@@ -236,3 +236,262 @@ _INT = ["building_floors", "distance_to_station", "direct_damage", "equipment_co
 def a18_integer_like(spark, sf):
     """Integer-like test per numeric column (one aggregate)."""
     return P.integer_like(V.stage1(spark, sf), _INT)
+
+
+# --- splits (M1, M2) and evaluation over a deterministic prediction table -------
+
+from ..operators import evaluation as E  # noqa: E402
+from ..operators import splits as SP  # noqa: E402
+from ..functions import resources as RF  # noqa: E402
+
+
+def _hash_u(key: str, seed: int = 42) -> str:
+    return f"(CAST(('0x' || substr(md5({key} || '|{seed}'), 1, 13)) AS BIGINT) / {float(16 ** 13)})"
+
+
+def _split_sql(protocol: str) -> str:
+    lab = V.sql_labelled()
+    if protocol == "group_shuffle":
+        return _w(lab + ["g AS (SELECT DISTINCT coalesce(event_id, '__missing__') AS g FROM labelled)",
+                         f"gu AS (SELECT g, {_hash_u('g')} AS u FROM g)",
+                         "cutk AS (SELECT ceil(count(*) * 0.25) AS k FROM gu)",
+                         "tg AS (SELECT g FROM (SELECT g, row_number() OVER (ORDER BY u, g) AS r FROM gu), cutk WHERE r <= k)"],
+                  f"SELECT {KS}, coalesce(event_id, '__missing__') IN (SELECT g FROM tg) AS is_test FROM labelled")
+    if protocol == "temporal_holdout":
+        return _w(lab + ["n AS (SELECT greatest(1, CAST(floor(count(*) * 0.75) AS BIGINT)) AS split_at FROM labelled)"],
+                  f"SELECT {KS}, r > split_at AS is_test FROM (SELECT {KS}, row_number() OVER (ORDER BY fire_date ASC NULLS LAST, "
+                  f"{KS}) AS r FROM labelled), n")
+    if protocol == "source_holdout":
+        return _w(lab, f"SELECT {KS}, coalesce(source_sheet = (SELECT max(source_sheet) FROM labelled), false) AS is_test FROM labelled")
+    if protocol == "row_random_legacy":
+        key = "coalesce(CAST(rank_tz AS varchar), '') || '#' || concat_ws('|', CAST(sheet_ord AS varchar), CAST(row_id AS varchar))"
+        return _w(lab, f"SELECT {KS}, {_hash_u(key)} < 0.25 AS is_test FROM labelled")
+    if protocol == "group_kfold":
+        return _w(lab + ["nf AS (SELECT greatest(2, least(5, count(DISTINCT coalesce(event_id, '__missing__')))) AS f FROM labelled)"],
+                  f"SELECT {KS}, floor({_hash_u(chr(99) + 'oalesce(event_id, ' + chr(39) + '__missing__' + chr(39) + ')')} * f) = 0 AS is_test "
+                  "FROM labelled, nf")
+    raise ValueError(protocol)
+
+
+def _split_build(protocol: str):
+    def build(spark, sf):
+        lab = V.labelled(spark, sf)
+        return SP.split(lab, protocol, 0.25, 42, label_col="rank_tz").select(*K, "is_test")
+    build.__doc__ = f"{protocol} split (hash of key and seed; exact test-group count via order statistic)."
+    return build
+
+
+for _p in ("group_shuffle", "group_kfold", "temporal_holdout", "source_holdout", "row_random_legacy"):
+    register(f"m1_split_{_p}", sql=(lambda p=_p: _split_sql(p)), ids=("M1", "W5", "T5"))(_split_build(_p))
+
+
+def _m2_sql():
+    base = _split_sql("group_shuffle")
+    marker = "SELECT sheet_ord, row_id, coalesce(event_id, '__missing__') IN"
+    head, tail = base.split(marker, 1)
+    return (head.rstrip() + ",\nsp AS (" + marker + tail + "),\n"
+            "j AS (SELECT l.*, sp.is_test FROM labelled l JOIN sp USING (sheet_ord, row_id)),\n"
+            "ps AS (SELECT DISTINCT event_id AS g, is_test FROM j WHERE event_id IS NOT NULL AND event_id <> ''),\n"
+            "ov AS (SELECT g, count(DISTINCT is_test) AS sides, max(CAST(is_test AS INTEGER)) AS in_test FROM ps GROUP BY g)\n"
+            "SELECT 'group_shuffle' AS split_protocol, CASE WHEN count_if(in_test = 1) > 0 THEN round(count_if(sides = 2) / "
+            "count_if(in_test = 1), 6) ELSE 0.0 END AS event_overlap_rate, count_if(sides = 2 OR in_test = 0) AS train_event_count, "
+            "count_if(in_test = 1) AS test_event_count, (SELECT min(fire_date) FILTER (WHERE NOT is_test) FROM j) AS train_date_min, "
+            "(SELECT max(fire_date) FILTER (WHERE NOT is_test) FROM j) AS train_date_max, (SELECT min(fire_date) FILTER (WHERE is_test) "
+            "FROM j) AS test_date_min, (SELECT max(fire_date) FILTER (WHERE is_test) FROM j) AS test_date_max, "
+            "(SELECT count_if(NOT is_test) FROM j) AS train_rows, (SELECT count_if(is_test) FROM j) AS test_rows, "
+            "true AS production_safe FROM ov")
+
+
+@register("m2_split_passport", sql=_m2_sql, ids=("M2", "U2"))
+def m2_split_passport(spark, sf):
+    """Split passport of the group split: event overlap (must be 0), event counts, date ranges."""
+    lab = V.labelled(spark, sf)
+    s = SP.split(lab, "group_shuffle", 0.25, 42)
+    return SP.passport(s, "group_shuffle")
+
+
+# prediction table ---------------------------------------------------------------
+
+def _pred_sql_ctes():
+    mins = [float(r[5]) for r in sorted(RF.NORMATIVES, key=lambda r: r[4])]
+    s = "[" + ", ".join(f"coalesce(-abs(CAST(equipment_count AS DOUBLE) - {m}), 0.0)" for m in mins) + "]"
+    return V.sql_labelled() + [
+        f"bp0 AS (SELECT {KS}, CASE rank_tz WHEN 1.0 THEN 1 WHEN 1.5 THEN 2 WHEN 2.0 THEN 3 WHEN 3.0 THEN 4 WHEN 4.0 THEN 5 "
+        f"WHEN 5.0 THEN 6 END AS y, {s} AS _s FROM labelled)",
+        "bp1 AS (SELECT *, list_transform(_s, lambda v: exp(v - list_max(_s))) AS _e FROM bp0)",
+        "pred AS (SELECT sheet_ord, row_id, y, list_position(_s, list_max(_s)) AS yhat, "
+        "list_transform(_e, lambda v: v / list_reduce(_e, lambda a, b: a + b)) AS probability FROM bp1 WHERE y IS NOT NULL)",
+        "cm AS (SELECT y, yhat, count(*) AS n FROM pred GROUP BY y, yhat)",
+        "lbl AS (SELECT y AS cls FROM cm UNION SELECT yhat FROM cm)",
+        "pc AS (SELECT cls, coalesce((SELECT sum(n) FROM cm WHERE y = cls), 0) AS support, "
+        "coalesce((SELECT sum(n) FROM cm WHERE yhat = cls), 0) AS predicted, "
+        "coalesce((SELECT sum(n) FROM cm WHERE y = cls AND yhat = cls), 0) AS tp FROM lbl)",
+        "pc2 AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision, "
+        "CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM pc)",
+        "pc3 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM pc2)"]
+
+
+_RANK_CASE = "CASE {c} WHEN 1 THEN 1.0 WHEN 2 THEN 1.5 WHEN 3 THEN 2.0 WHEN 4 THEN 3.0 WHEN 5 THEN 4.0 WHEN 6 THEN 5.0 END"
+
+
+def _pred(spark, sf):
+    return E.baseline_predictions(V.labelled(spark, sf), K)
+
+
+@register("m12_prediction_table", sql=lambda: _w(_pred_sql_ctes(),
+          "SELECT sheet_ord, row_id, y, yhat, list_transform(probability, lambda p: round(p, 6)) AS probability FROM pred"),
+          ids=("M12", "J8", "M18"))
+def m12_prediction_table(spark, sf):
+    """Deterministic count-proxy predictions (class, softmax probabilities) joined on the row key."""
+    p = _pred(spark, sf)
+    return p.select(*K, "y", "yhat", F.transform("probability", lambda x: F.round(x, 6)).alias("probability"))
+
+
+def _m12_sql():
+    pos = ("1 + len(list_filter(range(1, 7), lambda j: probability[j] > probability[y] OR "
+           "(probability[j] = probability[y] AND j < y)))")
+    yr, pr = _RANK_CASE.format(c="y"), _RANK_CASE.format(c="yhat")
+    return _w(_pred_sql_ctes() + [
+        f"rw AS (SELECT y, yhat, list_max(probability) AS conf, {yr} AS yr, {pr} AS pr, {pos} AS pos FROM pred)",
+        "ece AS (SELECT sum(k * abs(a - c)) / sum(k) AS calibration_error FROM (SELECT least(floor(conf * 10), 9) AS b, "
+        "count(*) AS k, avg(conf) AS c, avg(CAST(y = yhat AS DOUBLE)) AS a FROM rw GROUP BY 1))",
+        "rs AS (SELECT avg(CAST(y = yhat AS DOUBLE)) AS accuracy, avg(CAST(pos <= 2 AS DOUBLE)) AS top_2_accuracy, "
+        "avg(CAST(pos <= 3 AS DOUBLE)) AS top_3_accuracy, avg(abs(yr - pr)) AS ordinal_mae, "
+        "avg(CAST(pr < yr AS DOUBLE)) AS under_dispatch_rate, count(*) AS test_size FROM rw)",
+        "cs AS (SELECT avg(f1) AS f1_macro, sum(f1 * support) / sum(support) AS f1_weighted, "
+        "sum(precision * support) / sum(support) AS precision, sum(recall * support) / sum(support) AS recall, "
+        "count(*) AS n_classes FROM pc3)",
+        "one AS (SELECT * FROM rs, cs, ece)"],
+        "SELECT metric, round(CAST(value AS DOUBLE), 6) AS value FROM (UNPIVOT one ON accuracy, f1_macro, f1_weighted, "
+        "precision, recall, top_2_accuracy, top_3_accuracy, ordinal_mae, under_dispatch_rate, calibration_error, "
+        "CAST(test_size AS DOUBLE) AS test_size, CAST(n_classes AS DOUBLE) AS n_classes INTO NAME metric VALUE value)")
+
+
+@register("m12_metric_passport", sql=_m12_sql, ids=("M12",))
+def m12_metric_passport(spark, sf):
+    """Accuracy, F1 macro/weighted, weighted P/R, top-2/3, ordinal MAE, under-dispatch, 10-bin ECE."""
+    return E.metric_passport(_pred(spark, sf))
+
+
+@register("m12_per_class", sql=lambda: _w(_pred_sql_ctes(),
+          f"SELECT cls, {_RANK_CASE.format(c='cls')} AS rank, support, predicted, tp, round(precision, 6) AS precision, "
+          "round(recall, 6) AS recall, round(f1, 6) AS f1 FROM pc3"), ids=("M12",))
+def m12_per_class(spark, sf):
+    """Per-class support, precision, recall and F1 (from the confusion matrix)."""
+    p = E.per_class(_pred(spark, sf))
+    return p.select("cls", "rank", "support", "predicted", "tp", *_r6(["precision", "recall", "f1"]))
+
+
+@register("m12_confusion_matrix", sql=lambda: _w(_pred_sql_ctes(), "SELECT y, yhat, n FROM cm"), ids=("M12",))
+def m12_confusion_matrix(spark, sf):
+    """Confusion matrix as (actual class, predicted class, count)."""
+    return E.confusion(_pred(spark, sf))
+
+
+@register("m13_confusion_summary", sql=lambda: _w(_pred_sql_ctes() + [
+          "tp3 AS (SELECT y, yhat, n, row_number() OVER (PARTITION BY y ORDER BY n DESC, yhat DESC) AS r FROM cm WHERE n > 0)",
+          f"per AS (SELECT y, string_agg(CAST({_RANK_CASE.format(c='yhat')} AS varchar) || ':' || CAST(n AS varchar), ', ' ORDER BY r) "
+          "AS cells FROM tp3 WHERE r <= 3 GROUP BY y)"],
+          f"SELECT string_agg(CAST({_RANK_CASE.format(c='y')} AS varchar) || ' -> ' || cells, '; ' ORDER BY y) AS "
+          "confusion_matrix_summary FROM per"), ids=("M13",))
+def m13_confusion_summary(spark, sf):
+    """Top-3 predicted ranks per actual rank as one text line."""
+    return E.confusion_summary(_pred(spark, sf))
+
+
+@register("t3_top_k", sql=lambda: _w(_pred_sql_ctes() + [
+          "ex AS (SELECT sheet_ord, row_id, j AS cls, probability[j] AS p, row_number() OVER (PARTITION BY sheet_ord, row_id "
+          "ORDER BY probability[j] DESC, j) AS position FROM pred, range(1, 7) r(j))"],
+          f"SELECT sheet_ord, row_id, position, cls, {_RANK_CASE.format(c='cls')} AS rank, CASE cls "
+          + " ".join(f"WHEN {i + 1} THEN {B.q(r[1])}" for i, r in enumerate(sorted(RF.NORMATIVES, key=lambda r: r[4])))
+          + " END AS label, round(p, 6) AS probability FROM ex WHERE position <= 3"), ids=("T3", "M19"))
+def t3_top_k(spark, sf):
+    """Per-row top-3 ranks with probability and label."""
+    return E.top_k(_pred(spark, sf), K, 3)
+
+
+@register("m9_class_weights", sql=lambda: _w(V.sql_labelled(),
+          "SELECT rank_tz AS cls, count(*) AS n_c, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight "
+          "FROM labelled WHERE rank_tz IS NOT NULL GROUP BY rank_tz"), ids=("M9",))
+def m9_class_weights(spark, sf):
+    """Balanced class weights n / (k * n_c)."""
+    w = E.class_weights(V.labelled(spark, sf), "rank_tz")
+    return w.select("cls", "n_c", F.round("weight", 6).alias("weight"))
+
+
+@register("m29_oversampling_plan", sql=lambda: _w(V.sql_labelled() + [
+          "cc AS (SELECT CAST(CASE rank_tz WHEN 1.0 THEN 1 WHEN 1.5 THEN 2 WHEN 2.0 THEN 3 WHEN 3.0 THEN 4 WHEN 4.0 THEN 5 "
+          "WHEN 5.0 THEN 6 END AS INTEGER) AS cls, CAST(count(*) AS INTEGER) AS n FROM labelled WHERE rank_tz IS NOT NULL GROUP BY 1)"],
+          "SELECT cls, n, CAST(max(n) OVER () AS INTEGER) AS target FROM cc"), ids=("M29",))
+def m29_oversampling_plan(spark, sf):
+    """"not majority" plan: every class resampled up to the majority count."""
+    lab = V.labelled(spark, sf).select(rank_to_class_col().alias("cls"))
+    return E.oversampling_plan(lab, "cls")
+
+
+def rank_to_class_col():
+    from ..operators.features import rank_to_class
+    return rank_to_class("rank_tz")
+
+
+_SEG = ["building_floors", "distance_to_station"]
+
+
+def _seg_cluster_spark():
+    from ..operators.features import RESEARCH, cut
+    return cut(F.col("building_floors").cast("double"), RESEARCH.floor_edges).cast("int")
+
+
+def _seg_sql_ctes():
+    from ..operators.features import RESEARCH
+    from .sqlfeatures import cut as scut
+    return V.sql_labelled() + [
+        f"seg AS (SELECT building_floors, distance_to_station, rank_tz, CAST({scut('CAST(building_floors AS DOUBLE)', RESEARCH.floor_edges)} "
+        "AS INTEGER) AS cluster FROM labelled WHERE building_floors IS NOT NULL AND distance_to_station IS NOT NULL)"]
+
+
+def _m22_sql():
+    return _w(_seg_sql_ctes() + [
+        "cent AS (SELECT cluster, count(*) AS n, avg(building_floors) AS m1, avg(distance_to_station) AS m2 FROM seg GROUP BY cluster)",
+        "gm AS (SELECT avg(building_floors) AS g1, avg(distance_to_station) AS g2 FROM seg)",
+        "wi AS (SELECT s.cluster, sum(power(s.building_floors - c.m1, 2) + power(s.distance_to_station - c.m2, 2)) AS ss, "
+        "avg(sqrt(power(s.building_floors - c.m1, 2) + power(s.distance_to_station - c.m2, 2))) AS sd FROM seg s JOIN cent c USING (cluster) GROUP BY s.cluster)",
+        "cs AS (SELECT * FROM cent JOIN wi USING (cluster))",
+        "dbr AS (SELECT a.cluster, max((a.sd + b.sd) / sqrt(power(a.m1 - b.m1, 2) + power(a.m2 - b.m2, 2))) AS r FROM cs a, cs b "
+        "WHERE a.cluster <> b.cluster GROUP BY a.cluster)"],
+        "SELECT (SELECT count(*) FROM cs) AS k, sum(n) AS n, round(sum(ss), 4) AS inertia, round((SELECT avg(r) FROM dbr), 6) AS davies_bouldin, "
+        "round((sum(n * (power(m1 - g1, 2) + power(m2 - g2, 2))) / sum(ss)) * ((sum(n) - count(*)) / (count(*) - 1)), 4) AS calinski_harabasz "
+        "FROM cs, gm")
+
+
+@register("m22_cluster_validity", sql=_m22_sql, ids=("M22", "A19"))
+def m22_cluster_validity(spark, sf):
+    """Davies-Bouldin, Calinski-Harabasz and inertia of a floor-bin segmentation (two grouped passes)."""
+    lab = V.labelled(spark, sf).where(F.col("building_floors").isNotNull() & F.col("distance_to_station").isNotNull())
+    seg = lab.select(*_SEG, "rank_tz", _seg_cluster_spark().alias("cluster"))
+    v = E.cluster_validity(seg, _SEG, "cluster")
+    return v.select("k", "n", F.round("inertia", 4).alias("inertia"), F.round("davies_bouldin", 6).alias("davies_bouldin"),
+                    F.round("calinski_harabasz", 4).alias("calinski_harabasz"))
+
+
+def _m23_sql():
+    return _w(_seg_sql_ctes() + [
+        "ct AS (SELECT cluster, rank_tz, count(*) AS n FROM seg WHERE rank_tz IS NOT NULL GROUP BY 1, 2)",
+        "tot AS (SELECT sum(n) AS nn FROM ct)",
+        "ncl AS (SELECT cluster, sum(n) AS nc FROM ct GROUP BY 1)",
+        "nrk AS (SELECT rank_tz, sum(n) AS nr FROM ct GROUP BY 1)",
+        "mi AS (SELECT sum((n / nn) * ln((nn * n) / (nc * nr))) AS mi FROM ct JOIN ncl USING (cluster) JOIN nrk USING (rank_tz), tot)",
+        "hc AS (SELECT coalesce(-sum((nc / nn) * ln(nc / nn)), 0.0) AS h_c FROM ncl, tot)",
+        "hr AS (SELECT coalesce(-sum((nr / nn) * ln(nr / nn)), 0.0) AS h_r FROM nrk, tot)",
+        "pur AS (SELECT avg(mx / sm) AS purity FROM (SELECT cluster, max(n) AS mx, sum(n) AS sm FROM ct GROUP BY 1))"],
+        "SELECT round(purity, 6) AS purity, round(greatest(CASE WHEN h_c + h_r > 0 THEN mi / ((h_c + h_r) / 2) ELSE 1.0 END, 0.0), 6) "
+        "AS nmi FROM mi, hc, hr, pur")
+
+
+@register("m23_rank_alignment", sql=_m23_sql, ids=("M23",))
+def m23_rank_alignment(spark, sf):
+    """Unweighted mean purity and NMI of the floor-bin segmentation against vector ranks."""
+    lab = V.labelled(spark, sf).where(F.col("building_floors").isNotNull() & F.col("distance_to_station").isNotNull())
+    seg = lab.select(*_SEG, "rank_tz", _seg_cluster_spark().alias("cluster"))
+    a = E.rank_alignment(seg, "cluster", "rank_tz")
+    return a.select(F.round("purity", 6).alias("purity"), F.round("nmi", 6).alias("nmi"))
