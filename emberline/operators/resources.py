@@ -14,6 +14,11 @@ from ..functions import resources as R
 from ..functions.text import strip
 
 
+DIAGNOSTIC_COLUMNS = ["resource_count_declared", "equipment_vector", "resource_vector", "resource_parse_confidence",
+                      "resource_parse_flags", "resource_vector_sum", "resource_count_parsed", "resource_count_conflict",
+                      "equipment_vector_norm", "_vtotal"]
+
+
 def parse_diagnostics(df: DataFrame, text_col: str = "equipment", declared_col: str = "equipment_count") -> DataFrame:
     """Category map, dense + normalised vectors and parse quality columns.
 
@@ -72,7 +77,7 @@ def assign_rank(df: DataFrame, target: str = "vector", text_col: str = "equipmen
     canonical = (F.coalesce(F.col("is_canonical_event_record"), F.lit(True))
                  if "is_canonical_event_record" in df.columns else F.lit(True))
     drop = {"rank_tz", "rank_tz_vector", "rank_tz_count_proxy", "rank_distance", "rank_label_source",
-            "usable_for_training", "rank_normative_version", "rank_quality_flags"}
+            "usable_for_training", "rank_normative_version", "rank_quality_flags", *DIAGNOSTIC_COLUMNS}
     if target == "vector":
         d = parse_diagnostics(df.select(*[c for c in df.columns if c not in drop]), text_col, count_col)
         d = d.select("*", R.nearest_from_norm(F.col("equipment_vector_norm"), F.col("_vtotal")).alias("_near"))
