@@ -294,8 +294,9 @@ def training_matrix(df: DataFrame, feature_set: str = "managed", target: str = "
     if fill_strategy == "drop":
         return x.na.drop(subset=feats)
     fills = fill_values(x, feats, fill_strategy, fill_value)
-    return x.select(*keep, *[F.coalesce(F.col(c), F.lit(fills[c])).alias(c) if fills.get(c) is not None
-                             else F.col(c) for c in feats],
+    # an all-missing column has no median/mode: fall back to the constant
+    fills = {c: (v if v is not None else fill_value) for c, v in fills.items()}
+    return x.select(*keep, *[F.coalesce(F.col(c), F.lit(fills[c])).alias(c) for c in feats],
                     *[c for c in x.columns if c.endswith("_missing")], F.col(target))
 
 

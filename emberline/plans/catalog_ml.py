@@ -1 +1,200 @@
-"""Registered queries."""
+"""Registered queries: Spark ML fitting, scoring, uncertainty, clustering (rows-only checks).
+
+These queries have no SQL twin (fits are iterative/randomised); the driver
+records row counts. Their deterministic parts (splits, passports, features)
+are covered by SQL-checked queries elsewhere.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import feature_sets as FS
+from ..operators import evaluation as E
+from ..operators import features as FE
+from ..operators import learning as L
+from ..operators import splits as SP
+from . import incidents as V
+from .registry import register
+
+K = ["sheet_ord", "row_id"]
+FEATS = FS.TRAINING_SETS["managed"]
+SMALL_FOREST = {"n_estimators": 30, "max_depth": 10, "min_samples_leaf": 5}
+
+
+def training_table(spark, sf):
+    """Labelled canonical rows, managed features (median fill), label 0..5, group split flag."""
+    lab = V.labelled(spark, sf).where(F.col("is_canonical_event_record") & F.col("usable_for_training"))
+    tm = FE.training_matrix(lab, "managed", "rank_tz", fill_strategy="median", keep=K + ["event_id", "equipment_count"])
+    tm = L.with_label(tm)
+    return SP.split(tm, "group_shuffle", 0.25, 42)
+
+
+def _fit_eval(spark, sf, kind, params, standardize=False):
+    data = training_table(spark, sf).persist()
+    model = L.fit(data.where(~F.col("is_test")), FEATS, kind, params, standardize=standardize)
+    return model, data
+
+
+@register("m3_decision_tree", ids=("M3", "M12"))
+def m3_decision_tree(spark, sf):
+    """Balanced decision tree (depth 10, leaf 10) -> test metric passport."""
+    m, data = _fit_eval(spark, sf, "decision_tree", {"max_depth": 10, "min_samples_leaf": 10})
+    return E.metric_passport(L.predict(m, data.where(F.col("is_test")), K))
+
+
+@register("m4_random_forest", ids=("M4", "M12", "M34"))
+def m4_random_forest(spark, sf):
+    """Balanced random forest -> test metric passport."""
+    m, data = _fit_eval(spark, sf, "random_forest", SMALL_FOREST)
+    return E.metric_passport(L.predict(m, data.where(F.col("is_test")), K))
+
+
+@register("m5_resource_regressor", ids=("M5",))
+def m5_resource_regressor(spark, sf):
+    """Forest regressor of the equipment count -> MAE, MSE, RMSE, R²."""
+    data = training_table(spark, sf).where(F.col("equipment_count").isNotNull()).persist()
+    m = L.fit_regressor(data.where(~F.col("is_test")), FEATS, "equipment_count", "random_forest", SMALL_FOREST)
+    return L.regression_metrics(m.transform(data.where(F.col("is_test"))), "equipment_count", "prediction")
+
+
+@register("m6_gradient_boosting_ovr", ids=("M6",))
+def m6_gradient_boosting_ovr(spark, sf):
+    """One-vs-rest gradient-boosted trees (multi-class twin) -> test accuracy and F1."""
+    m, data = _fit_eval(spark, sf, "gradient_boosting", {"max_iter": 10, "max_depth": 3})
+    p = m.transform(data.where(F.col("is_test")))
+    pred = p.select((F.col("label") + 1).cast("int").alias("y"), (F.col("prediction") + 1).cast("int").alias("yhat"),
+                    F.array(*[F.lit(0.0)] * 6).alias("probability"))
+    return E.metric_passport(pred).where(F.col("metric").isin("accuracy", "f1_macro", "f1_weighted", "test_size"))
+
+
+@register("m7_logistic_regression", ids=("M7",))
+def m7_logistic_regression(spark, sf):
+    """Multinomial logistic regression on z-scored features -> test metric passport."""
+    m, data = _fit_eval(spark, sf, "logistic", {"max_iter": 100}, standardize=True)
+    return E.metric_passport(L.predict(m, data.where(F.col("is_test")), K))
+
+
+@register("m10_cross_validation", ids=("M10",))
+def m10_cross_validation(spark, sf):
+    """5 group folds (hash of event id) -> mean and std of accuracy / F1 macro / F1 weighted."""
+    data = training_table(spark, sf)
+    return L.cross_validate(data, FEATS, "random_forest", {"n_estimators": 20, "max_depth": 8}, folds=5)
+
+
+@register("m14_feature_importance", ids=("M14",))
+def m14_feature_importance(spark, sf):
+    """Impurity importance of the forest joined with permutation importance on the test split."""
+    m, data = _fit_eval(spark, sf, "random_forest", SMALL_FOREST)
+    imp = L.impurity_importance(m, FEATS)
+    test = L.assemble(data.where(F.col("is_test")), FEATS).drop("features")
+    perm = L.permutation_importance(m, test, FEATS, repeats=2)
+    return imp.join(perm, "feature").orderBy(F.desc("importance"))
+
+
+@register("m15_batch_scoring", ids=("M15", "T3", "M18", "M19"))
+def m15_batch_scoring(spark, sf):
+    """Score every incident (not only labelled ones): features -> forest -> top-3 ranks per row."""
+    m, data = _fit_eval(spark, sf, "random_forest", SMALL_FOREST)
+    allrows = V.labelled(spark, sf)
+    filled = FE.training_matrix(allrows.withColumn("_t", F.lit(1)), "managed", "_t", fill_strategy="median", keep=K)
+    scored = m.transform(filled.withColumn("label", F.lit(0.0)))
+    from pyspark.ml.functions import vector_to_array
+    pred = scored.select(*K, L._pad6(vector_to_array("probability")).alias("probability"))
+    return E.top_k(pred, K, 3)
+
+
+@register("m16_ensemble_uncertainty", ids=("M16", "M18"))
+def m16_ensemble_uncertainty(spark, sf):
+    """Per-row mean/std/p05/p95 of class probabilities over 30 sampled trees (+ entropy)."""
+    m, data = _fit_eval(spark, sf, "random_forest", {"n_estimators": 40, "max_depth": 8})
+    return L.ensemble_uncertainty(m, data.where(F.col("is_test")), K, n_trees=30)
+
+
+@register("m17_resource_quantiles", ids=("M17",))
+def m17_resource_quantiles(spark, sf):
+    """P20/P50/P80, min, max, std of per-tree equipment-count predictions."""
+    data = training_table(spark, sf).where(F.col("equipment_count").isNotNull()).persist()
+    m = L.fit_regressor(data.where(~F.col("is_test")), FEATS, "equipment_count", "random_forest",
+                        {"n_estimators": 20, "max_depth": 8})
+    return L.resource_quantiles(m, data.where(F.col("is_test")), K)
+
+
+_SEG = ["building_floors", "fire_floor", "distance_to_station", "t_detect_min"]
+
+
+@register("m20_kmeans_segmentation", ids=("M20", "A19", "M25"))
+def m20_kmeans_segmentation(spark, sf):
+    """k-means (k=4) on standardised features -> cluster profile (size and means)."""
+    lab = V.labelled(spark, sf)
+    z = L.standardize(lab.select(*K, "rank_tz", *[F.col(c).cast("double").alias(c) for c in _SEG]).dropna(subset=_SEG),
+                      _SEG, keep=K + ["rank_tz"])
+    seg, info = L.segment(z, _SEG, k=4, keep=K + ["rank_tz"])
+    return seg.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), *[F.avg(c).alias(f"mean_{c}") for c in _SEG],
+                                      F.avg("rank_tz").alias("mean_rank")).withColumn("inertia", F.lit(info["inertia"]))
+
+
+@register("m21_clustering_grid", ids=("M21", "M22", "M23", "M24", "T4"))
+def m21_clustering_grid(spark, sf):
+    """Feature groups x {dropna, impute} x {kmeans, bisecting} x k -> validity + alignment -> composite leaderboard."""
+    lab = V.labelled(spark, sf).select(*K, "rank_tz", *[F.col(c).cast("double").alias(c) for c in _SEG]).persist()
+    groups = {"building": ["building_floors", "fire_floor"], "managed": ["building_floors", "distance_to_station"],
+              "time": ["t_detect_min", "distance_to_station"]}
+    rows = []
+    run = 0
+    for gname, feats in groups.items():
+        for imputation in ("dropna", "impute"):
+            base = lab.dropna(subset=feats) if imputation == "dropna" else lab.fillna(
+                {c: v for c, v in FE.fill_values(lab, feats, "median").items() if v is not None})
+            base = base.where(F.col("rank_tz").isNotNull())
+            z = L.standardize(base, feats, keep=K + ["rank_tz"])
+            n = z.count()
+            for algorithm in ("kmeans", "bisecting"):
+                for k in range(2, 5):
+                    if n < max(2 * k, 10):
+                        continue
+                    seg, info = L.segment(z, feats, k=k, algorithm=algorithm, keep=K + ["rank_tz"])
+                    v = E.cluster_validity(seg, feats, "cluster").first()
+                    a = E.rank_alignment(seg, "cluster", "rank_tz").first()
+                    sizes = [r[0] for r in seg.groupBy("cluster").count().select("count").collect()]
+                    rows.append((run, gname, imputation, algorithm, k, n, info["silhouette_sq"], v["davies_bouldin"],
+                                 v["calinski_harabasz"], info["inertia"], min(sizes), max(sizes), min(sizes) / n,
+                                 None, a["purity"], a["nmi"]))
+                    run += 1
+    lab.unpersist()
+    schema = ("run_id int, feature_set string, imputation string, algorithm string, k int, rows_used long, "
+              "silhouette double, davies_bouldin double, calinski_harabasz double, inertia double, cluster_min long, "
+              "cluster_max long, cluster_smallest_share double, spearman double, purity double, nmi double")
+    runs = spark.createDataFrame(rows, schema)
+    return E.composite_score(runs).orderBy(F.desc("final_score"))
+
+
+@register("m25_pca", ids=("M25",))
+def m25_pca(spark, sf):
+    """Two principal components of standardised numeric features."""
+    lab = V.labelled(spark, sf).select(*K, *[F.col(c).cast("double").alias(c) for c in _SEG])
+    return L.pca_2d(lab, _SEG, keep=K)
+
+
+@register("m27_feature_subset_study", ids=("M27",))
+def m27_feature_subset_study(spark, sf):
+    """All 2..3-feature subsets of a 4-feature pool -> forest -> F1 ranking."""
+    data = training_table(spark, sf)
+    pool = ["region_code", "building_floors", "fire_floor", "distance_to_station"]
+    return L.subset_study(data, pool, "is_test", max_size=3, trees=15)
+
+
+@register("m28_rank_vs_resource", ids=("M28", "R11"))
+def m28_rank_vs_resource(spark, sf):
+    """Rank classifier accuracy vs regressor MAE vs rank induced from the predicted resource count."""
+    from ..functions.resources import rank_from_resources
+    data = training_table(spark, sf).where(F.col("equipment_count").isNotNull()).persist()
+    train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
+    clf = L.fit(train, FEATS, "random_forest", {"n_estimators": 20, "max_depth": 8})
+    reg = L.fit_regressor(train, FEATS, "equipment_count", "random_forest", {"n_estimators": 20, "max_depth": 8})
+    c = clf.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("classifier_accuracy"))
+    r = reg.transform(test)
+    induced = r.select((FE.rank_to_class(rank_from_resources(F.col("prediction"))) - 1).alias("p"), "label")
+    i = induced.agg(F.avg((F.col("p") == F.col("label")).cast("double")).alias("induced_rank_accuracy"))
+    mae = r.agg(F.avg(F.abs(F.col("prediction") - F.col("equipment_count"))).alias("regressor_mae"))
+    return c.crossJoin(mae).crossJoin(i)
