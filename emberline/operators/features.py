@@ -279,8 +279,14 @@ def fill_values(df: DataFrame, columns: list[str], strategy: str, constant: floa
 
 def training_matrix(df: DataFrame, feature_set: str = "managed", target: str = "rank_tz",
                     fill_strategy: str = "constant", fill_value: float = 0.0, add_indicators: bool = False,
-                    indicator_columns: list[str] | None = None, keep: list[str] = ()) -> DataFrame:
-    """F16: named feature set, non-null target, ±inf -> null, indicators, fill."""
+                    indicator_columns: list[str] | None = None, keep: list[str] = (),
+                    fill_empty_columns: bool = False) -> DataFrame:
+    """F16: named feature set, non-null target, ±inf -> null, indicators, fill.
+
+    An all-missing column has no median/mode and stays null (as a pandas
+    median fill leaves it); ``fill_empty_columns`` puts the constant there
+    instead, which Spark ML estimators need (they reject NaN features).
+    """
     feats = FS.TRAINING_SETS[feature_set]
     if feature_set in FS.ONLINE_TRAINING_SETS and fill_strategy == "constant" and fill_value == 0:
         fill_value = -1.0
@@ -294,9 +300,10 @@ def training_matrix(df: DataFrame, feature_set: str = "managed", target: str = "
     if fill_strategy == "drop":
         return x.na.drop(subset=feats)
     fills = fill_values(x, feats, fill_strategy, fill_value)
-    # an all-missing column has no median/mode: fall back to the constant
-    fills = {c: (v if v is not None else fill_value) for c, v in fills.items()}
-    return x.select(*keep, *[F.coalesce(F.col(c), F.lit(fills[c])).alias(c) for c in feats],
+    if fill_empty_columns:
+        fills = {c: (v if v is not None else fill_value) for c, v in fills.items()}
+    return x.select(*keep, *[F.coalesce(F.col(c), F.lit(fills[c])).alias(c) if fills.get(c) is not None
+                             else F.col(c) for c in feats],
                     *[c for c in x.columns if c.endswith("_missing")], F.col(target))
 
 

@@ -25,7 +25,8 @@ SMALL_FOREST = {"n_estimators": 30, "max_depth": 10, "min_samples_leaf": 5}
 def training_table(spark, sf):
     """Labelled canonical rows, managed features (median fill), label 0..5, group split flag."""
     lab = V.labelled(spark, sf).where(F.col("is_canonical_event_record") & F.col("usable_for_training"))
-    tm = FE.training_matrix(lab, "managed", "rank_tz", fill_strategy="median", keep=K + ["event_id", "equipment_count"])
+    tm = FE.training_matrix(lab, "managed", "rank_tz", fill_strategy="median", keep=K + ["event_id", "equipment_count"],
+                            fill_empty_columns=True)
     tm = L.with_label(tm)
     return SP.split(tm, "group_shuffle", 0.25, 42)
 
@@ -97,7 +98,8 @@ def m15_batch_scoring(spark, sf):
     """Score every incident (not only labelled ones): features -> forest -> top-3 ranks per row."""
     m, data = _fit_eval(spark, sf, "random_forest", SMALL_FOREST)
     allrows = V.labelled(spark, sf)
-    filled = FE.training_matrix(allrows.withColumn("_t", F.lit(1)), "managed", "_t", fill_strategy="median", keep=K)
+    filled = FE.training_matrix(allrows.withColumn("_t", F.lit(1)), "managed", "_t", fill_strategy="median", keep=K,
+                                   fill_empty_columns=True)
     scored = m.transform(filled.withColumn("label", F.lit(0.0)))
     from pyspark.ml.functions import vector_to_array
     pred = scored.select(*K, L._pad6(vector_to_array("probability")).alias("probability"))
