@@ -31,5 +31,6 @@ def register(name: str, sql: str | Callable[[], str] | None = None, ids: tuple[s
 
 def all_queries() -> dict[str, Query]:
     # importing the catalogue modules fills the registry
-    from . import catalog_clean, catalog_features, catalog_eval, catalog_relational, catalog_ml  # noqa: F401
+    from . import (catalog_clean, catalog_eval, catalog_features, catalog_ml, catalog_relational,  # noqa: F401
+                   catalog_streaming)
     return dict(_REGISTRY)

@@ -1,0 +1,134 @@
+"""Structured Streaming operators.
+
+Every stream reads table files as they land (``readStream`` over the table's
+folder, one glob per table) and is written with ``foreachBatch``: each
+micro-batch goes to ``<sink>/_batch_id=<n>`` in overwrite mode, so a batch that
+is replayed after a failure rewrites its own output and the sink stays
+exactly-once. Offsets and operator state live under the query's
+``checkpointLocation`` inside the cluster's shared ``spark.checkpoint.dir``.
+
+``run_available_now`` drains whatever has arrived (``trigger(availableNow=True)``)
+and returns the sink as a batch DataFrame; a long-running deployment starts the
+same ``writeStream`` with a processing-time trigger instead. Update-mode
+aggregations emit a new version of a key whenever it changes;
+:func:`latest_per_key` folds the emitted versions back into one row per key
+(the one from the highest batch id), which is an ordinary grouped aggregation.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import ensure_checkpoint_dir, table_path
+
+BATCH_ID = "_batch_id"
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Streaming read of one table's Parquet files (schema taken from the files already present)."""
+    schema = spark.read.parquet(table_path(sf_dir, name)).schema
+    return (spark.readStream.schema(schema)
+            .option("pathGlobFilter", f"{name}.parquet")
+            .option("maxFilesPerTrigger", 64)
+            .parquet(sf_dir))
+
+
+def stream_folder(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Streaming read of a folder of Parquet files written by an upstream job."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder for one stream run under the shared checkpoint folder."""
+    return os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def run_available_now(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+    """Drain the stream into a per-batch Parquet sink; return the sink as a batch DataFrame."""
+    spark = stream.sparkSession
+    base = scratch(spark, name)
+    sink = os.path.join(base, "out")
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(sink, f"{BATCH_ID}={batch_id}"))
+
+    query = (stream.writeStream.queryName(f"{name}_{uuid.uuid4().hex[:6]}")
+             .outputMode(output_mode)
+             .option("checkpointLocation", os.path.join(base, "checkpoint"))
+             .trigger(availableNow=True)
+             .foreachBatch(write_batch)
+             .start())
+    query.awaitTermination()
+    schema = stream.schema.add(BATCH_ID, "long")
+    if not _has_output(spark, sink):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(sink)
+
+
+def _has_output(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def latest_per_key(emitted: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: the version emitted by the highest batch id (update-mode fold)."""
+    values = [c for c in emitted.columns if c not in keys and c != BATCH_ID]
+    best = F.max_by(F.struct(*values), F.col(BATCH_ID)).alias("_v")
+    return emitted.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
+# ---------------------------------------------------------------------------
+# Idempotent import (redelivered rows removed within the watermark)
+# ---------------------------------------------------------------------------
+
+EVENT_TIME = "_event_time"
+
+
+def _event_time(c: str):
+    """Watermarks need TIMESTAMP; wall-clock TIMESTAMP_NTZ columns are read in the session time zone."""
+    return F.col(c).cast("timestamp")
+
+
+def dedup_import(stream: DataFrame, key: str, time_col: str, delay: str = "1 hour") -> DataFrame:
+    """Drop redelivered copies of ``key`` that arrive within ``delay`` of each other."""
+    return (stream.withColumn(EVENT_TIME, _event_time(time_col)).withWatermark(EVENT_TIME, delay)
+            .dropDuplicatesWithinWatermark([key]).drop(EVENT_TIME))
+
+
+# ---------------------------------------------------------------------------
+# Latest stage per incident (stateful aggregation, update mode)
+# ---------------------------------------------------------------------------
+
+def latest_stage(stream: DataFrame, key: str, time_col: str, stage_col: str, id_col: str) -> DataFrame:
+    """Per ``key``: the newest stage (ties on time broken by the larger id) and the number of updates."""
+    order = F.struct(F.col(time_col), F.col(id_col))
+    latest = F.max_by(F.struct(F.col(stage_col).alias("stage"), F.col(time_col).alias("stage_time"),
+                               F.col(id_col).alias("stage_id")), order)
+    return (stream.groupBy(key)
+            .agg(latest.alias("_l"), F.count(F.lit(1)).alias("n_updates"))
+            .select(key, "_l.stage", "_l.stage_time", "_l.stage_id", "n_updates"))
+
+
+# ---------------------------------------------------------------------------
+# Tumbling-window counts with a watermark (late rows dropped)
+# ---------------------------------------------------------------------------
+
+def tumbling_counts(stream: DataFrame, time_col: str, by: list[str], width: str = "1 day",
+                    delay: str = "1 hour") -> DataFrame:
+    """Counts per ``width`` window and ``by``; rows later than ``delay`` behind the watermark are dropped."""
+    ntz = dict(stream.dtypes)[time_col] == "timestamp_ntz"
+    w = F.window(F.col(EVENT_TIME), width)
+
+    def bound(c):
+        return c.cast("timestamp_ntz") if ntz else c
+
+    return (stream.withColumn(EVENT_TIME, _event_time(time_col)).withWatermark(EVENT_TIME, delay)
+            .groupBy(w.alias("w"), *by)
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select(bound(F.col("w.start")).alias("window_start"), bound(F.col("w.end")).alias("window_end"),
+                    *by, "n"))

@@ -18,6 +18,7 @@ FAST = [
     "r2_parse_diagnostics", "r7_nearest_rank", "r9_assign_rank", "r10_rank_distribution", "f2_response_deltas",
     "f7_bins", "f16_training_matrix", "a3_numeric_summary", "a4_robust_summary", "a9_spearman",
     "m1_split_group_shuffle", "m12_metric_passport", "j1_promote_decisions", "s12_log_window", "t3_top_k",
+    "x2_idempotent_import", "x3_latest_stage", "x4_tumbling_log_counts",
 ]
 SQL = E.oracle_sql()
 NAMES = sorted(SQL) if os.environ.get("EMBERLINE_ORACLE_ALL") else FAST
