@@ -381,3 +381,45 @@ def r14_rank_descriptions(spark, sf):
     """Rank label and description lookup on the rank distribution."""
     g = V.labelled(spark, sf).groupBy(F.col("rank_tz").alias("rank")).agg(F.count(F.lit(1)).alias("n"))
     return g.select("rank", "n", R.rank_label("rank").alias("label"), R.rank_description("rank").alias("description"))
+
+
+# --- contract checks (P14, P17) ------------------------------------------------
+
+_P14_RULES = ["dup_flag", "flag_date_outlier", "flag_negative_values", "flag_floor_inconsistent"]
+
+
+def _p14_sql():
+    dup = (f"row_number() OVER (PARTITION BY {', '.join(S.EN_COLS)} ORDER BY {KS}) > 1")
+    case = " ".join(f"WHEN coalesce({c}, false) THEN '{c}'" for c in ["dup_flag"] + _P14_RULES[1:])
+    steps = ", ".join(f"({i + 1}, '{r}')" for i, r in enumerate(_P14_RULES))
+    return _w(V.sql_stage1(),
+              f", d AS (SELECT *, {dup} AS dup_flag FROM stage1),\n"
+              f"f AS (SELECT CASE {case} END AS rule FROM d),\n"
+              f"r AS (SELECT * FROM (VALUES {steps}) t(step, rule))\n"
+              "SELECT r.step, r.rule, count(f.rule) AS removed, "
+              "(SELECT count(*) FROM d) - sum(count(f.rule)) OVER (ORDER BY r.step) AS remaining "
+              "FROM r LEFT JOIN f ON f.rule = r.rule GROUP BY r.step, r.rule")
+
+
+@register("p14_rejection_log", sql=_p14_sql, ids=("P14", "D1"))
+def p14_rejection_log(spark, sf):
+    """Removal log of the four ordered rejection rules (each counted on the survivors of the earlier ones)."""
+    from ..operators import contract as CT
+    flagged = I.full_row_duplicates(V.stage1(spark, sf), S.EN_COLS, K)
+    return CT.apply_rejection_rules(flagged, CT.default_rejection_rules())[1]
+
+
+def _missing_sql(fields):
+    parts = ", ".join(f"CASE WHEN {c} IS NULL OR isnan(CAST({c} AS DOUBLE)) THEN '{c}' END" for c in fields)
+    return f"list_filter([{parts}], lambda x: x IS NOT NULL)"
+
+
+@register("p17_stage_requirements", sql=lambda: _w(V.sql_stage1(),
+          f"SELECT {KS}, {_missing_sql(['t_arrival_min'])} AS missing_arrival, "
+          f"{_missing_sql(['t_arrival_min', 't_first_hose_min'])} AS missing_first_hose FROM stage1"),
+          ids=("P17",))
+def p17_stage_requirements(spark, sf):
+    """Required times missing per row for the arrival and first-hose stages."""
+    from ..operators import contract as CT
+    return V.stage1(spark, sf).select(*K, CT.missing_for_stage(S.STAGE_ARRIVAL).alias("missing_arrival"),
+                                      CT.missing_for_stage(S.STAGE_FIRST_HOSE).alias("missing_first_hose"))
