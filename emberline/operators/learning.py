@@ -277,9 +277,14 @@ def segment(df: DataFrame, features: list[str], k: int = 4, seed: int = 42, algo
             keep: list[str] = ()) -> tuple[DataFrame, dict]:
     """K-means (or bisecting k-means in place of agglomerative) on filled features."""
     filled = df.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
-    data = assemble(filled, features)
+    # iterative fit: cache the assembled input so each iteration reads it once from memory/disk
+    data = assemble(filled, features).persist()
     est = (KMeans(k=k, seed=seed, maxIter=50) if algorithm == "kmeans" else BisectingKMeans(k=k, seed=seed))
-    model = est.fit(data)
+    try:
+        model = est.fit(data)
+    finally:
+        data.unpersist()
+    data = assemble(filled, features)
     out = model.transform(data).withColumnRenamed("prediction", "cluster")
     info = {"k": k, "inertia": float(model.summary.trainingCost),
             "centres": [c.tolist() for c in model.clusterCenters()]}

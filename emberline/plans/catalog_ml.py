@@ -149,20 +149,24 @@ def m21_clustering_grid(spark, sf):
             base = lab.dropna(subset=feats) if imputation == "dropna" else lab.fillna(
                 {c: v for c, v in FE.fill_values(lab, feats, "median").items() if v is not None})
             base = base.where(F.col("rank_tz").isNotNull())
-            z = L.standardize(base, feats, keep=K + ["rank_tz"])
+            z = L.standardize(base, feats, keep=K + ["rank_tz"]).persist()
             n = z.count()
             for algorithm in ("kmeans", "bisecting"):
                 for k in range(2, 5):
                     if n < max(2 * k, 10):
                         continue
                     seg, info = L.segment(z, feats, k=k, algorithm=algorithm, keep=K + ["rank_tz"])
+                    seg = seg.persist()  # read by the three evaluations below
                     v = E.cluster_validity(seg, feats, "cluster").first()
                     a = E.rank_alignment(seg, "cluster", "rank_tz").first()
+                    # one row per cluster: bounded by k
                     sizes = [r[0] for r in seg.groupBy("cluster").count().select("count").collect()]
+                    seg.unpersist()
                     rows.append((run, gname, imputation, algorithm, k, n, info["silhouette_sq"], v["davies_bouldin"],
                                  v["calinski_harabasz"], info["inertia"], min(sizes), max(sizes), min(sizes) / n,
                                  None, a["purity"], a["nmi"]))
                     run += 1
+            z.unpersist()
     lab.unpersist()
     schema = ("run_id int, feature_set string, imputation string, algorithm string, k int, rows_used long, "
               "silhouette double, davies_bouldin double, calinski_harabasz double, inertia double, cluster_min long, "
