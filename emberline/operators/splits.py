@@ -42,12 +42,16 @@ def split(df: DataFrame, protocol: str, test_size: float = 0.25, seed: int = 42,
             n_groups = keyed.select("_g").distinct().count()
             folds = max(2, min(n_folds, int(n_groups)))
             return keyed.withColumn("is_test", F.floor(F.col("_u") * folds) == 0).drop("_g", "_u")
-        groups = keyed.select("_g", "_u").distinct()
-        n_groups = groups.count()
-        n_test = int(math.ceil(test_size * n_groups))
-        if n_test <= 0:
-            return keyed.withColumn("is_test", F.lit(False)).drop("_g", "_u")
-        cut = order_statistics(groups, "_u", [n_test - 1])[0]
+        # distinct groups are read by the count and every selection round: compute them once
+        groups = keyed.select("_g", "_u").distinct().persist()
+        try:
+            n_groups = groups.count()
+            n_test = int(math.ceil(test_size * n_groups))
+            if n_test <= 0:
+                return keyed.withColumn("is_test", F.lit(False)).drop("_g", "_u")
+            cut = order_statistics(groups, "_u", [n_test - 1])[0]
+        finally:
+            groups.unpersist()
         return keyed.withColumn("is_test", F.col("_u") <= F.lit(cut)).drop("_g", "_u")
     if protocol == TEMPORAL_HOLDOUT:
         return _temporal(df, test_size, date_col, order_cols)

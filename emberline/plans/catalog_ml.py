@@ -24,7 +24,9 @@ SMALL_FOREST = {"n_estimators": 30, "max_depth": 10, "min_samples_leaf": 5}
 
 def training_table(spark, sf):
     """Labelled canonical rows, managed features (median fill), label 0..5, group split flag."""
-    lab = V.labelled(spark, sf).where(F.col("is_canonical_event_record") & F.col("usable_for_training"))
+    # the labelled rows feed the fill statistics, the split and the fit: evaluate the pipeline once
+    lab = (V.labelled(spark, sf).where(F.col("is_canonical_event_record") & F.col("usable_for_training"))
+           .select(*K, "event_id", "equipment_count", "rank_tz", *FEATS).persist())
     tm = FE.training_matrix(lab, "managed", "rank_tz", fill_strategy="median", keep=K + ["event_id", "equipment_count"],
                             fill_empty_columns=True)
     tm = L.with_label(tm)
