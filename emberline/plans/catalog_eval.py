@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import feature_sets as FS
+from .. import schema as S
 from ..operators import profiling as P
 from ..operators.cleaning import period_group
 from . import incidents as V
@@ -495,3 +497,80 @@ def m23_rank_alignment(spark, sf):
     seg = lab.select(*_SEG, "rank_tz", _seg_cluster_spark().alias("cluster"))
     a = E.rank_alignment(seg, "cluster", "rank_tz")
     return a.select(F.round("purity", 6).alias("purity"), F.round("nmi", 6).alias("nmi"))
+
+
+# production-safety gate (M36) ------------------------------------------------------
+
+def _m36_candidates():
+    """Passport metadata of three candidate models (the data-derived split fields are added per query)."""
+    from ..functions.resources import NORMATIVE_VERSION
+    ct = FS.CONTRACT_SETS
+    return [
+        ("dispatch_candidate", "rank_tz", False, "rank_tz_lpr_dispatch_production", S.STAGE_DISPATCH, "rank_tz_vector",
+         "dispatch_initial_safe", None, "preprocessor", "training_schema_v1", NORMATIVE_VERSION,
+         "dispatch_initial_safe", list(ct["dispatch_initial_safe"][0])),
+        ("research_forest", "rank_tz", True, "research", S.STAGE_RETROSPECTIVE, "rank_tz_vector", "managed", None,
+         None, "training_schema_v1", NORMATIVE_VERSION, None, list(FS.TRAINING_SETS["managed"])),
+        ("legacy_tactical", "rank_tz", False, "rank_tz_lpr_dispatch_production", S.STAGE_DISPATCH, "rank_tz_count_proxy",
+         "online_tactical", "first_hose_update_safe", "preprocessor", None, NORMATIVE_VERSION, "online_tactical",
+         list(ct["online_tactical"][0])),
+    ]
+
+
+_M36_FIELDS = ["model", "target", "offline_only", "deployment_role", "availability_stage", "semantic_target",
+               "feature_set", "legacy_alias", "preprocessor_path", "training_schema_version", "normative_version",
+               "input_schema", "features"]
+
+
+def _sql_lit(v):
+    if v is None:
+        return "CAST(NULL AS VARCHAR)"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, list):
+        return "[" + ", ".join(_sql_lit(x) for x in v) + "]::VARCHAR[]"
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def _m36_sql():
+    from ..operators import contract as CT
+    vals = ",\n".join("(" + ", ".join(_sql_lit(v) for v in row) + ")" for row in _m36_candidates())
+
+    def blank(c):
+        return f"({c} IS NULL OR {c} = '')"
+
+    def inlist(xs):
+        return ", ".join(_sql_lit(x) for x in xs)
+
+    disp = f"coalesce(availability_stage = '{S.STAGE_DISPATCH}', false)"
+    conds = [
+        "NOT coalesce(target = 'rank_tz', false)", "coalesce(offline_only, false)",
+        f"NOT coalesce(deployment_role IN ({inlist(CT.PRODUCTION_ROLE_WHITELIST)}), false)", f"NOT {disp}",
+        "NOT coalesce(semantic_target = 'rank_tz_vector', false)",
+        f"NOT coalesce(feature_set = '{CT.DEFAULT_LPR_FEATURE_SET}', false)",
+        f"(coalesce(feature_set = '{CT.LEGACY_FEATURE_SET}', false) OR NOT {blank('legacy_alias')})",
+        f"NOT coalesce(split_protocol IN ({inlist(CT.PRODUCTION_SAFE_SPLITS)}), false)",
+        "coalesce(CAST(event_overlap_rate AS DOUBLE), 1.0) <> 0.0",
+        blank("preprocessor_path"), blank("training_schema_version"), blank("normative_version"),
+        blank("input_schema"),
+        f"({disp} AND len(list_intersect(coalesce(features, []::VARCHAR[]), "
+        f"{_sql_lit(S.DISPATCH_FORBIDDEN_FIELDS)})) > 0)",
+    ]
+    cases = ", ".join(f"CASE WHEN {c} THEN {_sql_lit(r)} END" for c, r in zip(conds, CT.UNSAFE_REASONS))
+    return (f"WITH p AS ({_m2_sql()}),\nc AS (SELECT * FROM (VALUES {vals}) t({', '.join(_M36_FIELDS)})),\n"
+            f"r AS (SELECT c.model, p.split_protocol, p.event_overlap_rate, list_filter([{cases}], lambda x: x IS NOT NULL) "
+            "AS unsafe_reasons FROM p, c)\n"
+            "SELECT model, split_protocol, event_overlap_rate, unsafe_reasons, len(unsafe_reasons) = 0 AS production_safe FROM r")
+
+
+@register("m36_production_gate", sql=_m36_sql, ids=("M36", "P18", "M2"))
+def m36_production_gate(spark, sf):
+    """Failed production rules for three candidate models over the data's group-split passport."""
+    from ..operators import contract as CT
+    sp = m2_split_passport(spark, sf).select("split_protocol", "event_overlap_rate")
+    struct_of = [F.struct(*[(F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v).cast(
+        "boolean" if isinstance(v, bool) else "string")).alias(n) for n, v in zip(_M36_FIELDS, row)])
+        for row in _m36_candidates()]
+    passports = sp.select("*", F.inline(F.array(*struct_of)))
+    return CT.unsafe_reasons(passports).select("model", "split_protocol", "event_overlap_rate", "unsafe_reasons",
+                                               "production_safe")
