@@ -574,3 +574,21 @@ def m36_production_gate(spark, sf):
     passports = sp.select("*", F.inline(F.array(*struct_of)))
     return CT.unsafe_reasons(passports).select("model", "split_protocol", "event_overlap_rate", "unsafe_reasons",
                                                "production_safe")
+
+
+def _a20_sql():
+    return ("WITH t AS (" + all_t3_sql() + ")\n"
+            "SELECT label, rank, count(*) AS n, round(avg(probability), 6) AS mean_probability, "
+            "min(probability) AS min_probability, max(probability) AS max_probability, "
+            "round(count(*) / sum(count(*)) OVER (), 6) AS share FROM t WHERE position = 1 GROUP BY label, rank")
+
+
+def all_t3_sql():
+    from .registry import all_queries
+    return all_queries()["t3_top_k"].sql
+
+
+@register("a20_prediction_summary", sql=_a20_sql, ids=("A20", "T3"))
+def a20_prediction_summary(spark, sf):
+    """Top-1 label distribution of the prediction table with its probability spread."""
+    return E.prediction_summary(t3_top_k(spark, sf))
