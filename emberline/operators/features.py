@@ -329,3 +329,30 @@ def experiment_feature_sets(df: DataFrame, target: str = "rank_tz") -> dict[str,
             and not c.startswith("flag_") and not c.endswith("_invalid")]
     sets["wide_numeric"] = wide
     return sets
+
+
+def ordered_union(*column_lists: list[str]) -> list[str]:
+    """The column lists concatenated in order, each name kept at its first appearance."""
+    out: list[str] = []
+    seen: set[str] = set()
+    for cols in column_lists:
+        for c in cols:
+            if c not in seen:
+                seen.add(c)
+                out.append(c)
+    return out
+
+
+_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
+
+
+def feature_types(df: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """(feature, dtype, kind) for the chosen columns; kind is numeric or categorical.
+
+    Built from the schema (one row per column), so it is independent of the row count.
+    """
+    from pyspark.sql import SparkSession
+    types = dict(df.dtypes)
+    rows = [(c, types[c], "numeric" if types[c] in _NUMERIC or types[c].startswith("decimal") else "categorical")
+            for c in (features or df.columns) if c in types]
+    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, dtype string, kind string")
