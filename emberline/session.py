@@ -45,13 +45,15 @@ def get_session(app: str = "emberline", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset.
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared folder every executor can reach; the
-    local fallback exists for tests and single-machine runs only.
+    Every executor must reach it, so a cluster without the setting is an error. Only
+    a ``local`` master, where driver and executor are one process, gets a scratch folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="emberline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
