@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, read_table
 
-__all__ = ["components", "fresh", "is_learnable", "read_table", "shared_path", "small_batches", "written"]
+__all__ = ["components", "fresh", "is_learnable", "ranked", "read_table", "shared_path", "small_batches", "written"]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -45,6 +47,25 @@ def is_learnable(doc_id: Column, folds: int, held_out: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds != held_out
 
 
+def ranked(df: DataFrame, groups: list[str], order: list[str], rank: str) -> DataFrame:
+    """``df`` with the 0-based ``rank`` of each row in its group by ``order``, however large a group is.
+
+    A range sort on groups and order is written once; the position inside a file
+    partition comes from ``monotonically_increasing_id`` and only one count per
+    (partition, group) is summed up over the partitions. Rows equal in all these columns rank in any order.
+    """
+    at, part, first, n = (fresh(c, df.columns) for c in ("at_", "part_", "first_", "n_"))
+    keys = [F.col(c) for c in (*groups, *order)]
+    sort = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()), "sorted")
+    sort = sort.withColumn(part, F.shiftright(at, 33))
+    own = {c: fresh(f"{c}_start", [*df.columns, at, part, first, n]) for c in (part, *groups)}
+    counts = sort.groupBy(*[F.col(c).alias(o) for c, o in own.items()]).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(*[own[c] for c in groups]).orderBy(own[part]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn(first, F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(first)).drop(n)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(o)) for c, o in own.items()])
+    return sort.join(starts, same).select(*df.columns, (F.col(at) + F.col(first)).alias(rank))
+
+
 def _oriented(edges: DataFrame) -> DataFrame:
     return (edges.where(F.col("a") != F.col("b"))
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from . import mixing, winnowing
+from .kd_shards import op4_kd_shards
 from .simhash_anchors import op3_simhash_anchors
 
 QUERIES = {
     "op3_simhash_anchors": op3_simhash_anchors,
+    "op4_kd_shards": op4_kd_shards,
+    "op9_winnowing": winnowing.op9_winnowing,
+    "op10_systematic_mix": mixing.op10_systematic_mix,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_winnowing": winnowing.SQL,
+    "op10_systematic_mix": mixing.SQL,
+}
