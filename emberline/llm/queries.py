@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from . import mixing, winnowing
 from .kd_shards import op4_kd_shards
+from .kernel_toxicity import op8_kernel_toxicity
+from .rule_quality import op7_rule_quality
 from .simhash_anchors import op3_simhash_anchors
 
 QUERIES = {
     "op3_simhash_anchors": op3_simhash_anchors,
     "op4_kd_shards": op4_kd_shards,
+    "op7_rule_quality": op7_rule_quality,
+    "op8_kernel_toxicity": op8_kernel_toxicity,
     "op9_winnowing": winnowing.op9_winnowing,
     "op10_systematic_mix": mixing.op10_systematic_mix,
 }
