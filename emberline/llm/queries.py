@@ -5,12 +5,16 @@ from __future__ import annotations
 from . import mixing, winnowing
 from .kd_shards import op4_kd_shards
 from .kernel_toxicity import op8_kernel_toxicity
+from .kneser_ney_langid import op2_kneser_ney_langid
+from .prefix_hashes import op6_prefix_hashes
 from .rule_quality import op7_rule_quality
 from .simhash_anchors import op3_simhash_anchors
 
 QUERIES = {
+    "op2_kneser_ney_langid": op2_kneser_ney_langid,
     "op3_simhash_anchors": op3_simhash_anchors,
     "op4_kd_shards": op4_kd_shards,
+    "op6_prefix_hashes": op6_prefix_hashes,
     "op7_rule_quality": op7_rule_quality,
     "op8_kernel_toxicity": op8_kernel_toxicity,
     "op9_winnowing": winnowing.op9_winnowing,
