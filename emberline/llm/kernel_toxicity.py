@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import fresh, is_learnable, read_table, small_batches
+from .common import fresh, is_learnable, read_table, small_batches, written
 from .rule_quality import labels_of
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
@@ -264,7 +264,7 @@ def _with_insertions(words: Counter, rng: np.random.Generator) -> dict[bytes, fl
 def fit(toxic: list[str], clean: list[str], seed: int = 8) -> Machine:
     """Machine from labelled texts. Without texts of both classes the score is a constant (0.9 for toxic ones only, else 0.1)."""
     rng = np.random.default_rng(seed)
-    toxic, clean = list(dict.fromkeys(toxic)), list(dict.fromkeys(clean))
+    toxic, clean = sorted(set(toxic)), sorted(set(clean))
     bags, other = [Counter(_words(t)) for t in toxic], [set(_words(t)) for t in clean]
     bags = [b for b in bags if b]
     in_clean = Counter(w for b in other for w in b)
@@ -332,12 +332,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """Machine from the learnable labelled rows of ``docs``: of each class those lowest by hash, up to the stated bounds."""
-    known = docs.select("doc_id", F.col("text").alias("text")).where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    known = known.join(labels_of(labels, "toxic", FOLDS, HELD_OUT), F.col("doc_id") == F.col("label_id"))
+    lean = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", F.xxhash64("text").alias("code"))
+    known = written(lean.join(labels_of(labels, "toxic", FOLDS, HELD_OUT), F.col("doc_id") == F.col("label_id"))
+                    .select("doc_id", "code", "label").distinct(), "learnable")
 
     def sample(label: int, most: int) -> list[str]:
-        rows = known.where(F.col("label") == label).orderBy(F.xxhash64("text", "doc_id"), "doc_id").limit(most)
-        return [r["text"] for r in rows.select("text").collect()]
+        # At most ``most`` pairs of id and code; only their texts are fetched, and no text is shuffled.
+        keys = known.where(F.col("label") == label).orderBy("code", "doc_id").limit(most)
+        picked = keys.select(F.col("doc_id").alias("picked_id"), F.col("code").alias("picked_code"))
+        same = (F.col("doc_id") == F.col("picked_id")) & (F.xxhash64("text") == F.col("picked_code"))
+        return [r["text"] for r in docs.select("doc_id", "text").join(F.broadcast(picked), same, "left_semi").select("text").distinct().collect()]
 
     return fit(sample(1, SAMPLE_TOXIC), sample(0, SAMPLE_CLEAN))
 
