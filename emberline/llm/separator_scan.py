@@ -130,11 +130,11 @@ def scan(files: DataFrame, eod: int = EOD, dtype: str = DTYPE, block_tokens: int
     found = written(blocks.repartition(n, "file", "first").mapInArrow(_scan(dtype, eod), "file string, first long, tokens long, file_tokens long, ends array<long>"), "ends")
     # The prefix scan: one row per block, in file order.
     before = Window.partitionBy("file").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    lean = found.select("file", "first", F.size("ends").alias("n"), F.element_at("ends", -1).alias("last"), "tokens", "file_tokens")
+    lean = found.select("file", "first", F.size("ends").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last"), "tokens", "file_tokens")
     scanned = lean.select(F.col("file").alias("scan_file"), F.col("first").alias("scan_first"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"),
                           F.coalesce(F.max("last").over(before) + 1, F.lit(0)).alias("carry"))
     joined = found.join(scanned, (F.col("file") == F.col("scan_file")) & (F.col("first") == F.col("scan_first")))
-    here = F.coalesce(F.element_at("ends", -1) + 1, F.col("carry"))
+    here = F.coalesce(F.try_element_at("ends", F.lit(-1)) + 1, F.col("carry"))
     rest = (F.col("first") + F.col("tokens") == F.col("file_tokens")) & (here < F.col("file_tokens"))
     closed = F.when(rest, F.concat("ends", F.array("file_tokens"))).otherwise(F.col("ends"))
     starts = F.concat(F.array("carry"), F.transform("ends", lambda e: e + 1))
