@@ -11,6 +11,7 @@ extensions from both ends cover.
 Scale. A document meets the next one by id without a global sort of one task and
 without joining texts: ids alone give range bounds, texts are dealt once by these
 bounds, and the first document of each range is dealt to the range before it too.
+Texts travel Zstandard-compressed, which keeps rows of the shuffle and its sort small.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from .common import read_table, small_batches
 
@@ -103,12 +105,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (part, tail, id, hash); each row but a tail is compared with the next of its part."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    held = None
+    held, unpack = None, zstandard.ZstdDecompressor().decompress
     for batch in batches:
         rows = []
         ids = batch.column(1)
         for part, doc_id, tail, text in zip(batch.column(0).to_pylist(), ids.to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            now = Prefixes(text or "")
+            now = Prefixes(unpack(text).decode("utf-8"))
             if held and held[0] == part:
                 _, old_id, old = held
                 half = old.n // 2
@@ -140,20 +142,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bounds = sorted({(r["some"], r["id"], r["code"]) for r in firsts})
     sent = spark.sparkContext.broadcast(bounds)
 
-    @F.pandas_udf(IntegerType())
-    def place_of(some: pd.Series, ids: pd.Series, codes: pd.Series) -> pd.Series:
-        """Twice the number of the range, plus one for a row that is the least of its range."""
-        known, out = sent.value, []
-        for k in zip(some.tolist(), ids.tolist(), codes.tolist(), strict=True):
+    @F.pandas_udf(StructType([StructField("place", IntegerType()), StructField("text", BinaryType())]))
+    def placed(some: pd.Series, ids: pd.Series, codes: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        """Twice the number of the range, plus one for a row that is the least of its range; and the packed text."""
+        known, out, pack = sent.value, [], zstandard.ZstdCompressor(level=1).compress
+        for k, text in zip(zip(some.tolist(), ids.tolist(), codes.tolist(), strict=True), texts, strict=True):
             at = bisect_right(known, k) - 1
-            out.append(2 * at + (known[at] == k))
-        return pd.Series(out, dtype="int32")
+            out.append((2 * at + (known[at] == k), pack(text)))
+        return pd.DataFrame(out, columns=["place", "text"])
 
-    place, n = F.col("place"), max(1, len(bounds))
-    marked = lean.select("doc_id", "text", order.alias("k")).withColumn("place", place_of("k.some", "k.id", "k.code"))
+    place, n = F.col("p.place"), max(1, len(bounds))
+    packed = placed("k.some", "k.id", "k.code", F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    marked = lean.select("doc_id", "text", order.alias("k")).select("doc_id", "k", packed.alias("p"))
     own = F.struct(F.shiftright(place, 1).alias("part"), F.lit(False).alias("tail"))
     before = F.struct(F.pmod(F.shiftright(place, 1) - 1, F.lit(n)).alias("part"), F.lit(True).alias("tail"))
-    dealt = marked.select("doc_id", "text", "k", F.explode(F.when(place % 2 == 1, F.array(own, before)).otherwise(F.array(own))).alias("at"))
+    dealt = marked.select("doc_id", F.col("p.text").alias("text"), "k", F.explode(F.when(place % 2 == 1, F.array(own, before)).otherwise(F.array(own))).alias("at"))
     dealt = dealt.select("at.part", "doc_id", "at.tail", "text", "k").repartition("part").sortWithinPartitions("part", "tail", "k")
     schema = (f"doc_id {dict(lean.dtypes)['doc_id']}, n_chars long, edited_sha256 string, fingerprint string, "
               "edited_fingerprint string, near_edited double, near_next double")
