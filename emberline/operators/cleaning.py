@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.text import first_int, norm_text, strip, time_invalid, time_minutes
-from .quantiles import exact_percentiles
+from .quantiles import percentile_values
 
 
 def ensure_columns(df: DataFrame, names: list[str], dtype: str = "string") -> DataFrame:
@@ -107,14 +107,12 @@ def clean_stage1(df: DataFrame, time_mode: str = "reference") -> DataFrame:
 
 
 def severity_quantiles(stage1: DataFrame) -> dict[float, float]:
-    pos = stage1.where(F.col("severity_score") > 0)
-    recs = exact_percentiles(pos, "severity_score", [0.25, 0.5, 0.75])
-    return {r["p"]: r["value"] for r in recs}
+    found = percentile_values(stage1.where(F.col("severity_score") > 0), "severity_score", [0.25, 0.5, 0.75])
+    return {p: v for (_, p), v in found.items()}
 
 
 def damage_limit(stage1: DataFrame, q: float = S.DAMAGE_OUTLIER_QUANTILE) -> float | None:
-    recs = exact_percentiles(stage1, "direct_damage", [q])
-    return recs[0]["value"] if recs else None
+    return percentile_values(stage1, "direct_damage", [q]).get(("direct_damage", q))
 
 
 def severity_rank(score: Column | str, quartiles: dict[float, float]) -> Column:
@@ -131,10 +129,9 @@ def cleaning_statistics(stage1: DataFrame) -> tuple[dict[float, float], float |
     """Severity quartiles (positive scores) and the damage outlier limit in one pass set."""
     both = stage1.select(F.when(F.col("severity_score") > 0, F.col("severity_score")).alias("sev_pos"),
                          "direct_damage")
-    recs = exact_percentiles(both, ["sev_pos", "direct_damage"], [0.25, 0.5, 0.75, S.DAMAGE_OUTLIER_QUANTILE])
-    q = {r["p"]: r["value"] for r in recs if r["column"] == "sev_pos" and r["p"] < 0.9}
-    lim = [r["value"] for r in recs if r["column"] == "direct_damage" and r["p"] == S.DAMAGE_OUTLIER_QUANTILE]
-    return q, (lim[0] if lim else None)
+    found = percentile_values(both, ["sev_pos", "direct_damage"], [0.25, 0.5, 0.75, S.DAMAGE_OUTLIER_QUANTILE])
+    q = {p: v for (c, p), v in found.items() if c == "sev_pos" and p < 0.9}
+    return q, found.get(("direct_damage", S.DAMAGE_OUTLIER_QUANTILE))
 
 
 def clean(df: DataFrame, time_mode: str = "reference") -> DataFrame:

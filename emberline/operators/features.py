@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .. import feature_sets as FS
 from .. import schema as S
-from .quantiles import exact_percentiles
+from .quantiles import long_values, percentile_values
 
 
 @dataclass(frozen=True)
@@ -253,27 +253,19 @@ def numeric_columns(df: DataFrame) -> list[str]:
             or t.startswith("decimal")]
 
 
-def feature_types(df: DataFrame, features: list[str] | None = None) -> list[tuple[str, str]]:
-    """(feature, numeric|categorical) from the schema."""
-    num = set(numeric_columns(df))
-    return [(c, "numeric" if c in num else "categorical") for c in (features or df.columns)]
-
-
 def fill_values(df: DataFrame, columns: list[str], strategy: str, constant: float = 0.0) -> dict[str, float | None]:
     """Per-column fill value: constant, exact median (distributed) or mode (ties -> smallest)."""
     if strategy == "constant":
         return {c: constant for c in columns}
     if strategy == "median":
-        recs = exact_percentiles(df, columns, [0.5])
-        med = {r["column"]: r["value"] for r in recs}
-        return {c: med.get(c) for c in columns}
+        found = percentile_values(df, columns, [0.5])
+        return {c: found.get((c, 0.5)) for c in columns}
     if strategy == "mode":
-        out = {}
-        for c in columns:
-            top = (df.where(F.col(c).isNotNull()).groupBy(c).count()
-                   .orderBy(F.desc("count"), F.asc(c)).limit(1).collect())
-            out[c] = top[0][0] if top else constant
-        return out
+        # One job for all columns: the most frequent value, the smallest on ties.
+        counts = long_values(df, columns, []).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        top = counts.groupBy("column").agg(F.max_by("value", F.struct("n", (-F.col("value")).alias("low"))).alias("mode"))
+        found = {r["column"]: r["mode"] for r in top.collect()}
+        return {c: found.get(c, constant) for c in columns}
     raise ValueError(strategy)
 
 

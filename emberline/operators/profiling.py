@@ -3,12 +3,9 @@
 Shapes used throughout:
 * every multi-column statistic is computed in ONE aggregate (``agg`` over all
   columns) or by stacking columns into a long (column, value) table first;
-* exact quantiles come from :mod:`emberline.operators.quantiles` (distributed
-  selection, never a single-task percentile map);
-* average ranks (Spearman) come from :func:`average_ranks`, which range-
-  partitions the distinct values, takes prefix sums inside each partition and
-  adds per-partition offsets (a bounded list), instead of a global window that
-  would pull every row into one task.
+* exact quantiles come from :mod:`emberline.operators.quantiles`, average and dense
+  ranks from prefix sums over distinct values (:mod:`emberline.operators.prefix`);
+  no group, column or global window goes to one task.
 """
 
 from __future__ import annotations
@@ -16,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import exact_percentiles
+from ..session import written
+from .prefix import prefix_sums
+from .quantiles import percentiles
 
 MISSING = "__missing__"
 
@@ -42,51 +41,40 @@ def describe(df: DataFrame, columns: list[str], spark=None) -> DataFrame:
     base = long.groupBy("column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"),
                                       F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
                                       F.max("value").alias("max"))
-    q = _quantile_frame(df, columns, [0.25, 0.5, 0.75], [], {0.25: "q25", 0.5: "q50", 0.75: "q75"})
+    q = percentiles(df, columns, {0.25: "q25", 0.5: "q50", 0.75: "q75"}).drop("n")
     return base.join(q, "column", "left")
 
 
-def _quantile_frame(df: DataFrame, columns: list[str], probs: list[float], by: list[str], names: dict) -> DataFrame:
-    """Exact quantiles as a small wide DataFrame (column, by..., <name per p>)."""
-    recs = exact_percentiles(df, columns, probs, by)
-    spark = df.sparkSession
-    keyed: dict[tuple, dict] = {}
-    for r in recs:
-        keyed.setdefault((r["column"], *[r[b] for b in by]), {})[names[r["p"]]] = r["value"]
-    schema = "column string, " + "".join(f"{b} {df.schema[b].dataType.simpleString()}, " for b in by) \
-        + ", ".join(f"{n} double" for n in names.values())
-    rows = [(*k, *[v.get(n) for n in names.values()]) for k, v in keyed.items()]
-    # the frame has one row per (column, group): bounded by the caller's group count
-    return spark.createDataFrame(rows, schema)
-
-
 def robust_summary(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Count, missing, mean, std(pop), median, q05/25/75/95, IQR, MAD, min, max.
 
-    MAD needs the median first: a second exact-quantile pass runs over
-    ``|x - median|``; the per-(column, group) medians are a bounded table that is
-    broadcast into that pass.
+    MAD needs the median first: a second percentile pass runs over ``|x - median|``.
+    Both joins are on (column, group) with one row per key on the summary's side.
     """
     by = list(by or [])
+    keys = ["column", *by]
     long = _long(df, columns, by)
-    base = long.groupBy("column", *by).agg(
+    base = long.groupBy(*keys).agg(
         F.count("value").alias("count"), F.count_if(F.col("value").isNull()).alias("missing"),
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    names = {0.5: "median", 0.05: "q05", 0.25: "q25", 0.75: "q75", 0.95: "q95"}
-    q = _quantile_frame(df, columns, list(names), by, names)
-    dev = (long.join(F.broadcast(q.select("column", *by, "median")), ["column", *by])
-           .select("column", *by, F.abs(F.col("value") - F.col("median")).alias("dev")))
-    # pivot the deviations back to wide so the quantile helper sees one column per feature
-    mad_recs = exact_percentiles(dev, "dev", [0.5], ["column", *by])
-    spark = df.sparkSession
-    mad_schema = "column string, " + "".join(f"{b} {df.schema[b].dataType.simpleString()}, " for b in by) + "mad double"
-    mad = spark.createDataFrame([(r["column"], *[r[b] for b in by], r["value"]) for r in mad_recs], mad_schema)
-    out = base.join(q, ["column", *by], "left").join(mad, ["column", *by], "left")
+    q = written(percentiles(df, columns, {0.5: "median", 0.05: "q05", 0.25: "q25", 0.75: "q75", 0.95: "q95"}, by).drop("n"), "quantiles")
+    dev = _matched(long, q.select(*keys, "median"), keys).select(*keys, F.abs(F.col("value") - F.col("median")).alias("dev"))
+    mad = percentiles(dev.withColumnRenamed("column", "of_"), "dev", {0.5: "mad"}, ["of_", *by]).drop("column", "n").withColumnRenamed("of_", "column")
+    out = _matched(_matched(base, q, keys, "left"), mad, keys, "left")
     return out.select("column", *by, "count", "missing", "mean", "std", "median", "q05", "q25", "q75", "q95",
                       (F.col("q75") - F.col("q25")).alias("iqr"), "mad", "min", "max")
 
 
+def _matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where a null group meets the null group; the keys of ``left`` stay."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_right"))
+    renamed = right.withColumnsRenamed({k: f"{k}_right" for k in keys})
+    return left.join(renamed, same, how).drop(*[f"{k}_right" for k in keys])
+
+
 def robust_scale(summary: DataFrame, fallback: float = 1.0) -> DataFrame:
     """IQR/1.349, then 1.4826*MAD, then std, first positive; else ``fallback``."""
     iqr = F.when(F.col("q75") != F.col("q25"), (F.col("q75") - F.col("q25")) / 1.349).otherwise(F.lit(0.0))
@@ -103,12 +91,16 @@ def value_counts(df: DataFrame, column: str, top_n: int = 30, by: list[str] | No
     by = list(by or [])
     v = F.coalesce(F.col(column).cast("string"), F.lit(MISSING))
     g = df.groupBy(*by, v.alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    w_tot = Window.partitionBy(*by) if by else Window.partitionBy()
-    w_rank = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(F.desc("count"), "value")
-    # grouped table: one row per distinct value; windows run over that small table
-    return (g.select(*by, "value", "count", F.round(F.col("count") / F.sum("count").over(w_tot), 6).alias("share"),
-                     F.row_number().over(w_rank).alias("pos"))
-            .where(F.col("pos") <= top_n))
+    total = g.groupBy(*by).agg(F.sum("count").alias("total_"))
+    if by:
+        # Spark keeps only the first rows of each group before the shuffle of this window.
+        pos = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count"), "value"))
+        top = _matched(g.withColumn("pos", pos).where(F.col("pos") <= top_n), total, by)
+    else:
+        # A top-N of a sort; the window numbers at most N rows.
+        first = g.orderBy(F.desc("count"), "value").limit(top_n).crossJoin(total)
+        top = first.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("count"), "value")))
+    return top.select(*by, "value", "count", F.round(F.col("count") / F.col("total_"), 6).alias("share"), "pos")
 
 
 def max_row(df: DataFrame, column: str, keep: list[str], order: list[str]) -> DataFrame:
@@ -134,39 +126,38 @@ def flag_rates(df: DataFrame, flags: list[str]) -> DataFrame:
         .select("s.*", F.round("any_share", 6).alias("any_flag_share"))
 
 
-def pearson_matrix(df: DataFrame, columns: list[str], max_columns: int = 50) -> DataFrame:
-    """Pairwise-complete Pearson r for every pair (null -> 0, round 4) in one aggregate."""
-    cols = columns[:max_columns]
-    pairs = [(a, b) for a in cols for b in cols]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b) in
-                   enumerate(pairs)])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                                                   F.round(F.coalesce(F.col(f"{i}"), F.lit(0.0)), 4).alias("r"))
-                                          for i, (a, b) in enumerate(pairs)])).alias("s")).select("s.*")
+def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairwise-complete Pearson r of every pair of eligible columns (null -> 0, round 4) in one aggregate.
 
+    A column is eligible with three values or more that are not all equal. Only
+    pairs a < b are computed; r is symmetric and 1 on the diagonal.
+    """
+    num = [F.col(c).cast("double") for c in columns]
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    row = df.agg(*[F.corr(num[i], num[j]).alias(f"r_{i}_{j}") for i, j in pairs],
+                 *[((F.count(x) >= 3) & (F.min(x) != F.max(x))).alias(f"ok_{i}") for i, x in enumerate(num)])
 
-def average_ranks(df: DataFrame, column: str, partitions: int | None = None) -> DataFrame:
-    """(value, avg_rank): 1-based average rank of each distinct non-null value (ties averaged).
+    def cell(i: int, j: int):
+        r = F.lit(1.0) if i == j else F.round(F.coalesce(F.col(f"r_{min(i, j)}_{max(i, j)}"), F.lit(0.0)), 4)
+        return F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), r.alias("r"),
+                        (F.col(f"ok_{i}") & F.col(f"ok_{j}")).alias("ok"))
 
-    Distinct values are range-partitioned; each partition's prefix count comes
-    from a window *inside* that partition, and partition offsets are a tiny
-    collected list (one number per partition).
-    """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
-        F.count(F.lit(1)).alias("cnt"))
-    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(n_parts, "value").withColumn("pid", F.spark_partition_id())
-    totals = sorted((r["pid"], r["t"]) for r in ranged.groupBy("pid").agg(F.sum("cnt").alias("t")).collect())
-    offsets, acc = [], 0
-    for pid, t in totals:
-        offsets.append((pid, acc))
-        acc += t
-    off = df.sparkSession.createDataFrame(offsets or [(0, 0)], "pid int, offset long")
-    w = Window.partitionBy("pid").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = ranged.select("value", "cnt", "pid", F.sum("cnt").over(w).alias("cum"))
-    return (within.join(F.broadcast(off), "pid")
-            .select("value", ((F.col("offset") + F.col("cum") - F.col("cnt")) + (F.col("cnt") + 1) / 2.0)
-                    .alias("avg_rank")))
+    cells = F.array(*[cell(i, j) for i in range(len(columns)) for j in range(len(columns))])
+    return row.select(F.explode(cells).alias("s")).where("s.ok").select("s.a", "s.b", "s.r")
+
+
+def average_ranks(df: DataFrame, column: str) -> DataFrame:
+    """(value, avg_rank): 1-based average rank of each distinct non-null value (ties averaged)."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
+    placed = prefix_sums(counts, [], ["value"], "cnt", "below")
+    return placed.select("value", (F.col("below") + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))
+
+
+def dense_ranks(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., value, dense_rank): distinct non-null values numbered from 1 in rising order."""
+    by = list(by or [])
+    distinct = df.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("value")).distinct()
+    return prefix_sums(distinct, by, ["value"], None, "below").select(*by, "value", (F.col("below") + 1).alias("dense_rank"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -207,7 +198,7 @@ def histogram(df: DataFrame, column: str, nbins: int) -> DataFrame:
 def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
     """Per-group count, exact quartiles, IQR whiskers (1.5 IQR clipped to data)."""
     names = {0.25: "q1", 0.5: "median", 0.75: "q3"}
-    q = _quantile_frame(df.where(F.col(by).isNotNull()), [column], list(names), [by], names).drop("column")
+    q = percentiles(df.where(F.col(by).isNotNull()), [column], names, [by]).drop("column", "n")
     base = df.where(F.col(by).isNotNull() & F.col(column).isNotNull()).groupBy(by).agg(
         F.count(F.lit(1)).alias("count"), F.min(column).alias("min"), F.max(column).alias("max"))
     j = base.join(q, by)
@@ -220,8 +211,7 @@ def integer_like(df: DataFrame, columns: list[str], eps: float = 1e-8) -> DataFr
     """All non-null values within ``eps`` of an integer (one aggregate)."""
     row = df.agg(*[F.coalesce(F.bool_and(F.abs(F.col(c) - F.round(F.col(c))) <= eps), F.lit(False)).alias(c)
                    for c in columns],
-                 *[F.count(c).alias(f"n_{c}") for c in columns],
-                 *[F.approx_count_distinct(c).alias(f"d_{c}") for c in columns])
+                 *[F.count(c).alias(f"n_{c}") for c in columns])
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
                                                    (F.col(c) & (F.col(f"n_{c}") > 0)).alias("integer_like"))
                                           for c in columns])).alias("s")).select("s.*")

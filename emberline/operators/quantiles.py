@@ -1,223 +1,64 @@
-"""Exact, linearly interpolated percentiles that scale to very large columns.
+"""Exact, linearly interpolated percentiles of large columns, as DataFrame plans.
 
-Spark's exact ``percentile`` aggregate merges a value->count map of every
-distinct value into a single task per group, which does not survive a 100 TB
-column. Here the k-th order statistic is found by histogram refinement:
+Values are counted per (column, group, value) with map-side partial aggregation, so
+ties cost one row; prefix sums of the counts (:mod:`.prefix`) say which order
+statistics each value holds, and one grouped aggregate picks those that the wanted
+percentiles need. No group or column goes to one task, nothing but the result is
+ever on the driver, and there is no bound on groups or values.
 
-1. one aggregate gives ``n``, ``min`` and ``max`` per (column, group);
-2. each pass splits the still-open value range of every wanted order statistic
-   into ``bins`` equal-width buckets and counts rows per bucket (a tiny
-   ``groupBy``, partial-aggregated on the map side);
-3. the bucket that holds the wanted rank becomes the new range;
-4. once a range holds at most ``collect_limit`` rows, those rows are sorted and
-   the exact value is read.
-
-Every pass scans only rows inside open ranges, and the driver only ever sees
-bucket counts or at most ``collect_limit`` values per target. Interpolation is
-the usual ``v[floor(h)] + (v[ceil(h)] - v[floor(h)]) * (h - floor(h))`` with
-``h = (n - 1) * p``, matching pandas/NumPy "linear" and SQL ``quantile_cont``.
+Interpolation is ``v[floor(h)] + (v[ceil(h)] - v[floor(h)]) * (h - floor(h))`` with
+``h = (n - 1) * p`` (pandas/NumPy "linear", SQL ``quantile_cont``). NaN counts as
+missing; infinite values take part like any other and are returned as they are.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_MAX_GROUPS = 100_000
-
-
-@dataclass
-class _Target:
-    key: tuple  # (column, group...)
-    rank: int   # 0-based order statistic inside the group
-    lo: float
-    hi: float
-    offset: int  # rows of the group below ``lo``
-    value: float | None = None
-
-
-def _bucket_expr(v, lo: float, hi: float, bins: int):
-    width = (hi - lo)
-    raw = F.floor((v - F.lit(lo)) / F.lit(width) * F.lit(bins))
-    return F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("int")
-
-
-def _long(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """(column name, group..., value) rows for the non-null values of ``columns``."""
-    if len(columns) == 1:
-        c = columns[0]
-        return df.select(F.lit(c).alias("__c"), *by, F.col(c).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns]))
-    return (df.select(*by, stacked.alias("__s"))
-            .select(F.col("__s.c").alias("__c"), *by, F.col("__s.v").alias("__v"))
-            .where(F.col("__v").isNotNull()))
-
-
-def exact_percentiles(df: DataFrame, columns: list[str] | str, probs: list[float], by: list[str] | None = None,
-                      bins: int = 4096, collect_limit: int = 200_000) -> list[dict]:
-    """Return ``[{"column", <by...>, "p", "value", "n"}]`` for every (column, group, p).
-
-    The result is small (columns × groups × probs) and lives on the driver; use
-    :func:`percentile_table` for a DataFrame.
-    """
-    columns = [columns] if isinstance(columns, str) else list(columns)
-    by = list(by or [])
-    long = _long(df, columns, by).persist()
-    try:
-        stats = (long.groupBy("__c", *by)
-                 .agg(F.count("__v").alias("n"), F.min("__v").alias("mn"), F.max("__v").alias("mx"))
-                 .limit(_MAX_GROUPS + 1).collect())
-        if len(stats) > _MAX_GROUPS:
-            raise ValueError("too many groups for exact percentiles")
-        targets: dict[tuple, _Target] = {}
-        plan = []
-        for row in stats:
-            key = (row["__c"], *[row[b] for b in by])
-            n = row["n"]
-            for p in probs:
-                h = (n - 1) * p
-                lo_r, hi_r = int(math.floor(h)), int(math.ceil(h))
-                for r in (lo_r, hi_r):
-                    if (key, r) not in targets:
-                        targets[(key, r)] = _Target(key, r, row["mn"], row["mx"], 0)
-                plan.append((key, p, n, h, lo_r, hi_r))
-        # group sizes of the current open range of every target
-        n_by_key = {(r["__c"], *[r[b] for b in by]): r["n"] for r in stats}
-        sizes = {k: n_by_key[t.key] for k, t in targets.items()}
-        _solve(long, by, targets, sizes, bins, collect_limit)
-        out = []
-        for key, p, n, h, lo_r, hi_r in plan:
-            a = targets[(key, lo_r)].value
-            b = targets[(key, hi_r)].value
-            val = a if lo_r == hi_r else a + (b - a) * (h - lo_r)
-            rec = {"column": key[0], "p": p, "value": float(val), "n": n}
-            rec.update({b_: key[i + 1] for i, b_ in enumerate(by)})
-            out.append(rec)
-        return out
-    finally:
-        long.unpersist()
-
 
-def _solve(long: DataFrame, by: list[str], targets: dict, sizes: dict, bins: int, collect_limit: int) -> None:
-    while True:
-        open_t = [t for t in targets.values() if t.value is None]
-        for t in open_t:
-            if t.lo == t.hi:
-                t.value = t.lo
-        open_t = [t for t in open_t if t.value is None]
-        if not open_t:
-            return
-        small = [t for t in open_t if sizes[(t.key, t.rank)] <= collect_limit]
-        big = [t for t in open_t if sizes[(t.key, t.rank)] > collect_limit]
-        if small:
-            _resolve_small(long, by, small)
-        if big:
-            _refine(long, by, big, bins, sizes)
+from .prefix import prefix_sums
 
 
-def order_statistics(df: DataFrame, column: str | None, ranks: list[int], key=None,
-                     bins: int = 4096, collect_limit: int = 200_000) -> list[float | None]:
-    """Values at the given 0-based ranks of ``column`` (or of the ``key`` expression), nulls ignored."""
-    v = F.col(column).cast("double") if key is None else key.cast("double")
-    long = df.select(F.lit("k").alias("__c"), v.alias("__v")).where(F.col("__v").isNotNull()).persist()
-    try:
-        st = long.agg(F.count("__v").alias("n"), F.min("__v").alias("mn"), F.max("__v").alias("mx")).first()
-        targets = {}
-        for r in ranks:
-            if 0 <= r < st["n"]:
-                targets[(("k",), r)] = _Target(("k",), r, st["mn"], st["mx"], 0)
-        sizes = {k: st["n"] for k in targets}
-        _solve(long, [], targets, sizes, bins, collect_limit)
-        return [targets[(("k",), r)].value if (("k",), r) in targets else None for r in ranks]
-    finally:
-        long.unpersist()
+def long_values(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """(column, group..., value) rows of the non-missing values of ``columns``."""
+    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
+    rows = df.select(*by, stacked.alias("s_")).select("s_.column", *by, "s_.value")
+    return rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def _target_filter(long: DataFrame, by: list[str], ts: list[_Target]):
-    v = F.col("__v")
-    conds = []
-    for i, t in enumerate(ts):
-        key_cond = F.col("__c") == F.lit(t.key[0])
-        for j, b in enumerate(by):
-            key_cond = key_cond & F.col(b).eqNullSafe(F.lit(t.key[j + 1]))
-        conds.append((key_cond & (v >= F.lit(t.lo)) & (v <= F.lit(t.hi)), i))
-    return conds
+def _picked(p: float, n: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """The value if it holds the order statistic just below (just above) percentile ``p``."""
+    h = (n - 1) * F.lit(float(p))
+    return (F.max(F.when((low <= F.floor(h)) & (F.floor(h) < high), F.col("value"))),
+            F.max(F.when((low <= F.ceil(h)) & (F.ceil(h) < high), F.col("value"))))
 
 
-def _resolve_small(long: DataFrame, by: list[str], ts: list[_Target]) -> None:
-    # distinct open ranges can be shared by several targets (same key, same range)
-    groups: dict[tuple, list[_Target]] = {}
-    for t in ts:
-        groups.setdefault((t.key, t.lo, t.hi), []).append(t)
-    reps = [g[0] for g in groups.values()]
-    conds = _target_filter(long, by, reps)
-    tid = F.lit(None).cast("int")
-    for cond, i in reversed(conds):
-        tid = F.when(cond, F.lit(i)).otherwise(tid)
-    rows = (long.select(tid.alias("__t"), "__v").where(F.col("__t").isNotNull())
-            .groupBy("__t", "__v").agg(F.count(F.lit(1)).alias("k"))
-            .collect())
-    per: dict[int, list] = {}
-    for r in rows:
-        per.setdefault(r["__t"], []).append((r["__v"], r["k"]))
-    for i, (gk, members) in enumerate(groups.items()):
-        vals = sorted(per.get(i, []))
-        for t in members:
-            need = t.rank - t.offset
-            acc = 0
-            for v, k in vals:
-                if acc + k > need:
-                    t.value = v
-                    break
-                acc += k
+def percentiles(df: DataFrame, columns: list[str] | str, names: dict[float, str], by: list[str] | None = None) -> DataFrame:
+    """One row per (column, group): ``n`` and, for each percentile in ``names``, its value under that name."""
+    columns, by = [columns] if isinstance(columns, str) else list(columns), list(by or [])
+    keys = ["column", *by]
+    counted = long_values(df, columns, by).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("k_"))
+    placed = prefix_sums(counted, keys, ["value"], "k_", "low_")
+    sizes = placed.groupBy(*[F.col(c).alias(f"{c}_of") for c in keys]).agg(F.sum("k_").alias("n"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+    rows = placed.join(sizes, same)
+    picks = []
+    for p, name in names.items():
+        low, high = _picked(p, F.col("n"), F.col("low_"), F.col("low_") + F.col("k_"))
+        picks += [low.alias(f"{name}_lo"), high.alias(f"{name}_hi")]
+    found = rows.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
 
+    def between(p: float, name: str) -> Column:
+        h = (F.col("n") - 1) * F.lit(float(p))
+        a, b = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+        return F.when(a == b, a).otherwise(a + (b - a) * (h - F.floor(h))).alias(name)
 
-def _refine(long: DataFrame, by: list[str], ts: list[_Target], bins: int, sizes: dict) -> None:
-    groups: dict[tuple, list[_Target]] = {}
-    for t in ts:
-        groups.setdefault((t.key, t.lo, t.hi), []).append(t)
-    reps = [g[0] for g in groups.values()]
-    conds = _target_filter(long, by, reps)
-    tid = F.lit(None).cast("int")
-    bucket = F.lit(None).cast("int")
-    for cond, i in reversed(conds):
-        tid = F.when(cond, F.lit(i)).otherwise(tid)
-        bucket = F.when(cond, _bucket_expr(F.col("__v"), reps[i].lo, reps[i].hi, bins)).otherwise(bucket)
-    rows = (long.select(tid.alias("__t"), bucket.alias("__b"), "__v").where(F.col("__t").isNotNull())
-            .groupBy("__t", "__b").agg(F.count(F.lit(1)).alias("k"), F.min("__v").alias("mn"), F.max("__v").alias("mx"))
-            .collect())
-    per: dict[int, list] = {}
-    for r in rows:
-        per.setdefault(r["__t"], []).append((r["__b"], r["k"], r["mn"], r["mx"]))
-    for i, (gk, members) in enumerate(groups.items()):
-        hist = sorted(per.get(i, []))
-        for t in members:
-            need = t.rank - t.offset
-            acc = 0
-            for b, k, mn, mx in hist:
-                if acc + k > need:
-                    # buckets are monotone in the value, so the bucket's own
-                    # [min, max] is exactly the set of rows it holds
-                    t.offset += acc
-                    t.lo, t.hi = mn, mx
-                    sizes[(t.key, t.rank)] = k
-                    break
-                acc += k
+    return found.select(*keys, "n", *[between(p, name) for p, name in names.items()])
 
 
-def percentile_table(spark, df: DataFrame, columns: list[str] | str, probs: list[float],
-                     by: list[str] | None = None) -> DataFrame:
-    """Long DataFrame ``(column, <by...>, p, value, n)`` of exact percentiles."""
-    by = list(by or [])
-    recs = exact_percentiles(df, columns, probs, by)
-    fields = [T.StructField("column", T.StringType())]
-    for b in by:
-        fields.append(T.StructField(b, df.schema[b].dataType))
-    fields += [T.StructField("p", T.DoubleType()), T.StructField("value", T.DoubleType()),
-               T.StructField("n", T.LongType())]
-    rows = [tuple([r["column"], *[r[b] for b in by], float(r["p"]), r["value"], int(r["n"])]) for r in recs]
-    return spark.createDataFrame(rows, T.StructType(fields))
+def percentile_values(df: DataFrame, columns: list[str] | str, probs: list[float]) -> dict[tuple[str, float], float]:
+    """``{(column, p): value}``; columns without values are absent. As many numbers as the arguments name."""
+    names = {p: f"p{i}_" for i, p in enumerate(probs)}
+    return {(r["column"], p): r[name] for r in percentiles(df, columns, names).collect() for p, name in names.items()}

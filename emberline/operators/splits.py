@@ -2,8 +2,8 @@
 
 Randomness is a hash of (key, seed) built from ``md5`` so that the same split
 comes out of every engine and every re-run; ``rand()`` is never used. Group
-splits rank *distinct groups*, never rows, and exact counts come from an order
-statistic computed by distributed selection (no global sort/window).
+splits rank *distinct groups*, never rows, and exact counts come from prefix sums
+over the order keys (no global window).
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import order_statistics
+from ..session import written
+from .prefix import row_at
 
 GROUP_SHUFFLE = "group_shuffle"
 GROUP_KFOLD = "group_kfold"
@@ -42,17 +43,13 @@ def split(df: DataFrame, protocol: str, test_size: float = 0.25, seed: int = 42,
             n_groups = keyed.select("_g").distinct().count()
             folds = max(2, min(n_folds, int(n_groups)))
             return keyed.withColumn("is_test", F.floor(F.col("_u") * folds) == 0).drop("_g", "_u")
-        # distinct groups are read by the count and every selection round: compute them once
-        groups = keyed.select("_g", "_u").distinct().persist()
-        try:
-            n_groups = groups.count()
-            n_test = int(math.ceil(test_size * n_groups))
-            if n_test <= 0:
-                return keyed.withColumn("is_test", F.lit(False)).drop("_g", "_u")
-            cut = order_statistics(groups, "_u", [n_test - 1])[0]
-        finally:
-            groups.unpersist()
-        return keyed.withColumn("is_test", F.col("_u") <= F.lit(cut)).drop("_g", "_u")
+        groups = written(keyed.select("_g", "_u").distinct(), "groups")
+        n_test = int(math.ceil(test_size * groups.count()))
+        if n_test <= 0:
+            return keyed.withColumn("is_test", F.lit(False)).drop("_g", "_u")
+        cut = row_at(groups, ["_u", "_g"], n_test - 1)
+        at_most = F.struct("_u", "_g") <= F.struct(F.lit(cut["_u"]).alias("_u"), F.lit(cut["_g"]).alias("_g"))
+        return keyed.withColumn("is_test", at_most).drop("_g", "_u")
     if protocol == TEMPORAL_HOLDOUT:
         return _temporal(df, test_size, date_col, order_cols)
     if protocol == SOURCE_HOLDOUT:
@@ -68,44 +65,18 @@ def split(df: DataFrame, protocol: str, test_size: float = 0.25, seed: int = 42,
 def _temporal(df: DataFrame, test_size: float, date_col: str, order_cols: list[str]) -> DataFrame:
     """First ``max(1, int(n*(1-test_size)))`` rows in (date, ingest order) train; undated rows last.
 
-    Per-date counts are a bounded table (one row per calendar day); only the
-    boundary date needs an order statistic over its ingest key.
+    The last training row is found by prefix sums over the order keys alone; its
+    key, compared as a struct, splits the rows.
     """
-    n = df.count()
-    split_at = max(1, int(n * (1 - test_size)))
-    days = (df.groupBy(F.col(date_col).alias("_d")).agg(F.count(F.lit(1)).alias("k"))
-            .orderBy(F.col("_d").asc_nulls_last()).collect())
-    acc = 0
-    boundary, take = None, 0
-    boundary_is_null = False
-    for r in days:
-        if acc + r["k"] >= split_at:
-            boundary, take, boundary_is_null = r["_d"], split_at - acc, r["_d"] is None
-            break
-        acc += r["k"]
-    d = F.col(date_col)
-    if boundary is None and not boundary_is_null:
+    last = F.struct(F.col(date_col).isNull().alias("undated"), F.col(date_col).alias("date"), *[F.col(c) for c in order_cols])
+    keys = written(df.select(last.alias("k")), "order")
+    n = keys.count()
+    cut = row_at(keys, ["k"], max(1, int(n * (1 - test_size))) - 1) if n else None
+    if cut is None:
         return df.withColumn("is_test", F.lit(False))
-    ingest = F.struct(*[F.col(c) for c in order_cols])
-    at_boundary = d.isNull() if boundary_is_null else (d == F.lit(boundary))
-    before = F.lit(False) if boundary_is_null else F.coalesce(d < F.lit(boundary), F.lit(False))
-    if boundary_is_null:
-        before = d.isNotNull()
-    # ingest order of the boundary day: k-th smallest ingest key by distributed selection
-    key_num = _order_key(order_cols)
-    cut = order_statistics(df.where(at_boundary), None, [take - 1], key=key_num)[0]
-    train = F.coalesce(before | (at_boundary & (key_num <= F.lit(cut))), F.lit(False))
-    del ingest
-    return df.withColumn("is_test", ~train)
-
-
-def _order_key(order_cols: list[str]) -> Column:
-    """Numeric ingest key: sheet ordinal in the high digits, row id below (ids < 10^15)."""
-    expr = F.lit(0.0)
-    for i, c in enumerate(order_cols):
-        scale = 10.0 ** (15 * (len(order_cols) - 1 - i))
-        expr = expr + F.col(c).cast("double") * scale
-    return expr
+    fields = keys.schema["k"].dataType.fields
+    limit = F.struct(*[F.lit(cut["k"][f.name]).cast(f.dataType).alias(f.name) for f in fields])
+    return df.withColumn("is_test", last > limit)
 
 
 def passport(df: DataFrame, protocol: str, group_col: str = "event_id", date_col: str = "fire_date") -> DataFrame:

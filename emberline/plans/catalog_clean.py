@@ -163,7 +163,7 @@ def p11_p13_source_attributes(spark, sf):
                                       C.period_group("year").alias("period_group"))
 
 
-@register("a1_quality_report", ids=("A1",), sql=lambda: _w(V.sql_identified(), "SELECT "
+@register("a1_quality_report", ids=("A1",), sql=lambda: _w(V.sql_cleaned() + [B.identity("cleaned")], "SELECT "
           + ", ".join([f"count_if({c}_invalid) AS invalid_{c}" for c in S.TIME_COLS]
                       + [f"count_if({f}) AS {f.replace('flag_', 'n_')}" for f in
                          ["flag_floor_outlier", "flag_distance_outlier", "flag_floor_inconsistent",
@@ -175,7 +175,7 @@ def p11_p13_source_attributes(spark, sf):
                          "count(*) AS n_rows"]) + " FROM ident"))
 def a1_quality_report(spark, sf):
     """One-row quality report: invalid times, flag counts, canonical/duplicate rows, id coverage."""
-    return C.quality_report(V.identified(spark, sf))
+    return C.quality_report(I.event_identity(V.cleaned(spark, sf), K))
 
 
 # --- identity ----------------------------------------------------------------

@@ -26,7 +26,8 @@ def cleaned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def identified(spark: SparkSession, sf: str) -> DataFrame:
-    return event_identity(cleaned(spark, sf), ORDER)
+    """Identity needs none of the data-dependent statistics, so it starts from ``stage1``."""
+    return event_identity(stage1(spark, sf), ORDER)
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,7 +49,7 @@ def sql_cleaned() -> list[str]:
 
 
 def sql_identified() -> list[str]:
-    return [*sql_cleaned(), B.identity("cleaned")]
+    return [*sql_stage1(), B.identity("stage1")]
 
 
 def sql_labelled() -> list[str]:

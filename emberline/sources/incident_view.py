@@ -7,8 +7,7 @@ that repeats every fifth order, which yields cross-sheet duplicate groups.
 
 Plan shape: lineitem is pre-aggregated per order (partial aggregation on the map
 side, one shuffle on ``l_orderkey``) before it meets orders, so the join never
-sees line-level rows. ``nation`` has a fixed 25-row domain and is broadcast; the
-customer join is left to the planner/AQE because customer grows with the data.
+sees line-level rows. Join strategies are left to the planner and AQE.
 """
 
 from __future__ import annotations
@@ -45,8 +44,7 @@ def incident_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    # nation has the fixed 25-row TPC-H domain: a proven size bound for broadcast.
-    nation = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     li = equipment_per_order(read_table(spark, sf_dir, "lineitem"))
 
     ok = F.col("o_orderkey")
@@ -88,13 +86,11 @@ def incident_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incident_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sheet raw incident table with ingest order ``(sheet_ord, row_id)``."""
     base = incident_base(spark, sf_dir)
-    cols = [c for c in base.columns]
-    merged = base.select(F.lit(CANONICAL_SOURCE_SHEET).alias("source_sheet"), F.lit(0).alias("sheet_ord"),
-                         *cols, (F.col("row_id") % 4).cast("double").alias("nozzle_count"))
-    period = (base.where(F.col("row_id") % 5 == 0)
-              .select(F.when(F.col("row_id") % 2 == 0, F.lit("1...2000-2008"))
-                      .otherwise(F.lit("2...2009-2020")).alias("source_sheet"),
-                      F.lit(1).alias("sheet_ord"), *cols,
-                      (F.col("row_id") % 4 + F.when(F.col("row_id") % 20 == 0, 1).otherwise(0))
-                      .cast("double").alias("nozzle_count")))
-    return merged.unionByName(period)
+    row, nozzles = F.col("row_id"), (F.col("row_id") % 4).cast("double")
+    merged = F.struct(F.lit(CANONICAL_SOURCE_SHEET).alias("source_sheet"), F.lit(0).alias("sheet_ord"), nozzles.alias("nozzle_count"))
+    period = F.struct(F.when(row % 2 == 0, F.lit("1...2000-2008")).otherwise(F.lit("2...2009-2020")).alias("source_sheet"),
+                      F.lit(1).alias("sheet_ord"), (nozzles + F.when(row % 20 == 0, 1.0).otherwise(0.0)).alias("nozzle_count"))
+    sheets = F.when(row % 5 == 0, F.array(merged, period)).otherwise(F.array(merged))
+    # One join, then one or two sheet rows of each incident.
+    rows = base.select("*", F.inline(sheets))
+    return rows.select("source_sheet", "sheet_ord", *base.columns, "nozzle_count")
