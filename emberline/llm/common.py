@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, read_table
 
-__all__ = ["components", "fresh", "is_learnable", "ranked", "read_table", "shared_path", "small_batches", "written"]
+__all__ = ["components", "fresh", "has_unique_ids", "is_learnable", "ranked", "read_table", "shared_path", "small_batches", "written"]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -20,10 +20,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back: lineage is cut and ids are fixed."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back: lineage is cut and ids are fixed.
+
+    A ``path`` is overwritten; ``df`` must not read it.
+    """
+    path = path or shared_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +50,11 @@ def is_learnable(doc_id: Column, folds: int, held_out: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds != held_out
 
 
+def has_unique_ids(rows: DataFrame, id_col: str) -> bool:
+    """Whether no id is null or repeated."""
+    return not rows.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count()
+
+
 def ranked(df: DataFrame, groups: list[str], order: list[str], rank: str) -> DataFrame:
     """``df`` with the 0-based ``rank`` of each row in its group by ``order``, however large a group is.
 
@@ -80,17 +88,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     exchanges and AQE can split the links of a hub. Nothing is collected but two
     sums that tell whether a round changed anything. Nodes without links are absent.
     """
-    e = written(_oriented(edges), "links")
+    spark = edges.sparkSession
+    # Two places for the links, used in turn, and one for the minima: old ones are overwritten.
+    one, two, minima = (shared_path(spark, x) for x in ("links", "links", "minima"))
+    e = written(_oriented(edges), "links", one)
     seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "minima")
+        low = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "minima", minima)
         large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = written(_oriented(large), "links")
-        low = written(e.groupBy("a").agg(F.min("b").alias("m")), "minima")
+        e = written(_oriented(large), "links", two)
+        low = written(e.groupBy("a").agg(F.min("b").alias("m")), "minima", minima)
         small = (e.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select("a", F.col("m").alias("b"))))
-        e = written(_oriented(small), "links")
+        e = written(_oriented(small), "links", one)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == seen:
             return (e.select(F.col("a").alias("node"), F.col("b").alias("root"))

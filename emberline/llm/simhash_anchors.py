@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import components, fresh, small_batches, written
+from .common import components, fresh, has_unique_ids, small_batches, written
 
 SHINGLE = 4
 SEED = 42
@@ -302,15 +302,24 @@ def fingerprint_components(marked: DataFrame, id_col: str, max_bits: int = MAX_B
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each component kept: the smallest id (null last; ties by row order), same columns."""
+    """``docs`` with one row of each component kept: the smallest id (null last; ties by row order), same columns.
+
+    Ids and fingerprints alone are written and compared; the dropped ids are taken
+    out of ``docs``. Where ids are null or repeated, rows get a number of their own first.
+    """
     small_batches(docs.sparkSession)
-    fp, uid = fresh("fp_", docs.columns), fresh("uid_", docs.columns)
-    marked = written(docs.select("*", fingerprint_udf(F.col(text_col).cast("binary")).alias(fp),
-                                 F.monotonically_increasing_id().alias(uid)), "marked")
-    lean = marked.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(uid).alias("uid")).alias("row"),
-                         F.col(fp).alias("fp"))
-    kept = fingerprint_components(lean, "row", max_bits).select(F.col("component_id.uid").alias(uid)).distinct()
-    return marked.join(kept, uid, "left_semi").select(*docs.columns)
+    code = fingerprint_udf(F.col(text_col).cast("binary"))
+    rows, uid = docs, id_col
+    lean = written(docs.select(F.col(id_col).alias("id"), code.alias("fp")), "fingerprints")
+    if not has_unique_ids(lean, "id"):
+        uid = fresh("uid_", docs.columns)
+        rows = written(docs.select("*", F.monotonically_increasing_id().alias(uid)), "numbered")
+        lean = written(rows.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(uid).alias("uid")).alias("id"),
+                                   code.alias("fp")), "fingerprints")
+    found = fingerprint_components(lean, "id", max_bits)
+    dropped = lean.join(found, "fp").where(F.col("id") != F.col("component_id"))
+    out = written(dropped.select((F.col("id") if uid == id_col else F.col("id.uid")).alias("dropped_")), "dropped")
+    return rows.join(out, F.col(uid) == F.col("dropped_"), "left_anti").select(*docs.columns)
 
 
 def op3_simhash_anchors(spark, sf_dir: str) -> DataFrame:

@@ -92,4 +92,6 @@ def test_one_of_each_group_stays(spark):
     assert kept.columns == d.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(ids, key=str) == sorted([0, 2, 5, None, 7, 8, 9], key=str)
+    single = S.drop_near_duplicates(d.where("doc_id < 9"))
+    assert single.columns == d.columns and sorted(r["doc_id"] for r in single.collect()) == [0, 2, 5, 7, 8]
     assert S.drop_near_duplicates(empty(spark)).count() == 0
