@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, ranked, read_table, written
+from .common import fresh, has_unique_ids, ranked, read_table, written
 
 WEIGHTS = (3, 1, 2)
 SEED = 10
@@ -80,17 +80,24 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     Null texts have no words; null sources are one source, the last; sources without
     words take nothing; repeated rows are mixed like any other; extra columns pass.
     """
-    uid, out = fresh("uid_", docs.columns), fresh("copies_", docs.columns)
-    marked = written(docs.select("*", F.monotonically_increasing_id().alias(uid)), "documents")
-    lean = marked.select(F.col(uid).alias("uid"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    taken = copies(lean, seed).where(F.col("copies") > 0).select(F.col("uid").alias(uid), F.col("copies").cast("int").alias(out))
-    return marked.join(taken, uid).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(out)))).select(*docs.columns)
+    out = fresh("copies_", docs.columns)
+    sized = [F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size")]
+    rows, uid, lean = docs, "doc_id", written(docs.select(*sized), "sizes")
+    if not has_unique_ids(lean, "doc_id"):
+        uid = fresh("uid_", [*docs.columns, out])
+        rows = written(docs.select("*", F.monotonically_increasing_id().alias(uid)), "numbered")
+        lean = written(rows.select(*sized, F.col(uid).alias("uid")), "sizes")
+    taken = copies(lean, seed).where(F.col("copies") > 0)
+    taken = taken.select(F.col("doc_id" if uid == "doc_id" else "uid").alias("taken_"), F.col("copies").cast("int").alias(out))
+    return (rows.join(taken, F.col(uid) == F.col("taken_")).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(out))))
+            .select(*docs.columns))
 
 
 def op10_systematic_mix(spark, sf_dir: str) -> DataFrame:
     """Words taken of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return copies(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    found = copies(written(docs, "sizes"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 SQL = rf"""

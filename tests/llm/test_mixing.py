@@ -64,4 +64,7 @@ def test_edge_rows(spark):
     for r in found.collect():
         want[r["doc_id"]] += r["copies"]
     assert n == +want
+    single = d.where("doc_id in (0, 1, 2, 5, 6, 8)")
+    want = collections.Counter({r["doc_id"]: r["copies"] for r in M.copies(single.select("doc_id", "source", M.word_count(F.col("text")).alias("size"))).collect()})
+    assert collections.Counter(r["doc_id"] for r in M.mix(single).collect()) == +want
     assert M.mix(empty(spark)).count() == 0 and M.copies(empty(spark).select("doc_id", "source", F.lit(1).cast("long").alias("size"))).count() == 0
