@@ -1,18 +1,15 @@
 """Structured Streaming operators.
 
-Every stream reads table files as they land (``readStream`` over the table's
-folder, one glob per table) and is written with ``foreachBatch``: each
-micro-batch goes to ``<sink>/_batch_id=<n>`` in overwrite mode, so a batch that
-is replayed after a failure rewrites its own output and the sink stays
-exactly-once. Offsets and operator state live under the query's
-``checkpointLocation`` inside the cluster's shared ``spark.checkpoint.dir``.
-
-``run_available_now`` drains whatever has arrived (``trigger(availableNow=True)``)
-and returns the sink as a batch DataFrame; a long-running deployment starts the
-same ``writeStream`` with a processing-time trigger instead. Update-mode
-aggregations emit a new version of a key whenever it changes;
-:func:`latest_per_key` folds the emitted versions back into one row per key
-(the one from the highest batch id), which is an ordinary grouped aggregation.
+Every stream reads table files as they land and is written with ``foreachBatch``:
+each micro-batch goes to ``<sink>/_batch_id=<n>`` in overwrite mode, so a batch that
+is replayed after a failure rewrites its own output and the sink stays exactly-once.
+Offsets live under the query's ``checkpointLocation`` inside the cluster's shared
+``spark.checkpoint.dir``.
+
+The stateful operators keep their state in the sink: a batch stores its new rows
+(X2), its latest stage per key (X3) or its counts per window (X4), and a fold over
+the batches gives the result. Files may arrive in any order of time; there is no
+watermark that could drop a late row.
 """
 
 from __future__ import annotations
@@ -29,17 +26,24 @@ BATCH_ID = "_batch_id"
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Streaming read of one table's Parquet files (schema taken from the files already present)."""
-    schema = spark.read.parquet(table_path(sf_dir, name)).schema
-    return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", 64)
-            .parquet(sf_dir))
-
-
-def stream_folder(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Streaming read of one table: all Parquet files of its folder, or its single file.
+
+    The schema comes from the files already present; an empty or missing table raises.
+    """
+    path = table_path(sf_dir, name)
+    table = spark.read.parquet(path)
+    files = table.inputFiles()
+    if not files:
+        raise ValueError(f"no files to stream in {path}")
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 64)
+    if len(files) == 1 and files[0].rstrip("/").endswith(f"/{name}.parquet"):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(path)
+
+
+def stream_folder(spark: SparkSession, path: str, schema, files_per_batch: int = 64) -> DataFrame:
     """Streaming read of a folder of Parquet files written by an upstream job."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -47,88 +51,85 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def run_available_now(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Drain the stream into a per-batch Parquet sink; return the sink as a batch DataFrame."""
+def run_available_now(stream: DataFrame, name: str, batch_result=None) -> DataFrame:
+    """Drain the stream into a per-batch Parquet sink; return the sink as a batch DataFrame.
+
+    ``batch_result(batch, earlier)`` turns a micro-batch into the rows to store;
+    ``earlier`` holds the rows of all batches before it. It must not change the columns.
+    """
     spark = stream.sparkSession
     base = scratch(spark, name)
     sink = os.path.join(base, "out")
+    # A first, empty part: the sink can be read before and without any batch.
+    schema = (batch_result(spark.createDataFrame([], stream.schema), None) if batch_result else stream).schema
+    spark.createDataFrame([], schema).write.parquet(os.path.join(sink, f"{BATCH_ID}=-1"))
+    full = schema.add(BATCH_ID, "long")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(sink, f"{BATCH_ID}={batch_id}"))
+        session = batch.sparkSession
+        rows = batch
+        if batch_result:
+            earlier = session.read.schema(full).parquet(sink).where(F.col(BATCH_ID) < batch_id).drop(BATCH_ID)
+            rows = batch_result(batch, earlier)
+        rows.write.mode("overwrite").parquet(os.path.join(sink, f"{BATCH_ID}={batch_id}"))
 
     query = (stream.writeStream.queryName(f"{name}_{uuid.uuid4().hex[:6]}")
-             .outputMode(output_mode)
              .option("checkpointLocation", os.path.join(base, "checkpoint"))
              .trigger(availableNow=True)
              .foreachBatch(write_batch)
              .start())
     query.awaitTermination()
-    schema = stream.schema.add(BATCH_ID, "long")
-    if not _has_output(spark, sink):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(sink)
-
-
-def _has_output(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def latest_per_key(emitted: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key: the version emitted by the highest batch id (update-mode fold)."""
-    values = [c for c in emitted.columns if c not in keys and c != BATCH_ID]
-    best = F.max_by(F.struct(*values), F.col(BATCH_ID)).alias("_v")
-    return emitted.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
+    return spark.read.schema(full).parquet(sink)
 
 
 # ---------------------------------------------------------------------------
-# Idempotent import (redelivered rows removed within the watermark)
+# Idempotent import
 # ---------------------------------------------------------------------------
 
-EVENT_TIME = "_event_time"
-
+def dedup_import(batch: DataFrame, earlier: DataFrame | None, key: str) -> DataFrame:
+    """Rows of a micro-batch whose ``key`` is new, one of each; nothing else is ever left out, however late it comes.
 
-def _event_time(c: str):
-    """Watermarks need TIMESTAMP; wall-clock TIMESTAMP_NTZ columns are read in the session time zone."""
-    return F.col(c).cast("timestamp")
-
-
-def dedup_import(stream: DataFrame, key: str, time_col: str, delay: str = "1 hour") -> DataFrame:
-    """Drop redelivered copies of ``key`` that arrive within ``delay`` of each other."""
-    return (stream.withColumn(EVENT_TIME, _event_time(time_col)).withWatermark(EVENT_TIME, delay)
-            .dropDuplicatesWithinWatermark([key]).drop(EVENT_TIME))
+    Rows without a key cannot be told apart and are all imported.
+    """
+    keyless = batch.where(F.col(key).isNull())
+    fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+    if earlier is not None:
+        fresh = fresh.join(earlier.select(F.col(key).alias("known_")), F.col(key) == F.col("known_"), "left_anti")
+    return fresh.unionByName(keyless)
 
 
 # ---------------------------------------------------------------------------
-# Latest stage per incident (stateful aggregation, update mode)
+# Latest stage per incident
 # ---------------------------------------------------------------------------
 
-def latest_stage(stream: DataFrame, key: str, time_col: str, stage_col: str, id_col: str) -> DataFrame:
-    """Per ``key``: the newest stage (ties on time broken by the larger id) and the number of updates."""
-    order = F.struct(F.col(time_col), F.col(id_col))
-    latest = F.max_by(F.struct(F.col(stage_col).alias("stage"), F.col(time_col).alias("stage_time"),
-                               F.col(id_col).alias("stage_id")), order)
-    return (stream.groupBy(key)
-            .agg(latest.alias("_l"), F.count(F.lit(1)).alias("n_updates"))
+def latest_stage(rows: DataFrame, key: str, time_col: str, stage_col: str, id_col: str) -> DataFrame:
+    """Per ``key``: the newest stage of these rows (ties on time broken by the larger id) and their number."""
+    latest = F.max(F.struct(F.col(time_col).alias("stage_time"), F.col(id_col).alias("stage_id"), F.col(stage_col).alias("stage")))
+    return (rows.groupBy(key).agg(latest.alias("_l"), F.count(F.lit(1)).alias("n_updates"))
+            .select(key, "_l.stage", "_l.stage_time", "_l.stage_id", "n_updates"))
+
+
+def fold_latest(parts: DataFrame, key: str) -> DataFrame:
+    """One row per key from the per-batch rows of :func:`latest_stage`, in whatever order batches came."""
+    latest = F.max(F.struct("stage_time", "stage_id", "stage"))
+    return (parts.groupBy(key).agg(latest.alias("_l"), F.sum("n_updates").alias("n_updates"))
             .select(key, "_l.stage", "_l.stage_time", "_l.stage_id", "n_updates"))
 
 
 # ---------------------------------------------------------------------------
-# Tumbling-window counts with a watermark (late rows dropped)
+# Tumbling-window counts
 # ---------------------------------------------------------------------------
 
-def tumbling_counts(stream: DataFrame, time_col: str, by: list[str], width: str = "1 day",
-                    delay: str = "1 hour") -> DataFrame:
-    """Counts per ``width`` window and ``by``; rows later than ``delay`` behind the watermark are dropped."""
-    ntz = dict(stream.dtypes)[time_col] == "timestamp_ntz"
-    w = F.window(F.col(EVENT_TIME), width)
+def tumbling_counts(rows: DataFrame, time_col: str, by: list[str], width: str = "1 day") -> DataFrame:
+    """Counts of these rows per ``width`` window and ``by``; per-batch counts add up, so no row is ever too late."""
+    ntz = dict(rows.dtypes)[time_col] == "timestamp_ntz"
 
     def bound(c):
         return c.cast("timestamp_ntz") if ntz else c
 
-    return (stream.withColumn(EVENT_TIME, _event_time(time_col)).withWatermark(EVENT_TIME, delay)
-            .groupBy(w.alias("w"), *by)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select(bound(F.col("w.start")).alias("window_start"), bound(F.col("w.end")).alias("window_end"),
-                    *by, "n"))
+    return (rows.groupBy(F.window(F.col(time_col).cast("timestamp"), width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
+            .select(bound(F.col("w.start")).alias("window_start"), bound(F.col("w.end")).alias("window_end"), *by, "n"))
+
+
+def fold_counts(parts: DataFrame, keys: list[str]) -> DataFrame:
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"))
