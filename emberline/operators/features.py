@@ -299,28 +299,36 @@ def training_matrix(df: DataFrame, feature_set: str = "managed", target: str = "
                     *[c for c in x.columns if c.endswith("_missing")], F.col(target))
 
 
-# Columns the experiment feature-set builder never uses as features.
-EXCLUDED_FOR_WIDE = {"rank_tz", "rank_tz_vector", "rank_tz_count_proxy", "rank_ref", "rank_distance",
-                     "equipment_count", "nozzle_count", "severity_score", "row_id", "sheet_ord", "year",
-                     "resource_count_declared", "resource_count_parsed", "resource_count_conflict",
-                     "resource_vector_sum", "resource_parse_confidence", "source_priority", "direct_damage_log"}
+# FIXED VALUES (columns, patterns and sets of the source application's experiment builder)
+PROXY_PATTERNS = ["rank", "equipment", "nozzle"]
+PROXY_COLUMNS = ["row_id", "severity_score", "fatalities", "injuries", "direct_damage", "direct_damage_log", "people_saved",
+                 "people_evacuated", "assets_saved", "flag_missing_outputs", "equipment_count_types", "equipment_count_bin"]
+META_COLUMNS = ["source_sheet", "source_period", "dup_flag", "synthetic_seed", "synthetic_base_rank"]
+LATE_TIMES = ["t_contained_min", "t_extinguished_min", "delta_hose_to_contained", "delta_contained_to_extinguished"]
+LATE_ENHANCED = ["quarter", "delta_hose_to_contained", "delta_contained_to_extinguished", "total_response_time"]
+WIDE_SET_SIZE = 50
+# end of fixed values
+
+
+def wide_numeric(df: DataFrame, target: str = "rank_tz") -> list[str]:
+    """Numeric columns that are neither the target nor a proxy of it, nor bookkeeping, flags or marks."""
+    def usable(c: str) -> bool:
+        low = c.lower()
+        return not (c == target or c in PROXY_COLUMNS or c in META_COLUMNS or any(p in low for p in PROXY_PATTERNS)
+                    or low.startswith(("synthetic_", "_", "flag_")) or low.endswith("_invalid"))
+
+    return [c for c in numeric_columns(df) if usable(c)]
 
 
 def experiment_feature_sets(df: DataFrame, target: str = "rank_tz") -> dict[str, list[str]]:
-    """stage sets, their ordered union, and "wide numeric" candidates."""
-    cols = set(df.columns)
-    sets = {name: [f for f in spec[0] if f in cols] for name, spec in FS.CONTRACT_SETS.items()
-            if name != "online_tactical"}
-    union: list[str] = []
-    for feats in sets.values():
-        for f in feats:
-            if f not in union:
-                union.append(f)
-    sets["stage_union"] = union
-    wide = [c for c in numeric_columns(df) if c != target and c not in EXCLUDED_FOR_WIDE
-            and not c.startswith("flag_") and not c.endswith("_invalid")]
-    sets["wide_numeric"] = wide
-    return sets
+    """the seven feature sets of an experiment, from the stage sets and the table's numeric columns."""
+    dispatch, arrival, hose, enhanced = (FS.CONTRACT_SETS[n][0] for n in (
+        "dispatch_initial_safe", "arrival_update_safe", "first_hose_update_safe", "enhanced_tactical"))
+    wide = wide_numeric(df, target)
+    return {"features_10_dispatch": list(dispatch), "features_13_arrival": list(arrival), "features_15_first_hose": list(hose),
+            "features_19_retrospective_time": ordered_union(hose, LATE_TIMES),
+            "features_35_enhanced_retrospective": ordered_union(enhanced, LATE_ENHANCED),
+            "features_50_wide_no_target": wide[:WIDE_SET_SIZE], "features_all_known_numeric": wide}
 
 
 def ordered_union(*column_lists: list[str]) -> list[str]:

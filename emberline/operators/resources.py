@@ -154,34 +154,18 @@ def relabel(df: DataFrame, target: str = "vector", override_verified: bool = Fal
     already carry a label keep their values; the rest are relabelled. The two
     flags are independent (a documented tightening of the source behaviour).
     """
-    verified = F.coalesce(F.col("human_verified"), F.lit(False))
+    verified = F.coalesce(F.col("human_verified"), F.lit(False)) & F.lit(not override_verified)
     decision = F.coalesce(F.col("rank_label_source") == S.LABEL_SOURCE_DECISION, F.lit(False))
-    labelled = F.col("rank_tz").isNotNull()
-    protected = (verified & F.lit(not override_verified)) | decision
-    skip_existing = labelled & F.lit(not override_existing) & ~protected
-    candidate = ~protected & ~skip_existing
-    marked = df.select("*", candidate.alias("_cand"), (verified & F.lit(not override_verified)).alias("_v"),
-                       decision.alias("_d"), skip_existing.alias("_e"))
-    labelled_df = assign_rank(marked, target=target)
-    keep_cols = ["rank_tz", "rank_tz_vector" if target == "vector" else "rank_tz_count_proxy", "rank_distance",
-                 "rank_label_source", "usable_for_training", "rank_normative_version", "rank_quality_flags"]
-    new_vals = {c: F.when(F.col("_cand"), F.col(c)) for c in keep_cols}
-    old = df.columns
-    out_cols = []
-    for c in old:
-        if c in new_vals:
-            out_cols.append(F.when(F.col("_cand"), F.col(c)).otherwise(F.col(f"_old_{c}")).alias(c))
-        else:
-            out_cols.append(F.col(c))
-    for c in keep_cols:
-        if c not in old:
-            out_cols.append(F.when(F.col("_cand"), F.col(c)).alias(c))
-    renamed = marked.select(*marked.columns, *[F.col(c).alias(f"_old_{c}") for c in keep_cols if c in old])
-    snap = assign_rank(renamed, target=target).select(*out_cols)
-    counters = marked.agg(
-        F.count_if("_cand").alias("candidates"),
-        F.count_if("_v").alias("skipped_human_verified"),
-        F.count_if("_d").alias("skipped_decision"),
-        F.count_if("_e").alias("skipped_existing"))
-    del labelled_df
-    return snap, counters
+    existing = F.col("rank_tz").isNotNull() & F.lit(not override_existing)
+    protected = verified | decision
+    candidate = ~protected & ~existing
+    fresh = assign_rank(df.where(candidate), target=target)
+    # Both parts in the columns of the input and those the ranking adds; kept rows have none of the latter.
+    added = [c for c in fresh.columns if c not in df.columns]
+    kinds = dict(fresh.dtypes)
+    kept = df.where(~candidate).select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in added])
+    missing = [F.lit(None).cast(t).alias(c) for c, t in df.dtypes if c not in fresh.columns]
+    snapshot = kept.unionByName(fresh.select("*", *missing))
+    counters = df.agg(F.count_if(candidate).alias("candidates"), F.count_if(verified).alias("skipped_human_verified"),
+                      F.count_if(decision).alias("skipped_decision"), F.count_if(existing & ~protected).alias("skipped_existing"))
+    return snapshot, counters

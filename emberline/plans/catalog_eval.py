@@ -82,14 +82,14 @@ def _robust_out(d, by):
 
 
 @register("a4_robust_summary", sql=lambda: _w(V.sql_stage1() + ["src AS (SELECT * FROM stage1)"],
-          " UNION ALL ".join(_a4_sql(None))), ids=("A4", "A12"))
+          " UNION ALL ".join(_a4_sql(None))), ids=("A4",))
 def a4_robust_summary(spark, sf):
     """count, missing, mean, population std, median, q05/25/75/95, IQR, MAD, min, max."""
     return _robust_out(P.robust_summary(V.stage1(spark, sf), _robust_cols()), [])
 
 
 @register("a11_rank_conditional_profile", sql=lambda: _w(V.sql_labelled() + ["src AS (SELECT * FROM labelled)"],
-          " UNION ALL ".join(_a4_sql("rank_tz"))), ids=("A11", "A12"))
+          " UNION ALL ".join(_a4_sql("rank_tz"))), ids=("A11",))
 def a11_rank_conditional_profile(spark, sf):
     """Robust summary per vector rank (labelled rows only)."""
     lab = V.labelled(spark, sf).where(F.col("rank_tz").isNotNull())
@@ -154,7 +154,7 @@ def a8_pearson_matrix(spark, sf):
           "sp AS (SELECT equipment_count AS a, rank_tz AS b FROM labelled WHERE equipment_count IS NOT NULL AND rank_tz IS NOT NULL)",
           "spr AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, "
           "rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM sp)"],
-          "SELECT round(corr(ra, rb), 6) AS spearman, count(*) AS n FROM spr"), ids=("A9", "W3"))
+          "SELECT round(corr(ra, rb), 6) AS spearman, count(*) AS n FROM spr"), ids=("A9",))
 def a9_spearman(spark, sf):
     """Spearman rho between declared equipment count and vector rank (exact average ranks)."""
     r = P.spearman(V.labelled(spark, sf), "equipment_count", "rank_tz")
@@ -284,7 +284,7 @@ def _split_build(protocol: str):
 
 
 for _p in ("group_shuffle", "group_kfold", "temporal_holdout", "source_holdout", "row_random_legacy"):
-    register(f"m1_split_{_p}", sql=(lambda p=_p: _split_sql(p)), ids=("M1", "W5", "T5"))(_split_build(_p))
+    register(f"m1_split_{_p}", sql=(lambda p=_p: _split_sql(p)), ids=("M1", "W5"))(_split_build(_p))
 
 
 def _m2_sql():
@@ -342,7 +342,7 @@ def _pred(spark, sf):
 
 @register("m12_prediction_table", sql=lambda: _w(_pred_sql_ctes(),
           "SELECT sheet_ord, row_id, y, yhat, list_transform(probability, lambda p: round(p, 6)) AS probability FROM pred"),
-          ids=("M12", "J8", "M18"))
+          ids=("M12",))
 def m12_prediction_table(spark, sf):
     """Deterministic count-proxy predictions (class, softmax probabilities) joined on the row key."""
     p = _pred(spark, sf)
@@ -406,7 +406,7 @@ def m13_confusion_summary(spark, sf):
           "ORDER BY probability[j] DESC, j) AS position FROM pred, range(1, 7) r(j))"],
           f"SELECT sheet_ord, row_id, position, cls, {_RANK_CASE.format(c='cls')} AS rank, CASE cls "
           + " ".join(f"WHEN {i + 1} THEN {B.q(r[1])}" for i, r in enumerate(sorted(RF.NORMATIVES, key=lambda r: r[4])))
-          + " END AS label, round(p, 6) AS probability FROM ex WHERE position <= 3"), ids=("T3", "M19"))
+          + " END AS label, round(p, 6) AS probability FROM ex WHERE position <= 3"), ids=("T3",))
 def t3_top_k(spark, sf):
     """Per-row top-3 ranks with probability and label."""
     return E.top_k(_pred(spark, sf), K, 3)
@@ -423,8 +423,8 @@ def m9_class_weights(spark, sf):
 
 @register("m29_oversampling_plan", sql=lambda: _w(V.sql_labelled() + [
           "cc AS (SELECT CAST(CASE rank_tz WHEN 1.0 THEN 1 WHEN 1.5 THEN 2 WHEN 2.0 THEN 3 WHEN 3.0 THEN 4 WHEN 4.0 THEN 5 "
-          "WHEN 5.0 THEN 6 END AS INTEGER) AS cls, CAST(count(*) AS INTEGER) AS n FROM labelled WHERE rank_tz IS NOT NULL GROUP BY 1)"],
-          "SELECT cls, n, CAST(max(n) OVER () AS INTEGER) AS target FROM cc"), ids=("M29",))
+          "WHEN 5.0 THEN 6 END AS INTEGER) AS cls, count(*) AS n FROM labelled WHERE rank_tz IS NOT NULL GROUP BY 1)"],
+          "SELECT cls, n, max(n) OVER () AS target FROM cc"), ids=("M29",))
 def m29_oversampling_plan(spark, sf):
     """"not majority" plan: every class resampled up to the majority count."""
     lab = V.labelled(spark, sf).select(rank_to_class_col().alias("cls"))
@@ -466,7 +466,7 @@ def _m22_sql():
         "FROM cs, gm")
 
 
-@register("m22_cluster_validity", sql=_m22_sql, ids=("M22", "A19"))
+@register("m22_cluster_validity", sql=_m22_sql, ids=("M22",))
 def m22_cluster_validity(spark, sf):
     """Davies-Bouldin, Calinski-Harabasz and inertia of a floor-bin segmentation (two grouped passes)."""
     lab = V.labelled(spark, sf).where(F.col("building_floors").isNotNull() & F.col("distance_to_station").isNotNull())
@@ -477,26 +477,17 @@ def m22_cluster_validity(spark, sf):
 
 
 def _m23_sql():
-    return _w(_seg_sql_ctes() + [
-        "ct AS (SELECT cluster, rank_tz, count(*) AS n FROM seg WHERE rank_tz IS NOT NULL GROUP BY 1, 2)",
-        "tot AS (SELECT sum(n) AS nn FROM ct)",
-        "ncl AS (SELECT cluster, sum(n) AS nc FROM ct GROUP BY 1)",
-        "nrk AS (SELECT rank_tz, sum(n) AS nr FROM ct GROUP BY 1)",
-        "mi AS (SELECT sum((n / nn) * ln((nn * n) / (nc * nr))) AS mi FROM ct JOIN ncl USING (cluster) JOIN nrk USING (rank_tz), tot)",
-        "hc AS (SELECT coalesce(-sum((nc / nn) * ln(nc / nn)), 0.0) AS h_c FROM ncl, tot)",
-        "hr AS (SELECT coalesce(-sum((nr / nn) * ln(nr / nn)), 0.0) AS h_r FROM nrk, tot)",
-        "pur AS (SELECT avg(mx / sm) AS purity FROM (SELECT cluster, max(n) AS mx, sum(n) AS sm FROM ct GROUP BY 1))"],
-        "SELECT round(purity, 6) AS purity, round(greatest(CASE WHEN h_c + h_r > 0 THEN mi / ((h_c + h_r) / 2) ELSE 1.0 END, 0.0), 6) "
-        "AS nmi FROM mi, hc, hr, pur")
+    from .catalog_explore import _run_ctes
+    return _w(_run_ctes(), "SELECT round(spearman, 6) AS spearman, round(purity, 6) AS purity, round(nmi, 6) AS nmi FROM rn WHERE run_id = 0")
 
 
 @register("m23_rank_alignment", sql=_m23_sql, ids=("M23",))
 def m23_rank_alignment(spark, sf):
-    """Unweighted mean purity and NMI of the floor-bin segmentation against vector ranks."""
-    lab = V.labelled(spark, sf).where(F.col("building_floors").isNotNull() & F.col("distance_to_station").isNotNull())
-    seg = lab.select(*_SEG, "rank_tz", _seg_cluster_spark().alias("cluster"))
-    a = E.rank_alignment(seg, "cluster", "rank_tz")
-    return a.select(F.round("purity", 6).alias("purity"), F.round("nmi", 6).alias("nmi"))
+    """Spearman, unweighted mean purity and NMI of the floor-bin segmentation against the severity rank."""
+    from .catalog_explore import _labelled_segments
+    seg = _labelled_segments(spark, sf).select("rank_ref", _seg_cluster_spark().alias("cluster"))
+    a = E.rank_alignment(seg, "cluster", "rank_ref")
+    return a.select(*[F.round(c, 6).alias(c) for c in ("spearman", "purity", "nmi")])
 
 
 # production-safety gate (M36) ------------------------------------------------------

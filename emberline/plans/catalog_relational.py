@@ -82,7 +82,7 @@ def j1_promote_decisions(spark, sf):
 @register("j2_decision_summaries", sql=lambda: _w(_fires_sql(),
           "SELECT d.decision_id, d.fire_id, d.decided_at, d.decision_rank, f.rank_tz AS fire_rank, f.region, f.fire_date, "
           "CASE WHEN length(d.comment) > 80 THEN substr(d.comment, 1, 77) || '...' ELSE d.comment END AS comment_preview "
-          "FROM dec d LEFT JOIN fires f ON d.fire_id = f.row_id ORDER BY d.decided_at DESC, d.decision_id DESC"), ids=("J2", "P16"))
+          "FROM dec d LEFT JOIN fires f ON d.fire_id = f.row_id ORDER BY d.decided_at DESC, d.decision_id DESC"), ids=("J2",))
 def j2_decision_summaries(spark, sf):
     """Decision summaries (left join to incidents), newest first, with comment preview."""
     return DC.decision_summaries(_decisions(spark, sf), _fires(spark, sf))
@@ -116,7 +116,7 @@ def j4_pending_decisions(spark, sf):
           "WHERE d.save_to_db AND d.decision_rank IS NOT NULL)",
           "hist AS (SELECT rank_tz FROM labelled WHERE usable_for_training AND rank_tz IS NOT NULL AND is_canonical_event_record)"],
           "SELECT 'historical' AS training_source, rank_tz, count(*) AS n FROM hist GROUP BY 2 UNION ALL "
-          "SELECT 'lpr_decision', rank_tz, count(*) FROM prom GROUP BY 2"), ids=("M35", "U1", "S7", "A16"))
+          "SELECT 'lpr_decision', rank_tz, count(*) FROM prom GROUP BY 2"), ids=("M35", "U1"))
 def m35_training_assembly(spark, sf):
     """Training set = usable canonical historical labels UNION promoted decisions; counts per source and rank."""
     lab = V.labelled(spark, sf)
@@ -195,11 +195,6 @@ def r13_research_labels(spark, sf):
     return m.groupBy("rank_label_source").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _feat_hash_spark(cols):
-    parts = [F.coalesce(F.format_number(F.col(c).cast("double"), 6), F.lit("∅")) for c in cols]
-    return F.sha2(F.concat_ws("|", *parts), 256)
-
-
 _HASH_COLS = ["region_code", "building_floors", "fire_floor", "distance_to_station", "t_detect_min", "equipment_count"]
 
 
