@@ -16,15 +16,18 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .evaluation import metric_passport, with_class_weights
-from .features import class_to_rank, rank_to_class
+from .features import class_to_rank, fill_values, rank_to_class
+from .prefix import prefix_sums
 from .splits import hash_uniform
 
 FEATURES_COL = "features"
@@ -52,10 +55,10 @@ def classifier(kind: str, params: dict | None = None, weight_col: str | None = "
                                      featureSubsetStrategy=p.get("max_features", "sqrt"), seed=seed)
     elif kind == "gradient_boosting":
         # Spark's GBT is binary: one-vs-rest gives the multi-class twin
-        base = GBTClassifier(maxIter=p.get("max_iter", 20), maxDepth=p.get("max_depth", 5), seed=seed)
-        return OneVsRest(classifier=base, weightCol=weight_col) if weight_col else OneVsRest(classifier=base)
+        base = GBTClassifier(maxIter=p.get("max_iter", 300), maxDepth=p.get("max_depth", 8), stepSize=p.get("learning_rate", 0.1), seed=seed)
+        return OneVsRest(classifier=base, weightCol=weight_col, parallelism=6) if weight_col else OneVsRest(classifier=base, parallelism=6)
     elif kind == "logistic":
-        est = LogisticRegression(family="multinomial", maxIter=p.get("max_iter", 200), regParam=p.get("C_inv", 0.0))
+        est = LogisticRegression(family="multinomial", maxIter=p.get("max_iter", 1000), regParam=p.get("C_inv", 0.0))
     else:
         raise ValueError(kind)
     if weight_col:
@@ -75,17 +78,63 @@ def fit(train: DataFrame, features: list[str], kind: str = "random_forest", para
     return Pipeline(stages=stages).fit(df)
 
 
+@dataclass(frozen=True)
+class Fitted:
+    """A model with what its features are filled with; both learned from the training rows alone."""
+    model: PipelineModel
+    features: tuple[str, ...]
+    fills: dict[str, float]
+
+    def filled(self, df: DataFrame) -> DataFrame:
+        return apply_fills(df, self.fills)
+
+    def predict(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        return predict(self.model, self.filled(df), keys)
+
+    def probabilities(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """(keys, probability) of rows that need no label."""
+        return self.predict(df.withColumn("label", F.lit(0.0)), keys).select(*keys, "probability")
+
+
+def apply_fills(df: DataFrame, fills: dict[str, float]) -> DataFrame:
+    return df.withColumns({c: F.coalesce(F.when(F.abs(F.col(c).cast("double")) != float("inf"), F.col(c).cast("double")), F.lit(v)) for c, v in fills.items()})
+
+
+def median_fills(train: DataFrame, features: list[str]) -> dict[str, float]:
+    """Exact medians of the training rows; 0 for a column without values."""
+    return {c: 0.0 if v is None else float(v) for c, v in fill_values(train, list(features), "median").items()}
+
+
+def fit_filled(train: DataFrame, features: list[str], kind: str = "random_forest", params: dict | None = None,
+               balanced: bool = True, standardize: bool = False, seed: int = 42) -> Fitted:
+    """Medians and model of the training rows."""
+    fills = median_fills(train, features)
+    return Fitted(fit(apply_fills(train, fills), list(features), kind, params, balanced, standardize, seed), tuple(features), fills)
+
+
 def predict(model: PipelineModel, df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, y, yhat, probability array) in class ids 1..6 — the shape evaluation expects."""
+    """(keys, y, yhat, probability array) in class ids 1..6 — the shape evaluation expects.
+
+    A one-against-rest model gives a margin per class; its logistic values are brought to a sum of 1.
+    """
     out = model.transform(df)
-    prob = vector_to_array("probability") if "probability" in out.columns else F.array()
-    return out.select(*keys, (F.col("label") + 1).cast("int").alias("y"), (F.col("prediction") + 1).cast("int").alias("yhat"),
-                      _pad6(prob).alias("probability"))
+    if "probability" in out.columns:
+        prob = _pad6(vector_to_array("probability"))
+    else:
+        raw = F.transform(_pad6(vector_to_array("rawPrediction"), float("-inf")), lambda x: 1.0 / (1.0 + F.exp(-2.0 * x)))
+        prob = scaled(raw)
+    return out.select(*keys, (F.col("label") + 1).cast("int").alias("y"), (F.col("prediction") + 1).cast("int").alias("yhat"), prob.alias("probability"))
+
 
+def scaled(values: Column) -> Column:
+    """Class values over their sum; equal shares if all are 0."""
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(values, lambda x: F.when(total > 0, x / total).otherwise(1.0 / 6))
 
-def _pad6(arr):
-    """Probability arrays as 6 entries (classes unseen in training get probability 0)."""
-    return F.transform(F.sequence(F.lit(1), F.lit(6)), lambda j: F.coalesce(F.try_element_at(arr, j), F.lit(0.0)))
+
+def _pad6(arr, missing: float = 0.0):
+    """Arrays as 6 entries (classes unseen in training get ``missing``)."""
+    return F.transform(F.sequence(F.lit(1), F.lit(6)), lambda j: F.coalesce(F.try_element_at(arr, j), F.lit(missing)))
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -117,30 +166,132 @@ def fold_column(df: DataFrame, key: str, folds: int, seed: int = 42, name: str =
                                        * folds).cast("int"))
 
 
-def cross_validate(df: DataFrame, features: list[str], kind: str = "random_forest", params: dict | None = None,
-                   folds: int = 5, key: str = "event_id", seed: int = 42) -> DataFrame:
-    """Per-fold accuracy / F1 macro / F1 weighted, then mean and std across folds.
+METRICS = ("accuracy", "f1_macro", "f1_weighted", "precision", "recall", "ordinal_mae")
 
-    The fold table is persisted once (re-used by every fold); the loop over
-    folds is a bounded driver loop of distributed fits.
-    """
-    data = fold_column(df, key, folds, seed).persist()
-    rows = []
-    try:
-        for k in range(folds):
-            train, test = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
-            m = fit(train, features, kind, params, seed=seed)
-            mp = {r["metric"]: r["value"] for r in metric_passport(predict(m, test, [])).collect()}
-            rows.append((k, mp.get("accuracy"), mp.get("f1_macro"), mp.get("f1_weighted")))
-    finally:
-        data.unpersist()
-    spark = df.sparkSession
-    per = spark.createDataFrame(rows, "fold int, accuracy double, f1_macro double, f1_weighted double")
+
+def _metrics(pred: DataFrame) -> dict[str, float]:
+    return {r["metric"]: r["value"] for r in metric_passport(pred).collect()}
+
+
+def fold_metrics(df: DataFrame, fit_one, folds: int, key: str = "event_id", seed: int = 42) -> list[dict[str, float]]:
+    """Metrics of each group fold; ``fit_one(train)`` gives a function from rows to predictions. Folds without rows are left out."""
+    data = written(fold_column(df, key, folds, seed), "folds")
+    out = []
+    for k in range(folds):
+        train, test = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
+        if test.limit(1).count() and train.limit(1).count():
+            out.append(_metrics(fit_one(train)(test)))
+    return out
+
+
+def cross_validate(df: DataFrame, features: list[str], kind: str = "random_forest", params: dict | None = None,
+                   folds: int = 5, key: str = "event_id", seed: int = 42, standardize: bool = False) -> DataFrame:
+    """Mean and std over group folds of accuracy / F1 macro / F1 weighted; fills and model are refitted in each fold."""
+    def one(train: DataFrame):
+        fitted = fit_filled(train, features, kind, params, standardize=standardize, seed=seed)
+        return lambda test: fitted.predict(test, [])
+
+    rows = [(i, m.get("accuracy"), m.get("f1_macro"), m.get("f1_weighted")) for i, m in enumerate(fold_metrics(df, one, folds, key, seed))]
+    per = df.sparkSession.createDataFrame(rows, "fold int, accuracy double, f1_macro double, f1_weighted double")
     return per.agg(*[F.round(F.avg(c), 6).alias(f"{c}_mean") for c in ("accuracy", "f1_macro", "f1_weighted")],
                    *[F.round(F.stddev_pop(c), 6).alias(f"{c}_std") for c in ("accuracy", "f1_macro", "f1_weighted")],
                    F.count(F.lit(1)).alias("folds"))
 
 
+def cross_validate_regression(df: DataFrame, features: list[str], target: str, params: dict | None = None, folds: int = 5,
+                              key: str = "event_id", seed: int = 42) -> DataFrame:
+    """M10 for a regressor: mean of MAE, RMSE and R2 over group folds."""
+    data = written(fold_column(df, key, folds, seed), "folds")
+    out = None
+    for k in range(folds):
+        train, test = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
+        fills = median_fills(train, features)
+        m = fit_regressor(apply_fills(train, fills), features, target, "random_forest", params, seed)
+        one = regression_metrics(m.transform(apply_fills(test, fills)), target, "prediction")
+        out = one if out is None else out.unionByName(one)
+    return out.agg(*[F.round(F.avg(c), 6).alias(f"{c}_mean") for c in ("mae", "rmse", "r2")], F.count(F.lit(1)).alias("folds"))
+
+
+def grouped_search(df: DataFrame, features: list[str], kind: str, space: dict[str, list], trials: int, folds: int = 3,
+                   key: str = "event_id", metric: str = "f1_macro", seed: int = 42) -> DataFrame:
+    """``trials`` settings drawn from ``space`` by a seeded generator, each over group folds with the preprocessor
+    refitted inside; rows (trial, params, six mean metrics), best first."""
+    import json
+    import random
+
+    from .preprocessing import fit as fit_preprocessor
+
+    rng, rows, seen = random.Random(seed), [], set()
+    for trial in range(trials):
+        params = {k: rng.choice(v) for k, v in sorted(space.items())}
+        if (text := json.dumps(params, sort_keys=True)) in seen:
+            continue
+        seen.add(text)
+
+        def one(train: DataFrame, params=params):
+            pre = fit_preprocessor(train, features)
+            model = fit(_plain(pre.transform(train, ["label"])), _plain_names(pre.outputs), kind, params, seed=seed)
+            return lambda test: predict(model, _plain(pre.transform(test, ["label"])), [])
+
+        found = fold_metrics(df, one, folds, key, seed)
+        rows.append((trial, text, *[sum(m[x] for m in found) / len(found) if found else None for x in METRICS]))
+    schema = "trial int, params string, " + ", ".join(f"{m} double" for m in METRICS)
+    return df.sparkSession.createDataFrame(rows, schema).orderBy(F.desc(metric), "trial")
+
+
+def _plain_names(outputs: list[str]) -> list[str]:
+    """Names without dots, which vectors of columns cannot address."""
+    return [o.replace(".", "_") for o in outputs]
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.toDF(*_plain_names(df.columns))
+
+
+@dataclass(frozen=True)
+class Calibrated:
+    """M8: a fitted model and, per class, what turns its probability into a calibrated one."""
+    base: Fitted
+    method: str
+    curves: dict[int, object]
+
+    def predict(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        rows = self.base.predict(df, [*keys])
+        for c, curve in self.curves.items():
+            p = F.element_at("probability", c)
+            if self.method == "sigmoid":
+                a, b = curve
+                rows = rows.withColumn(f"cal_{c}", 1.0 / (1.0 + F.exp(-(F.lit(a) * p + F.lit(b)))))
+            else:
+                rows = curve.transform(rows.withColumn(f"raw_{c}", p))
+        values = F.array(*[F.col(f"cal_{c}") if c in self.curves else F.lit(0.0) for c in range(1, 7)])
+        rows = rows.select(*keys, "y", scaled(values).alias("probability"))
+        best = F.array_max(F.zip_with("probability", F.sequence(F.lit(1), F.lit(6)), lambda x, j: F.struct(x.alias("p"), (-j).alias("nj"))))
+        return rows.select(*keys, "y", (-best["nj"]).cast("int").alias("yhat"), "probability")
+
+
+def calibrate(train: DataFrame, features: list[str], kind: str, params: dict | None = None, method: str = "sigmoid", folds: int = 3,
+              key: str = "event_id", seed: int = 42) -> Calibrated:
+    """Out-of-fold probabilities of ``folds`` group folds fit a logistic or isotonic curve for each class; the model is refitted on all rows."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    if method not in ("sigmoid", "isotonic"):
+        raise ValueError(f"unknown calibration {method}")
+    data, parts = written(fold_column(train, key, folds, seed), "folds"), None
+    for k in range(folds):
+        one = fit_filled(data.where(F.col("fold") != k), features, kind, params, seed=seed).predict(data.where(F.col("fold") == k), [])
+        parts = one if parts is None else parts.unionByName(one)
+    scores, curves = written(parts, "scores"), {}
+    for (c,) in sorted(scores.select("y").distinct().collect()):
+        rows = scores.select(F.element_at("probability", F.lit(c)).alias(f"raw_{c}"), (F.col("y") == c).cast("double").alias("label"))
+        if method == "sigmoid":
+            m = LogisticRegression(featuresCol="f", maxIter=100).fit(VectorAssembler(inputCols=[f"raw_{c}"], outputCol="f").transform(rows))
+            curves[c] = (float(m.coefficients[0]), float(m.intercept))
+        else:
+            curves[c] = IsotonicRegression(featuresCol=f"raw_{c}", predictionCol=f"cal_{c}").fit(rows)
+    return Calibrated(fit_filled(train, features, kind, params, seed=seed), method, curves)
+
+
 def impurity_importance(model: PipelineModel, features: list[str]) -> DataFrame:
     """M14 (impurity part): the fitted model's feature importances as a table."""
     from pyspark.sql import SparkSession
@@ -149,29 +300,25 @@ def impurity_importance(model: PipelineModel, features: list[str]) -> DataFrame:
         [(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], repeats: int = 3,
-                           seed: int = 42, buckets: int = 64) -> DataFrame:
+def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], repeats: int = 3, seed: int = 42) -> DataFrame:
     """M14 (permutation part): drop in accuracy when one feature's values are shuffled.
 
-    Rows are hashed into ``buckets`` random groups; inside each group the rows
-    are ordered by two independent hashes and paired by position, which is a
-    uniformly random permutation within the group. Windows are partitioned by
-    the bucket, so no single task ever sees the whole table.
+    Rows are numbered once in the order of a seeded hash, by prefix sums rather than
+    one window; a permutation gives row i the value of row i + shift of that order,
+    with a shift drawn for each feature and repeat, so all rows take part at any size.
     """
-    from pyspark.sql import Window
-    base_acc = _accuracy(model, df)
-    keyed = df.withColumn("_rid", F.monotonically_increasing_id())
-    out = []
+    import random
+
+    rng, base_acc = random.Random(seed), _accuracy(model, df)
+    keyed = written(df.withColumn("rid_", F.monotonically_increasing_id()), "rows")
+    placed = written(prefix_sums(keyed.withColumn("u_", hash_uniform(F.col("rid_"), seed)), [], ["u_", "rid_"], None, "at_"), "placed")
+    n, out = placed.count(), []
     for f in features:
         drops = []
-        for r in range(repeats):
-            bucket = F.floor(hash_uniform(F.col("_rid"), seed + r) * buckets)
-            k = keyed.withColumn("_b", bucket)
-            a = k.withColumn("_p", F.row_number().over(Window.partitionBy("_b").orderBy(
-                hash_uniform(F.col("_rid"), seed + 7 * r + 1), "_rid")))
-            b = k.select("_b", F.col(f).alias("_v"), F.row_number().over(Window.partitionBy("_b").orderBy(
-                hash_uniform(F.col("_rid"), seed + 7 * r + 2), "_rid")).alias("_p"))
-            shuffled = a.drop(f).join(b, ["_b", "_p"]).withColumnRenamed("_v", f)
+        for _ in range(repeats):
+            shift = rng.randrange(1, n) if n > 1 else 0
+            values = placed.select(((F.col("at_") + F.lit(shift)) % F.lit(n)).alias("to_"), F.col(f).alias("v_"))
+            shuffled = placed.join(values, F.col("at_") == F.col("to_")).withColumn(f, F.col("v_"))
             drops.append(base_acc - _accuracy(model, shuffled))
         mean = sum(drops) / len(drops)
         out.append((f, float(mean), float(math.sqrt(sum((d - mean) ** 2 for d in drops) / len(drops)))))
@@ -208,7 +355,11 @@ def ensemble_uncertainty(model: PipelineModel, df: DataFrame, keys: list[str], n
     Also emits the entropy of the mean distribution (the source reads an entropy
     it never computes).
     """
-    tp = tree_probabilities(model, df, keys, n_trees, seed)
+    return reduce_tree_probabilities(tree_probabilities(model, df, keys, n_trees, seed), keys)
+
+
+def reduce_tree_probabilities(tp: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean, std, 5 % and 95 % quantile over trees of each class's probability in ``tree_probs``, then maxima over classes."""
     n = F.size("tree_probs")
     cls = F.sequence(F.lit(1), F.lit(6))
 
@@ -229,7 +380,7 @@ def ensemble_uncertainty(model: PipelineModel, df: DataFrame, keys: list[str], n
         a, b = F.element_at(s, lo + 1), F.element_at(s, hi + 1)
         return a + (b - a) * (h - lo)
 
-    stats = tp.select(*keys, "label", per_class(mean).alias("mean_probs"), per_class(std).alias("std_probs"),
+    stats = tp.select(*keys, per_class(mean).alias("mean_probs"), per_class(std).alias("std_probs"),
                       per_class(lambda xs: pct(xs, 0.05)).alias("p05"), per_class(lambda xs: pct(xs, 0.95)).alias("p95"),
                       n.alias("n_trees"))
     best = F.array_max(F.zip_with("mean_probs", F.sequence(F.lit(1), F.lit(6)),
@@ -251,8 +402,12 @@ def resource_quantiles(model: PipelineModel, df: DataFrame, keys: list[str], qs=
         t.setPredictionCol(f"_t{i}")
         cur = t.transform(cur)
         cols.append(F.col(f"_t{i}"))
-    arr = F.array_sort(F.array(*cols))
-    base = cur.select(*keys, arr.alias("_v"))
+    return reduce_tree_values(cur.select(*keys, F.array(*cols).alias("tree_values")), keys, qs)
+
+
+def reduce_tree_values(rows: DataFrame, keys: list[str], qs=(0.2, 0.5, 0.8)) -> DataFrame:
+    """Quantiles, minimum, maximum and population std of the numbers in ``tree_values``."""
+    base = rows.select(*keys, F.array_sort("tree_values").alias("_v"))
     n = F.size("_v")
 
     def q(p):
@@ -274,29 +429,82 @@ def standardize(df: DataFrame, features: list[str], keep: list[str] = ()) -> Dat
 
 
 def segment(df: DataFrame, features: list[str], k: int = 4, seed: int = 42, algorithm: str = "kmeans",
-            keep: list[str] = ()) -> tuple[DataFrame, dict]:
-    """K-means (or bisecting k-means in place of agglomerative) on filled features."""
+            keep: list[str] = (), restarts: int = 1) -> tuple[DataFrame, dict]:
+    """K-means (or bisecting k-means in place of agglomerative) on filled features; the best of ``restarts`` seeds."""
     filled = df.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
-    # iterative fit: cache the assembled input so each iteration reads it once from memory/disk
-    data = assemble(filled, features).persist()
-    est = (KMeans(k=k, seed=seed, maxIter=50) if algorithm == "kmeans" else BisectingKMeans(k=k, seed=seed))
-    try:
-        model = est.fit(data)
-    finally:
-        data.unpersist()
-    data = assemble(filled, features)
-    out = model.transform(data).withColumnRenamed("prediction", "cluster")
-    info = {"k": k, "inertia": float(model.summary.trainingCost),
-            "centres": [c.tolist() for c in model.clusterCenters()]}
-    used = out.select("cluster").distinct().limit(2).count()
-    sil = ClusteringEvaluator(predictionCol="cluster").evaluate(out) if used > 1 else None
-    info["silhouette_sq"] = sil
+    data = written(filled, "segments")
+    model = segment_model(assemble(data, features), k, seed, algorithm, restarts)
+    out = model.transform(assemble(data, features)).withColumnRenamed("prediction", "cluster")
+    info = {"k": k, "inertia": float(model.summary.trainingCost), "centres": [c.tolist() for c in model.clusterCenters()]}
     return out.drop(FEATURES_COL), info
 
 
+def segment_model(vectors: DataFrame, k: int, seed: int = 42, algorithm: str = "kmeans", restarts: int = 1):
+    """The fitted model of least cost over ``restarts`` seeds."""
+    best = None
+    for r in range(restarts):
+        est = KMeans(k=k, seed=seed + r, maxIter=50) if algorithm == "kmeans" else BisectingKMeans(k=k, seed=seed + r)
+        model = est.fit(vectors)
+        if best is None or model.summary.trainingCost < best.summary.trainingCost:
+            best = model
+    return best
+
+
+def clustering_grid(df: DataFrame, groups: dict[str, list[str]], rank: str, ks: list[int], algorithms: tuple[str, ...] = ("kmeans", "bisecting"),
+                    time_flag: str | None = "flag_time_invalid", threads: int = 4, seed: int = 42) -> DataFrame:
+    """Every feature group x {dropna, impute} x algorithm x k, one row per run with validity, silhouette and alignment.
+
+    Runs of fewer than max(2k, 10) rows are skipped, as are rows without ``rank``, and
+    rows with invalid times for groups of time features. Models of one group are
+    fitted by a few driver threads over the same written table; all labels of a group
+    are evaluated together, in grouped passes over (run, row).
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from .evaluation import cluster_validity, rank_alignment
+
+    parts, run = [], 0
+    for name, feats in groups.items():
+        rows = df.where(~F.col(time_flag)) if time_flag and any(f.endswith("_min") for f in feats) else df
+        rows = rows.select(rank, *[F.col(c).cast("double").alias(c) for c in feats])
+        for imputation in ("dropna", "impute"):
+            base = rows.dropna(subset=feats) if imputation == "dropna" else apply_fills(rows, median_fills(rows, feats))
+            base = base.where(F.col(rank).isNotNull())
+            z = written(standardize(base, feats, keep=[rank]), "scaled")
+            n = z.count()
+            wanted = [(a, k) for a in algorithms for k in ks]
+            ids = {x: run + i for i, x in enumerate(wanted)}
+            run += len(wanted)
+            wanted = [(a, k) for a, k in wanted if n >= max(2 * k, 10)]
+            if not wanted:
+                continue
+            vectors = assemble(z, feats).persist()
+            try:
+                with ThreadPoolExecutor(threads) as pool:
+                    models = list(pool.map(lambda x, v=vectors: segment_model(v, x[1], seed, x[0]), wanted))
+            finally:
+                vectors.unpersist()
+            rows_of = assemble(z, feats)
+            for (a, k), model in zip(wanted, models, strict=True):
+                rows_of = model.setPredictionCol(f"c_{a}_{k}").transform(rows_of)
+            labels = F.array(*[F.struct(F.lit(ids[a, k]).alias("run_id"), F.lit(a).alias("algorithm"), F.lit(k).alias("asked_k"), F.col(f"c_{a}_{k}").alias("cluster"))
+                               for a, k in wanted])
+            long = written(rows_of.select(rank, *feats, F.inline(labels)), "labels")
+            by = ["run_id", "algorithm", "asked_k"]
+            one = cluster_validity(long, feats, "cluster", by, silhouette=True).join(rank_alignment(long, "cluster", rank, by), by)
+            parts.append(written(one.select("run_id", F.lit(name).alias("feature_set"), F.lit(imputation).alias("imputation"), "algorithm", F.col("asked_k").alias("k"),
+                                            F.col("n").alias("rows_used"), "silhouette", "davies_bouldin", "calinski_harabasz", "inertia", "cluster_min", "cluster_max",
+                                            (F.col("cluster_min") / F.col("n")).alias("cluster_smallest_share"), "spearman", "purity", "nmi"), "runs"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def pca_2d(df: DataFrame, features: list[str], keep: list[str] = ()) -> DataFrame:
     """Two principal components of standardised features."""
-    z = assemble(standardize(df.dropna(subset=features), features, keep), features)
+    filled = df.select(*keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+    z = assemble(standardize(filled, features, keep), features)
     model = PCA(k=2, inputCol=FEATURES_COL, outputCol="pc").fit(z)
     arr = vector_to_array("pc")
     return model.transform(z).select(*keep, arr[0].alias("pc1"), arr[1].alias("pc2"))
@@ -306,19 +514,101 @@ def subset_study(df: DataFrame, pool: list[str], test_flag: str = "is_test", max
                  seed: int = 42) -> DataFrame:
     """Every 2..max_size subset of ``pool`` -> forest -> test F1 macro, ranked.
 
-    The assembled table is cached once; each subset is a distributed fit, the
-    loop over subsets is bounded by the pool size.
+    ``df`` is read once per subset, so give it written; the loop is bounded by the pool.
     """
-    data = df.persist()
     rows = []
-    try:
-        train, test = data.where(~F.col(test_flag)), data.where(F.col(test_flag))
-        for size in range(2, max_size + 1):
-            for subset in itertools.combinations(pool, size):
-                m = fit(train, list(subset), "random_forest", {"n_estimators": trees, "max_depth": 10}, seed=seed)
-                mp = {r["metric"]: r["value"] for r in metric_passport(predict(m, test, [])).collect()}
-                rows.append((",".join(subset), size, mp.get("f1_macro"), mp.get("accuracy")))
-    finally:
-        data.unpersist()
+    train, test = df.where(~F.col(test_flag)), df.where(F.col(test_flag))
+    for size in range(2, max_size + 1):
+        for subset in itertools.combinations(pool, size):
+            m = _metrics(fit_filled(train, list(subset), "random_forest", {"n_estimators": trees, "max_depth": 10}, seed=seed).predict(test, []))
+            rows.append((",".join(subset), size, m.get("f1_macro"), m.get("accuracy")))
     res = df.sparkSession.createDataFrame(rows, "features string, size int, f1_macro double, accuracy double")
     return res.orderBy(F.desc("f1_macro"), "features")
+
+
+# ---- neighbour oversampling (M30) ------------------------------------------------
+
+def near_rows(df: DataFrame, key: str, features: list[str], k: int, by: list[str], projections: int = 6, width: int = 8, seed: int = 42) -> DataFrame:
+    """(key, near, d, place): up to ``k`` nearest rows among candidates, inside the groups ``by``.
+
+    Candidates of a row are the ``width`` rows before and after it in the order of
+    each of a few random projections; orders come from prefix sums and candidates
+    from equality joins on positions, so their number is 2 * projections * width a
+    row whatever the group's size. Distances to them are exact.
+    """
+    import random
+
+    rng, pairs = random.Random(seed), None
+    point = F.array(*[F.col(c).cast("double") for c in features])
+    rows = written(df.select(F.col(key).alias("key_"), *by, point.alias("x_")), "points")
+    for _ in range(projections):
+        w = [rng.gauss(0, 1) for _ in features]
+        line = sum((F.element_at("x_", i + 1) * F.lit(v) for i, v in enumerate(w)), F.lit(0.0))
+        at = written(prefix_sums(rows.withColumn("p_", line), by, ["p_", "key_"], None, "at_"), "order")
+        steps = F.explode(F.array(*[F.lit(i) for i in range(-width, width + 1) if i]))
+        left = at.select(*by, "key_", "x_", "at_", steps.alias("step_")).withColumn("to_", F.col("at_") + F.col("step_"))
+        right = at.select(*[F.col(c).alias(f"{c}_r") for c in by], F.col("key_").alias("near"), F.col("x_").alias("y_"), F.col("at_").alias("at_r"))
+        same = F.col("to_") == F.col("at_r")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"{c}_r"))
+        d = F.sqrt(F.aggregate(F.zip_with("x_", "y_", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+        one = left.join(right, same).select("key_", "near", d.alias("d"))
+        pairs = one if pairs is None else pairs.unionByName(one)
+    place = F.row_number().over(Window.partitionBy("key_").orderBy("d", "near"))
+    return pairs.distinct().withColumn("place", place).where(F.col("place") <= k).withColumnRenamed("key_", key)
+
+
+def oversample(df: DataFrame, key: str, label: str, features: list[str], plan: DataFrame, method: str = "smote", k: int = 5, m: int = 10,
+               categorical: list[str] = (), seed: int = 42) -> DataFrame:
+    """``df``'s (label, features) and the synthetic rows that ``plan(cls, n, target)`` asks for, with ``synthetic``.
+
+    A synthetic row lies between a seed row and one of its ``k`` nearest rows of the
+    same class, at a seeded place; categorical features take the commonest value of
+    those neighbours. Seeds: all rows of a class in turn (``smote``), those of which
+    half or more of the ``m`` nearest rows belong to other classes (``borderline``),
+    or all in proportion to that share (``adasyn``). A class without such seeds uses
+    all its rows; rows without a neighbour are repeated as they are.
+    """
+    if method not in ("smote", "borderline", "adasyn"):
+        raise ValueError(f"unknown method {method}")
+    numeric = [c for c in features if c not in categorical]
+    rows = written(df.where(F.col(label).isNotNull()).select(F.col(key).alias("rid_"), label, *features), "rows")
+    near = written(near_rows(rows, "rid_", numeric, k, [label], seed=seed), "near")
+    weight = F.lit(1.0)
+    seeds = rows.select("rid_", label)
+    if method != "smote":
+        other = near_rows(rows.select("rid_", *numeric), "rid_", numeric, m, [], seed=seed + 1)
+        labels = rows.select(F.col("rid_").alias("near_id"), F.col(label).alias("near_label"))
+        share = (other.join(seeds, "rid_").join(labels, F.col("near") == F.col("near_id"))
+                 .groupBy("rid_").agg(F.avg((F.col("near_label") != F.col(label)).cast("double")).alias("share_")))
+        seeds = seeds.join(share, "rid_", "left")
+        weight = F.coalesce(F.col("share_"), F.lit(0.0)) if method == "adasyn" else (F.coalesce(F.col("share_"), F.lit(0.0)) >= 0.5).cast("double")
+    seeds = written(seeds.select("rid_", label, weight.alias("w_")), "seeds")
+    totals = seeds.groupBy(F.col(label).alias("cls_")).agg(F.sum("w_").alias("sum_"), F.count(F.lit(1)).alias("n_"))
+    want = plan.select(F.col("cls").alias("plan_"), (F.col("target") - F.col("n")).alias("extra_")).where(F.col("extra_") > 0)
+    asked = totals.join(want, F.col("cls_") == F.col("plan_"))
+    # Systematic shares: the copies of a row are the whole numbers in its stretch of the summed shares.
+    shared = seeds.join(asked, F.col(label) == F.col("cls_")).withColumn("part_", F.when(F.col("sum_") > 0, F.col("w_") / F.col("sum_")).otherwise(1.0 / F.col("n_")) * F.col("extra_"))
+    placed = prefix_sums(shared.select("rid_", label, "part_", "extra_"), [label], ["rid_"], "part_", "from_")
+    # Sums of fractions are rounded to a grid, so that the last stretch ends on the whole total.
+    grid = lambda c: F.round(c, 6)
+    n = F.least(F.ceil(grid(F.col("from_") + F.col("part_"))), F.col("extra_")) - F.least(F.ceil(grid(F.col("from_"))), F.col("extra_"))
+    made = placed.withColumn("n_", n.cast("int")).where(F.col("n_") > 0).select("rid_", label, F.explode(F.sequence(F.lit(1), F.col("n_"))).alias("i_"))
+    known = near.groupBy("rid_").agg(F.max("place").alias("known_"))
+    u = lambda salt: hash_uniform(F.concat_ws(":", "rid_", "i_", F.lit(salt)), seed)
+    drawn = made.join(known, "rid_", "left").withColumn("place_", (F.floor(u("near") * F.coalesce("known_", F.lit(1))) + 1).cast("int")).withColumn("gap_", u("gap"))
+    pick = near.select(F.col("rid_").alias("seed_"), F.col("place").alias("p_"), F.col("near").alias("near_"))
+    drawn = drawn.join(pick, (F.col("rid_") == F.col("seed_")) & (F.col("place_") == F.col("p_")), "left")
+    ends = rows.select(F.col("rid_").alias("end_"), *[F.col(c).alias(f"end_{c}") for c in numeric])
+    both = drawn.join(rows.drop(label), "rid_").join(ends, F.coalesce("near_", "rid_") == F.col("end_"))
+    cols = {c: (F.col(c) + F.col("gap_") * (F.col(f"end_{c}") - F.col(c))) for c in numeric}
+    if categorical:
+        values = rows.select(F.col("rid_").alias("val_"), *categorical)
+        seen = near.join(values, F.col("near") == F.col("val_"))
+        for c in categorical:
+            top = seen.groupBy("rid_", c).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+            one = top.groupBy(F.col("rid_").alias(f"m_{c}")).agg(F.max_by(c, F.struct("n", -F.col("first"))).alias(f"mode_{c}"))
+            both = both.join(one, F.col("rid_") == F.col(f"m_{c}"), "left")
+            cols[c] = F.coalesce(F.col(f"mode_{c}"), F.col(c))
+    new = both.select(label, *[cols[c].alias(c) for c in features], F.lit(True).alias("synthetic"))
+    return rows.select(label, *features, F.lit(False).alias("synthetic")).unionByName(new)

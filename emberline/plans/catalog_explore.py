@@ -277,16 +277,15 @@ def _labelled_segments(spark, sf):
 
 
 def _runs(spark, sf):
+    """All labellings of the same rows, evaluated together."""
     rows = _labelled_segments(spark, sf).select(*_SEG, "rank_ref")
-    out = None
-    for i, (name, col, edges) in enumerate(_LABELS):
-        seg = rows.withColumn("cluster", FE.cut(F.col(col).cast("double"), edges).cast("int"))
-        size = seg.groupBy("cluster").count().agg(F.min("count").alias("cluster_min"), F.max("count").alias("cluster_max"), F.sum("count").alias("rows_used"))
-        one = (size.crossJoin(E.cluster_validity(seg, _SEG, "cluster").drop("n", "k")).crossJoin(E.rank_alignment(seg, "cluster", "rank_ref"))  # one row each
-               .select(F.lit(i).alias("run_id"), F.lit(name).alias("name"), "*", F.lit(None).cast("double").alias("silhouette"),
-                       (F.col("cluster_min") / F.col("rows_used")).alias("cluster_smallest_share")))
-        out = one if out is None else out.unionByName(one)
-    return out
+    labels = [F.struct(F.lit(i).alias("run_id"), F.lit(name).alias("name"), FE.cut(F.col(col).cast("double"), edges).cast("int").alias("cluster"))
+              for i, (name, col, edges) in enumerate(_LABELS)]
+    long = rows.select(*_SEG, "rank_ref", F.inline(F.array(*labels)))
+    by = ["run_id", "name"]
+    runs = E.cluster_validity(long, _SEG, "cluster", by).join(E.rank_alignment(long, "cluster", "rank_ref", by), by)
+    return runs.withColumnRenamed("n", "rows_used").withColumn("silhouette", F.lit(None).cast("double")).withColumn(
+        "cluster_smallest_share", F.col("cluster_min") / F.col("rows_used"))
 
 
 def _run_ctes():

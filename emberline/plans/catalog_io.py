@@ -85,9 +85,9 @@ def s10_prediction_sink(spark, sf):
 @register("s13_model_store", ids=("S13", "M3"))
 def s13_model_store(spark, sf):
     """Decision tree saved with metadata, loaded back, and evaluated on the test split."""
-    model, data = CM._fit_eval(spark, sf, "decision_tree", {"max_depth": 10, "min_samples_leaf": 10})
-    path = IO.save_model(model, scratch(spark, "s13"), {"model_type": "decision_tree", "feature_set": "managed",
-                                                         "features": CM.FEATS})
+    fitted, test = CM.fitted(spark, sf, "decision_tree", {"max_depth": 10, "min_samples_leaf": 10})
+    path = IO.save_model(fitted.model, scratch(spark, "s13"), {"model_type": "decision_tree", "feature_set": "managed",
+                                                         "features": CM.FEATS, "fills": fitted.fills})
     loaded, meta = IO.load_model(spark, path)
-    return E.metric_passport(L.predict(loaded, data.where(F.col("is_test")), CM.K)) \
+    return E.metric_passport(L.predict(loaded, L.apply_fills(test, meta["fills"]), CM.K)) \
         .withColumn("model_type", F.lit(meta["model_type"]))
