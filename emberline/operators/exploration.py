@@ -71,38 +71,51 @@ def _floor_mod(x: Column, y: Column) -> Column:
     return ((x % d) + d) % d
 
 
-def generated_features(columns: list[str], most: int = 50) -> dict[str, Column]:
-    """named compositions of absolute, negate, multiply, divide and modulo of numeric columns.
+def feature_recipes(columns: list[str], most: int = 50) -> dict[str, tuple[str, ...]]:
+    """name -> (operation, names it is made of) for compositions of absolute, negate, multiply, divide and modulo.
 
     Order: the columns, all features of depth one by operation, then those of depth
     two (absolute, negate; products, ratios and remainders with a column), until
-    ``most`` features are named. A division by zero is null.
+    ``most`` features are named.
     """
-    base = {c: F.col(c).cast("double") for c in columns}
-    out = dict(base)
-
-    def unary(names: list[str]) -> None:
-        for n in names:
-            out[f"absolute({n})"] = F.abs(out[n])
-        for n in names:
-            out[f"negate({n})"] = -out[n]
-
-    def binary(both: list[tuple[str, str]], ordered: list[tuple[str, str]]) -> None:
-        for a, b in both:
-            out[f"multiply({a},{b})"] = out[a] * out[b]
-        for a, b in ordered:
-            out[f"divide({a},{b})"] = out[a] / F.nullif(out[b], F.lit(0.0))
-        for a, b in ordered:
-            out[f"modulo({a},{b})"] = _floor_mod(out[a], out[b])
-
-    unary(columns)
-    binary(list(combinations(columns, 2)), list(permutations(columns, 2)))
-    first = [n for n in out if n not in base]
-    unary(first)
-    binary([(a, b) for a in first for b in columns], [(a, b) for a in first for b in columns])
+    out: dict[str, tuple[str, ...]] = {c: ("column", c) for c in columns}
+
+    def grow(names: list[str], both: list[tuple[str, str]], ordered: list[tuple[str, str]]) -> None:
+        for op in ("absolute", "negate"):
+            out.update({f"{op}({n})": (op, n) for n in names})
+        out.update({f"multiply({a},{b})": ("multiply", a, b) for a, b in both})
+        for op in ("divide", "modulo"):
+            out.update({f"{op}({a},{b})": (op, a, b) for a, b in ordered})
+
+    grow(columns, list(combinations(columns, 2)), list(permutations(columns, 2)))
+    first = [n for n in out if n not in columns]
+    pairs = [(a, b) for a in first for b in columns]
+    grow(first, pairs, pairs)
     return dict(list(out.items())[:most])
 
 
+def generated_features(columns: list[str], most: int = 50) -> dict[str, Column]:
+    """the features of :func:`feature_recipes` as expressions. A division by zero is null."""
+    made: dict[str, Column] = {}
+    for name, (op, *args) in feature_recipes(columns, 1 << 30).items():
+        x = [made.get(a) for a in args]
+        if op == "column":
+            made[name] = F.col(args[0]).cast("double")
+        elif op == "absolute":
+            made[name] = F.abs(x[0])
+        elif op == "negate":
+            made[name] = -x[0]
+        elif op == "multiply":
+            made[name] = x[0] * x[1]
+        elif op == "divide":
+            made[name] = x[0] / F.nullif(x[1], F.lit(0.0))
+        else:
+            made[name] = _floor_mod(x[0], x[1])
+        if len(made) == most:
+            break
+    return made
+
+
 def top_variances(df: DataFrame, features: dict[str, Column], top: int = 20) -> DataFrame:
     """the ``top`` features by sample variance (infinite values as missing, all-missing ones left out)."""
     names = list(features)

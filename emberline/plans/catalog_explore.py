@@ -81,39 +81,28 @@ def a9_spearman_damage(spark, sf):
 _DFS = ["building_floors", "fire_floor", "distance_to_station"]
 
 
+_RECIPES = X.feature_recipes(_DFS)
+
+
 def _sql_of(name: str) -> str:
-    """SQL of a generated feature from its name."""
-    if "(" not in name:
+    """SQL of a generated feature from its recipe."""
+    op, *args = _RECIPES[name]
+    if op == "column":
         return f"CAST({name} AS DOUBLE)"
-    op, inner = name.split("(", 1)
-    inner, depth, args = inner[:-1], 0, [""]
-    for ch in inner:
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and not depth:
-            args.append("")
-        else:
-            args[-1] += ch
     x = [_sql_of(a) for a in args]
-    if op == "absolute":
-        return f"abs({x[0]})"
-    if op == "negate":
-        return f"(-{x[0]})"
-    if op == "multiply":
-        return f"({x[0]} * {x[1]})"
-    if op == "divide":
-        return f"({x[0]} / nullif({x[1]}, 0.0))"
-    return f"((({x[0]} % nullif({x[1]}, 0.0)) + {x[1]}) % nullif({x[1]}, 0.0))"
+    return {"absolute": "abs({0})", "negate": "(-{0})", "multiply": "({0} * {1})", "divide": "({0} / nullif({1}, 0.0))",
+            "modulo": "((({0} % nullif({1}, 0.0)) + {1}) % nullif({1}, 0.0))"}[op].format(*x)
 
 
 @register("f12_generated_features", ids=("F12",), sql=lambda: _w(V.sql_stage1(), f"SELECT {KS}, " + ", ".join(
-          f"round({_sql_of(n)}, 6) + 0.0 AS \"{n}\"" for n in X.generated_features(_DFS)) + " FROM stage1"))
+          f"round({_sql_of(n)}, 6) + 0.0 AS \"{n}\"" for n in _RECIPES) + " FROM stage1"))
 def f12_generated_features(spark, sf):
     """Fifty named compositions of three numeric columns (the number is the operator's own limit)."""
     return V.stage1(spark, sf).select(*K, *[(F.round(e, 6) + 0.0).alias(n) for n, e in X.generated_features(_DFS).items()])
 
 
 @register("f13_top_variances", ids=("F13",), sql=lambda: _w(V.sql_stage1(), "SELECT feature, round(variance, 4) AS variance FROM (" + " UNION ALL ".join(
-          f"SELECT '{n}' AS feature, var_samp({_sql_of(n)}) AS variance FROM stage1" for n in X.generated_features(_DFS))
+          f"SELECT '{n}' AS feature, var_samp({_sql_of(n)}) AS variance FROM stage1" for n in _RECIPES)
           + ") WHERE variance IS NOT NULL ORDER BY variance DESC, feature LIMIT 20"))
 def f13_top_variances(spark, sf):
     """The twenty generated features of largest variance."""

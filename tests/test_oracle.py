@@ -18,7 +18,11 @@ FAST = [
     "r2_parse_diagnostics", "r7_nearest_rank", "r9_assign_rank", "r10_rank_distribution", "f2_response_deltas",
     "f7_bins", "f16_training_matrix", "a3_numeric_summary", "a4_robust_summary", "a9_spearman",
     "m1_split_group_shuffle", "m12_metric_passport", "j1_promote_decisions", "s12_log_window", "t3_top_k",
-    "x2_idempotent_import", "x3_latest_stage", "x4_tumbling_log_counts",
+    "x2_idempotent_import", "x3_latest_stage", "x4_tumbling_log_counts", "a1_quality_report", "s1_sheet_harmonisation", "w3_dense_rank",
+    "a9_spearman_damage", "f12_generated_features", "f13_top_variances", "w6_monotone_times", "a13_compare_distributions", "a16_source_counts",
+    "f17_preprocessor_fit", "f18_preprocessor_apply", "m23_rank_alignment", "m24_segmentation_runs", "m26_run_comparison", "m19_decision_payload",
+    "m29_requested_total", "m16_tree_reduction", "m17_value_reduction", "m18_confidence_join", "m5_regression_metrics", "p15_interactive_slice",
+    "p16_decision_search", "t5_seeded_sample", "m1_split_temporal_holdout", "a5_value_counts_by_rank", "a14_box_by_period", "r12_protected_relabel",
 ]
 SQL = E.oracle_sql()
 NAMES = sorted(SQL) if os.environ.get("EMBERLINE_ORACLE_ALL") else FAST
