@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.text import norm_free_text
 from .cleaning import source_priority
+from .resources import materialise
 
 
 def _int_text(c: Column) -> Column:
@@ -50,21 +51,25 @@ def _stable_id(prefix: str, fp: Column) -> Column:
 
 
 def identity_keys(df: DataFrame) -> DataFrame:
-    """Map-only part: fingerprints, ids, low-confidence flag, priority, completeness."""
-    parts = _key_parts(df)
-    present = sum((F.when(p != "", 1).otherwise(0) for p in parts), F.lit(0))
-    low = present < S.LOW_CONFIDENCE_MIN_PARTS
-    full_fp = F.concat_ws("|", *parts)
-    fallback_fp = F.concat_ws("|", *parts[1:])
-    fp = F.when(low, fallback_fp).otherwise(full_fp)
+    """Map-only part: fingerprints, ids, low-confidence flag, priority, completeness.
+
+    Key parts and fingerprints are emitted through a Generate each: merged into one
+    projection, every use of a fingerprint would evaluate all its key parts anew.
+    """
+    parts = [F.element_at("_parts", i + 1) for i in range(len(S.IDENTITY_KEY_PARTS))]
+    keyed = materialise(df.select("*", F.array(*_key_parts(df)).alias("_parts")), ["_parts"])
+    low = F.size(F.filter("_parts", lambda p: p != "")) < S.LOW_CONFIDENCE_MIN_PARTS
+    fallback = F.concat_ws("|", *parts[1:])
+    fingerprint = F.when(low, fallback).otherwise(F.concat_ws("|", *parts))
+    keyed = materialise(keyed.select("*", low.alias("event_id_low_confidence"), fallback.alias("_fallback"), fingerprint.alias("event_fingerprint")),
+                        ["event_id_low_confidence", "_fallback", "event_fingerprint"])
     completeness = sum((F.col(c).isNotNull().cast("int") for c in S.COMPLETENESS_COLUMNS if c in df.columns), F.lit(0))
     src = F.col("source_sheet") if "source_sheet" in df.columns else F.lit(None).cast("string")
-    return df.select(
-        "*",
-        fp.alias("event_fingerprint"),
-        _stable_id("evt_", fp).alias("event_id"),
-        _stable_id("dup_", fallback_fp).alias("duplicate_group_id"),
-        low.alias("event_id_low_confidence"),
+    return keyed.select(
+        *df.columns, "event_fingerprint",
+        _stable_id("evt_", F.col("event_fingerprint")).alias("event_id"),
+        _stable_id("dup_", F.col("_fallback")).alias("duplicate_group_id"),
+        "event_id_low_confidence",
         source_priority(src).alias("source_priority"),
         completeness.alias("_completeness"),
     )
