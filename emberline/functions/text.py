@@ -1,7 +1,6 @@
 """Column expressions for text fields: codes, normalisation, times of day.
 
-All of them are native Catalyst expressions (no Python UDF), so they stay inside
-whole-stage code generation.
+All of them are native Catalyst expressions, without Python UDFs.
 """
 
 from __future__ import annotations
