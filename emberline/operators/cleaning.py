@@ -1,10 +1,10 @@
 """Cleaning and quality flags (one lazy projection plus two scalar statistics).
 
-The whole of ``clean`` is a single wide ``select`` over the raw table, so Spark
-compiles it into one whole-stage-codegen span. The only data-dependent inputs
-are three severity quartiles and the 99.5th damage percentile; they come from
-:mod:`emberline.operators.quantiles` (distributed, exact) and enter the plan
-as literals.
+``clean`` is projections over the raw table, without a shuffle. The only
+data-dependent inputs are three severity quartiles and the 99.5th damage
+percentile; they come from :mod:`emberline.operators.quantiles` (distributed,
+exact) and enter the plan as literals. Queries that need neither the severity rank
+nor the damage flag start from ``clean_stage1``.
 """
 
 from __future__ import annotations

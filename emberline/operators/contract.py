@@ -1,7 +1,7 @@
 """Stage contract checks.
 
-All three are row-level Column expressions or one aggregate pass, so they stay
-inside whole-stage codegen and never shuffle more than a one-row aggregate.
+All three are row-level Column expressions or one aggregate pass, and never shuffle
+more than a one-row aggregate.
 """
 
 from __future__ import annotations
