@@ -212,7 +212,7 @@ def d4_duplicate_policy(spark, sf):
 
 
 def _d5_sql():
-    return _w(V.sql_cleaned() + [B.identity("cleaned", prefix="x_", where="sheet_ord = 0"),
+    return _w(V.sql_cleaned() + [B.identity("cleaned", prefix="x_", where="sheet_ord = 0 AND row_id % 10 <> 0"),
                                  B.identity("cleaned", prefix="n_", where="sheet_ord = 1")],
               "SELECT count_if(is_canonical_event_record) AS n_incoming_canonical,\n"
               "  count_if(is_canonical_event_record AND event_id NOT IN (SELECT event_id FROM x_ident WHERE event_id IS NOT NULL)\n"
@@ -222,9 +222,9 @@ def _d5_sql():
 
 @register("d5_import_dedup", sql=_d5_sql, ids=("D5", "J5"))
 def d5_import_dedup(spark, sf):
-    """Import of the period sheets against the merged sheet: canonical rows, then two anti-joins."""
+    """Import of the period sheets against a merged sheet that lacks half of their incidents: canonical rows, then two anti-joins."""
     cl = V.cleaned(spark, sf)
-    existing = I.event_identity(cl.where(F.col("sheet_ord") == 0), K)
+    existing = I.event_identity(cl.where((F.col("sheet_ord") == 0) & (F.col("row_id") % 10 != 0)), K)
     incoming = I.event_identity(cl.where(F.col("sheet_ord") == 1), K)
     added = I.skip_existing(incoming, existing)
     n_in = incoming.agg(F.count_if("is_canonical_event_record").alias("n_incoming_canonical"))

@@ -29,24 +29,29 @@ EVENT_KNOWN = T.StructType([T.StructField("event_id", T.LongType()), T.StructFie
                             T.StructField("value", T.DoubleType())])
 
 
+def _export_with_bad_rows(spark, sf, path: str) -> str:
+    """Events as CSV; the value of every tenth event is not a number."""
+    ev = read_table(spark, sf, "events")
+    value = F.when(F.col("event_id") % 10 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    return IO.write_table(ev.withColumn("value", value), path, "csv")
+
+
 @register("s5_csv_load", ids=("S5",), sql="SELECT event_id, ts, user_id, event_type, value, "
-                                           "CAST(NULL AS VARCHAR) AS channel FROM events")
+                                           "CAST(NULL AS VARCHAR) AS channel FROM events WHERE event_id % 10 <> 0")
 def s5_csv_load(spark, sf):
-    """CSV export of events loaded against known columns (props not known -> dropped; channel absent -> null)."""
-    path = os.path.join(scratch(spark, "s5"), "events_csv")
-    IO.write_table(read_table(spark, sf, "events"), path, "csv")
+    """CSV export of events loaded against known columns (props not known -> dropped; channel absent -> null; bad rows out)."""
+    path = _export_with_bad_rows(spark, sf, os.path.join(scratch(spark, "s5"), "events_csv"))
     known = T.StructType([*EVENT_KNOWN.fields, T.StructField("channel", T.StringType())])
     rows, _ = IO.load_csv(spark, path, known)
     return rows
 
 
-@register("s5_csv_load_stats", ids=("S5",), sql="SELECT count(*) AS rows_read, 0 AS rows_skipped, "
-                                                 "count(*) AS rows_loaded, count(event_id) AS rows_with_key "
+@register("s5_csv_load_stats", ids=("S5",), sql="SELECT count(*) AS rows_read, count_if(event_id % 10 = 0) AS rows_skipped, "
+                                                 "count_if(event_id % 10 <> 0) AS rows_loaded, count_if(event_id % 10 <> 0) AS rows_with_key "
                                                  "FROM events")
 def s5_csv_load_stats(spark, sf):
     """Rows read / skipped (unparseable under the known types) / loaded."""
-    path = os.path.join(scratch(spark, "s5s"), "events_csv")
-    IO.write_table(read_table(spark, sf, "events"), path, "csv")
+    path = _export_with_bad_rows(spark, sf, os.path.join(scratch(spark, "s5s"), "events_csv"))
     return IO.load_csv(spark, path, EVENT_KNOWN)[1]
 
 

@@ -204,14 +204,14 @@ def _feat_hash_sql(cols):
 
 
 @register("d7_feature_overlap_rate", sql=lambda: _w(V.sql_stage1() + [
-          f"real AS (SELECT DISTINCT {_feat_hash_sql(_HASH_COLS)} AS h FROM stage1 WHERE sheet_ord = 0)",
+          f"real AS (SELECT DISTINCT {_feat_hash_sql(_HASH_COLS)} AS h FROM stage1 WHERE sheet_ord = 0 AND row_id % 10 <> 0)",
           f"syn AS (SELECT {_feat_hash_sql(_HASH_COLS)} AS h FROM stage1 WHERE sheet_ord = 1)"],
           "SELECT count(*) AS n_candidate, count_if(h IN (SELECT h FROM real)) AS n_overlap, "
           "round(count_if(h IN (SELECT h FROM real)) / count(*), 6) AS overlap_rate FROM syn"), ids=("D7", "J5"))
 def d7_feature_overlap_rate(spark, sf):
-    """Share of period-sheet rows whose feature hash (numerics rounded to 6) exists in the merged sheet (semi-join)."""
+    """Share of period-sheet rows whose feature hash (numerics rounded to 6) exists in nine tenths of the merged sheet (semi-join)."""
     st = V.stage1(spark, sf)
-    real = st.where(F.col("sheet_ord") == 0).select(_feat_hash_sql_spark().alias("h")).distinct()
+    real = st.where((F.col("sheet_ord") == 0) & (F.col("row_id") % 10 != 0)).select(_feat_hash_sql_spark().alias("h")).distinct()
     syn = st.where(F.col("sheet_ord") == 1).select(_feat_hash_sql_spark().alias("h"))
     hit = syn.join(real, "h", "left_semi")
     n = syn.agg(F.count(F.lit(1)).alias("n_candidate"))

@@ -22,7 +22,7 @@ FAST = [
     "a9_spearman_damage", "f12_generated_features", "f13_top_variances", "w6_monotone_times", "a13_compare_distributions", "a16_source_counts",
     "f17_preprocessor_fit", "f18_preprocessor_apply", "m23_rank_alignment", "m24_segmentation_runs", "m26_run_comparison", "m19_decision_payload",
     "m29_requested_total", "m16_tree_reduction", "m17_value_reduction", "m18_confidence_join", "m5_regression_metrics", "p15_interactive_slice",
-    "p16_decision_search", "t5_seeded_sample", "m1_split_temporal_holdout", "a5_value_counts_by_rank", "a14_box_by_period", "r12_protected_relabel",
+    "p16_decision_search", "t5_seeded_sample", "s5_csv_load_stats", "d5_import_dedup", "d7_feature_overlap_rate", "m1_split_temporal_holdout", "a5_value_counts_by_rank", "a14_box_by_period", "r12_protected_relabel",
 ]
 SQL = E.oracle_sql()
 NAMES = sorted(SQL) if os.environ.get("EMBERLINE_ORACLE_ALL") else FAST
