@@ -12,9 +12,10 @@ A tenth of the learnable texts is kept out of the counts and calibrates: a logis
 curve turns the margin between the two best languages into the score, and texts with
 a score under ``REJECT`` or a cross-entropy far above their language's are marked rejected.
 
-Bound of what tasks receive: per language the ``MODEL_CELLS / languages^2`` most
-frequent 4-grams, so rows times languages stay below ``MODEL_CELLS``. The counts
-themselves cover all learnable rows.
+Bound of what tasks receive: while counted 4-grams times languages stay within
+``MODEL_CELLS``, the models are built on the driver and sent whole. Beyond it nothing
+is left out: the same models are computed in Spark (``Blocks``) as one table of
+sparse entries, and texts are scanned once for every ``BLOCK_ENTRIES`` of them.
 """
 
 from __future__ import annotations
@@ -26,15 +27,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import is_learnable, read_table, small_batches, written
+from .common import fresh, is_learnable, read_table, small_batches, written
 
 FOLDS, HELD_OUT = 3, 1
 ORDER = 4
-MODEL_CELLS = 1 << 24
+MODEL_CELLS, BLOCK_ENTRIES = 1 << 24, 1 << 22
 CALIBRATION = 10
 REJECT, FAR = 0.5, 6.0
 UNKNOWN = "und"
@@ -186,13 +187,20 @@ class Models:
 
     def decide(self, text: str | None) -> tuple[int, float, float, float]:
         """Number of the language (-1: no letter), its bits per unit, the margin to the next, and the score."""
-        bits = self.entropies(text)
-        if bits is None:
-            return -1, 0.0, 0.0, 0.0
-        best = int(bits.argmin())
-        rest = np.delete(bits, best)
-        margin = float(np.log1p(((rest.min() if len(rest) else bits[best] + 1.0) - bits[best]) * len(text) ** 0.5))
-        return best, float(bits[best]), margin, float(1 / (1 + np.exp(-(self.slope * margin + self.intercept))))
+        return _decision(self.entropies(text), len(text or ""), self.slope, self.intercept)
+
+    def decided(self, rows: DataFrame, text: str, out: str) -> DataFrame:
+        """``rows`` with the decision on column ``text`` as column ``out``."""
+        return rows.withColumn(out, _decide_column(rows.sparkSession, self, F.col(text)))
+
+
+def _decision(bits: np.ndarray | None, length: int, slope: float, intercept: float) -> tuple[int, float, float, float]:
+    if bits is None:
+        return -1, 0.0, 0.0, 0.0
+    best = int(bits.argmin())
+    rest = np.delete(bits, best)
+    margin = float(np.log1p(((rest.min() if len(rest) else bits[best] + 1.0) - bits[best]) * length ** 0.5))
+    return best, float(bits[best]), margin, float(1 / (1 + np.exp(-(slope * margin + intercept))))
 
 
 DECISION = StructType([StructField("lang", IntegerType()), StructField("bits", DoubleType()), StructField("margin", DoubleType()),
@@ -211,35 +219,158 @@ def _decide_column(spark, models: Models, text):
     return decide(text)
 
 
-def train(rows: DataFrame) -> Models:
-    """Models and calibration from ``rows(lang, text)``; rows without language or text teach nothing."""
-    spark = rows.sparkSession
-    fold = F.pmod(F.xxhash64("text"), F.lit(CALIBRATION)) == 0
-    known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counted = written(known.where(~fold).select("lang", "text").mapInArrow(_count_grams, "lang string, key long, n long")
-                      .groupBy("lang", "key").agg(F.sum("n").alias("n")), "grams")
-    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
-    most = MODEL_CELLS // max(1, len(langs)) ** 2
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
-    sizes = counted.groupBy("lang").count()
-    if sizes.where(F.col("count") > most).limit(1).count():
-        counted = counted.withColumn("place", place).where(F.col("place") <= most)
+class Blocks:
+    """The models of ``Models``, computed in Spark from ``counts(lang, key, n)`` and kept there.
+
+    log2 p(unit | context) is a sum over the orders: the context's back-off weight, where
+    the language holds the context, and what the n-gram adds to it, where the language holds
+    the n-gram. So every weight and every addition is an entry by itself, absent ones are 0,
+    and a text's bits are sums over any split of the entries into blocks (here by hash).
+    Kind 2n is an addition of order n, kind 2n - 1 a back-off weight of order n; the weight of
+    order 1, whose context is empty, is part of ``base``.
+    """
+
+    def __init__(self, langs: list[str], counts: DataFrame):
+        self.langs, self.slope, self.intercept = langs, 1.0, 0.0
+        self.usual = np.full((len(langs), 2), [0.0, np.inf])
+        self.base, floor = np.zeros(len(langs)), -16.0
+        orders = {ORDER: counts.select("lang", "key", "n")}
+        for n in range(ORDER - 1, 0, -1):
+            shorter = orders[n + 1].select("lang", F.col("key").bitwiseAND(F.lit((1 << 16 * n) - 1)).alias("key"))
+            orders[n] = written(shorter.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n")), "continuations")
+        parts, lower = [], None
+        for n in range(1, ORDER + 1):
+            ones, twos = (F.sum((F.col("n") == k).cast("double")) for k in (1, 2))
+            discount = orders[n].groupBy("lang").agg(F.when(ones > 0, ones / (ones + 2 * twos)).otherwise(0.5).alias("discount"))
+            grams = orders[n].withColumn("context", F.shiftrightunsigned("key", 16) if n > 1 else F.lit(0).cast("long"))
+            contexts = grams.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).join(F.broadcast(discount), "lang")
+            contexts = written(contexts.select("lang", "context", "total", "discount", (F.col("discount") * F.col("kinds") / F.col("total")).alias("back")), "contexts")
+            grams = grams.join(F.broadcast(contexts) if n == 1 else contexts, ["lang", "context"])
+            if n > 1:
+                before = lower.select("lang", F.col("key").alias("suffix"), F.col("p").alias("q"))
+                grams = grams.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << 16 * (n - 1)) - 1))).join(before, ["lang", "suffix"])
+            else:
+                grams = grams.withColumn("q", F.lit(2.0 ** floor))
+            p = F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total") + F.col("back") * F.col("q")
+            lower = written(grams.select("lang", "key", "q", "back", p.alias("p")), "probabilities")
+            parts.append(lower.select(F.lit(2 * n).alias("kind"), "key", "lang", F.log2(F.col("p") / F.col("q") / F.col("back")).alias("value")))
+            if n > 1:
+                parts.append(contexts.select(F.lit(2 * n - 1).alias("kind"), F.col("context").alias("key"), "lang", F.log2("back").alias("value")))
+            else:
+                for r in contexts.collect():
+                    self.base[langs.index(r["lang"])] = floor + np.log2(r["back"])
+        entries = parts[0]
+        for part in parts[1:]:
+            entries = entries.unionByName(part)
+        entries = entries.where(F.col("value") != 0).withColumn("hash", F.xxhash64("kind", "key"))
+        self.entries = written(entries.repartitionByRange("hash").sortWithinPartitions("hash"), "entries")
+        self.blocks = max(1, -(-self.entries.count() // BLOCK_ENTRIES))
+
+    def _block(self, k: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the ``k``-th range of hashes, per kind: sorted keys, first entry of each, and languages and values of the entries."""
+        low, high = (-(1 << 63) + (1 << 64) * i // self.blocks for i in (k, k + 1))
+        t = self.entries.where(F.col("hash").between(low, high - 1)).select("kind", "key", "lang", "value").toArrow()
+        kinds, keys, values = t.column("kind").to_numpy(), t.column("key").to_numpy().view(np.uint64), t.column("value").to_numpy().astype(np.float32)
+        names = t.column("lang").combine_chunks().dictionary_encode()
+        number = {x: i for i, x in enumerate(self.langs)}
+        langs = np.array([number[x] for x in names.dictionary.to_pylist()], np.int32)[names.indices.to_numpy()] if len(t) else np.empty(0, np.int32)
+        out = {}
+        for kind in np.unique(kinds):
+            own = np.flatnonzero(kinds == kind)
+            own = own[np.argsort(keys[own], kind="stable")]
+            found, first = np.unique(keys[own], return_index=True)
+            out[int(kind)] = found, np.r_[first, len(own)], langs[own], values[own]
+        return out
+
+    def decided(self, rows: DataFrame, text: str, out: str) -> DataFrame:
+        """``rows`` with the decision on column ``text`` as column ``out``; every block is one scan of the texts.
+
+        The sums of a block go by the SHA-256 of the text, as rows have no id of their own, and are added up per text.
+        """
+        spark, total, langs = rows.sparkSession, None, len(self.langs)
+        code = F.sha2(F.col(text), 256)
+        for k in range(self.blocks):
+            sent = spark.sparkContext.broadcast(self._block(k))
+            add = F.pandas_udf(_adder(sent, langs), ArrayType(DoubleType()))
+            part = rows.where(F.col(text).isNotNull()).select(code.alias("code"), F.length(text).alias("length"), add(F.col(text)).alias("sums"))
+            part = written(part.where(F.col("sums").isNotNull()).dropDuplicates(["code"]), "block_sums")
+            sent.destroy()
+            total = part if total is None else total.unionByName(part)
+        each = [F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(langs + 1)]
+        sums = total.groupBy("code").agg(F.first("length").alias("length"), *each).select("code", "length", F.array(*[f"s{i}" for i in range(langs + 1)]).alias("sums"))
+        base, blocks, slope, intercept = self.base, self.blocks, self.slope, self.intercept
+
+        @F.pandas_udf(DECISION)
+        def decide(lengths: pd.Series, sums: pd.Series) -> pd.DataFrame:
+            # The last sum holds the number of units, once for every block.
+            found = [_decision(-(base + np.asarray(s)[:-1] / (s[-1] / blocks)), n, slope, intercept) for n, s in zip(lengths, sums, strict=True)]
+            return pd.DataFrame(found, columns=DECISION.names)
+
+        key, other = fresh("code", rows.columns), fresh("code_", rows.columns)
+        decided = written(sums.select(F.col("code").alias(other), decide("length", "sums").alias(out)), "decisions")
+        none = F.struct(F.lit(-1).alias("lang"), *[F.lit(0.0).alias(x) for x in DECISION.names[1:]])
+        return (rows.withColumn(key, code).join(decided, F.col(key) == F.col(other), "left")
+                .select(*rows.columns, F.coalesce(out, none).alias(out)))
+
+
+def _adder(sent, langs: int):
+    """Function from texts to what the sent block adds to log2 of their probability, per language, and their number of units."""
+
+    def sums(u: np.ndarray) -> np.ndarray:
+        out, keys = np.zeros(langs + 1), grams(u)
+        for at in range(0, len(keys), 1 << 18):
+            part, n = np.unique(keys[at:at + (1 << 18)], return_counts=True)
+            for kind, (found, first, lang, value) in sent.value.items():
+                order = (kind + 1) // 2
+                k = part & np.uint64((1 << 16 * order) - 1)
+                k = k >> np.uint64(16) if kind % 2 else k
+                place = np.minimum(np.searchsorted(found, k), len(found) - 1)
+                hit = found[place] == k
+                place, times = place[hit], n[hit]
+                many = first[place + 1] - first[place]
+                entry = np.repeat(first[place] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                out[:langs] += np.bincount(lang[entry], value[entry] * np.repeat(times, many).astype(np.float64), langs)
+        out[langs] = len(keys)
+        return out
+
+    def add(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([sums(u) if len(u := units(t)) else None for t in batch], dtype=object)
+
+    return add
+
+
+def _models(counts: DataFrame) -> Models | Blocks:
+    """Models of ``counts(lang, key, n)``: on the driver if they are within ``MODEL_CELLS``, else in Spark."""
+    sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
+    if sum(sizes.values()) * len(langs) > MODEL_CELLS:
+        return Blocks(langs, counts)
     tables = []
     for lang in langs:
-        part = counted.where(F.col("lang") == lang).select("key", "n").toArrow()
+        part = counts.where(F.col("lang") == lang).select("key", "n").toArrow()
         key, n = part.column("key").to_numpy().view(np.uint64), part.column("n").to_numpy()
         by = np.argsort(key)
         tables.append((key[by], n[by]))
-    models = Models(langs, tables)
-    if langs:
+    return Models(langs, tables)
+
+
+def train(rows: DataFrame) -> Models | Blocks:
+    """Models and calibration from ``rows(lang, text)``; rows without language or text teach nothing."""
+    fold = F.pmod(F.xxhash64("text"), F.lit(CALIBRATION)) == 0
+    known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counted = written(known.where(~fold).select("lang", "text").mapInArrow(_count_grams, "lang string, key long, n long")
+                      .groupBy("lang", "key").agg(F.sum("n").alias("n")), "grams")
+    models = _models(counted)
+    if models.langs:
         _calibrate(models, known.where(fold))
     return models
 
 
-def _calibrate(models: Models, rows: DataFrame) -> None:
+def _calibrate(models: Models | Blocks, rows: DataFrame) -> None:
     """Fit the score on margins of texts that the counts have not seen; note the usual bits per unit of each language."""
     names = F.array(*[F.lit(x) for x in models.langs])
-    d = written(rows.select("lang", _decide_column(rows.sparkSession, models, F.col("text")).alias("d"))
+    d = written(models.decided(rows.select("lang", "text"), "text", "d")
                 .where("d.lang >= 0").select("d.*", (F.get(names, F.col("d.lang")) == F.col("lang")).alias("right")), "margins")
     bins = d.groupBy(F.round("margin", 1).alias("margin"), "right").agg(F.count(F.lit(1)).alias("n")).collect()
     # One right and one wrong text without margin keep the curve finite.
@@ -262,14 +393,13 @@ def identify(docs: DataFrame) -> DataFrame:
     be learned; such rows are rejected. Ties go to the first language by name. A null
     id is not held out and never learned from; repeated rows are judged each; other columns are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     learn = F.col("doc_id").isNotNull() & is_learnable(F.col("doc_id"), FOLDS, HELD_OUT)
     models = train(docs.where(learn).select("lang", "text"))
     held = F.coalesce(~is_learnable(F.col("doc_id"), FOLDS, HELD_OUT), F.lit(False))
     names = F.array(*[F.lit(x) for x in (models.langs or [UNKNOWN])])
     limits = F.array(*[F.lit(float(m + FAR * s)) for m, s in models.usual] or [F.lit(0.0)])
-    d = docs.select("doc_id", held.alias("held_out"), _decide_column(spark, models, F.col("text")).alias("d"))
+    d = models.decided(docs.select("doc_id", held.alias("held_out"), "text"), "text", "d")
     known = F.col("d.lang") >= 0
     return d.select("doc_id", "held_out", F.when(known, F.get(names, F.col("d.lang"))).otherwise(UNKNOWN).alias("lang_pred"),
                     F.when(known, F.col("d.score")).otherwise(0.0).alias("score"), F.col("d.bits").alias("bits"),

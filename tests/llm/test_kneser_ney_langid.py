@@ -42,3 +42,18 @@ def test_learns_and_edge_rows(spark):
     assert L.identify(d).count() == d.count() and L.identify(empty(spark)).count() == 0
     unlearned = L.identify(d.withColumn("lang", d.lang.substr(0, 0).cast("string")).selectExpr("doc_id", "text", "cast(null as string) lang"))
     assert {r["lang_pred"] for r in unlearned.collect()} == {"und"}
+
+
+def test_blocks_beyond_the_bound_drop_nothing(spark, monkeypatch):
+    """Models too large to send whole give the same decisions, from every 4-gram, in several scans."""
+    extra = [(100 + 60 * k + i, " ".join(texts[j % 3] for j in range(i % 5 + 1)) + f" {texts[i % 3][:i]}", lang, "z", 1, 1.0, "", 1)
+             for k, (lang, texts) in enumerate((("en", EN), ("de", DE), ("fr", FR))) for i in range(60)]
+    d = docs(spark, extra)
+    rows = lambda: sorted((tuple(r) for r in L.identify(d).collect()), key=repr)
+    whole = rows()
+    monkeypatch.setattr(L, "MODEL_CELLS", 300)
+    monkeypatch.setattr(L, "BLOCK_ENTRIES", 700, raising=False)
+    cut = rows()
+    assert len(cut) == len(whole) and [(r[0], r[1], r[2], r[5]) for r in cut] == [(r[0], r[1], r[2], r[5]) for r in whole]
+    assert all(np.allclose(a[3:5], b[3:5], atol=1e-4) for a, b in zip(cut, whole, strict=True))
+    assert L.train(d.select("lang", "text")).blocks > 2 and L.identify(empty(spark)).count() == 0
