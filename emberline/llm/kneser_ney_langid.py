@@ -8,9 +8,10 @@ array of hashed keys with a row of log probabilities, one per language, already
 interpolated; contexts have rows of back-off weights. A text goes to the language
 with the lowest cross-entropy per unit.
 
-A tenth of the learnable texts is kept out of the counts and calibrates: a logistic
+Calibration: models of nine tenths of the learnable texts judge the other tenth. A logistic
 curve turns the margin between the two best languages into the score, and texts with
 a score under ``REJECT`` or a cross-entropy far above their language's are marked rejected.
+The models that judge the documents are then built again from all learnable texts.
 
 Bound of what tasks receive: while counted 4-grams times languages stay within
 ``MODEL_CELLS``, the models are built on the driver and sent whole. Beyond it nothing
@@ -89,21 +90,21 @@ def hashed(keys: np.ndarray) -> np.ndarray:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, key, n): n-gram counts of a task, folded whenever 4 million keys have gathered."""
-    held: dict[str, list[np.ndarray]] = {}
+    """(lang, fold, key, n): n-gram counts of a task, folded whenever 4 million keys have gathered."""
+    held: dict[tuple[str, bool], list[np.ndarray]] = {}
     size = 0
 
     def flush():
-        for lang, parts in held.items():
+        for (lang, fold), parts in held.items():
             key, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))],
-                                             ["lang", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array([fold] * len(key), pa.bool_()),
+                                              pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "fold", "key", "n"])
 
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for lang, text, fold in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             keys = grams(units(text))
             if len(keys):
-                held.setdefault(lang, []).append(keys)
+                held.setdefault((lang, fold), []).append(keys)
                 size += len(keys)
             if size > 4_000_000:
                 yield from flush()
@@ -359,18 +360,25 @@ def train(rows: DataFrame) -> Models | Blocks:
     """Models and calibration from ``rows(lang, text)``; rows without language or text teach nothing."""
     fold = F.pmod(F.xxhash64("text"), F.lit(CALIBRATION)) == 0
     known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counted = written(known.where(~fold).select("lang", "text").mapInArrow(_count_grams, "lang string, key long, n long")
-                      .groupBy("lang", "key").agg(F.sum("n").alias("n")), "grams")
-    models = _models(counted)
-    if models.langs:
-        _calibrate(models, known.where(fold))
+    counted = written(known.select("lang", "text", fold.alias("fold")).mapInArrow(_count_grams, "lang string, fold boolean, key long, n long")
+                      .groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum(F.when(~F.col("fold"), F.col("n"))).alias("seen")), "grams")
+    partial = _models(counted.where(F.col("seen").isNotNull()).select("lang", "key", F.col("seen").alias("n")))
+    if partial.langs:
+        _calibrate(partial, known.where(fold))
+    models = _models(counted.select("lang", "key", "n"))
+    models.slope, models.intercept = partial.slope, partial.intercept
+    for lang, usual in zip(partial.langs, partial.usual, strict=True):
+        models.usual[models.langs.index(lang)] = usual
     return models
 
 
 def _calibrate(models: Models | Blocks, rows: DataFrame) -> None:
-    """Fit the score on margins of texts that the counts have not seen; note the usual bits per unit of each language."""
+    """Fit the score on margins of texts that the counts have not seen; note the usual bits per unit of each language.
+
+    Texts of languages without a model are left out, as no model can judge them right.
+    """
     names = F.array(*[F.lit(x) for x in models.langs])
-    d = written(models.decided(rows.select("lang", "text"), "text", "d")
+    d = written(models.decided(rows.where(F.array_contains(names, F.col("lang"))).select("lang", "text"), "text", "d")
                 .where("d.lang >= 0").select("d.*", (F.get(names, F.col("d.lang")) == F.col("lang")).alias("right")), "margins")
     bins = d.groupBy(F.round("margin", 1).alias("margin"), "right").agg(F.count(F.lit(1)).alias("n")).collect()
     # One right and one wrong text without margin keep the curve finite.

@@ -57,3 +57,13 @@ def test_blocks_beyond_the_bound_drop_nothing(spark, monkeypatch):
     assert len(cut) == len(whole) and [(r[0], r[1], r[2], r[5]) for r in cut] == [(r[0], r[1], r[2], r[5]) for r in whole]
     assert all(np.allclose(a[3:5], b[3:5], atol=1e-4) for a, b in zip(cut, whole, strict=True))
     assert L.train(d.select("lang", "text")).blocks > 2 and L.identify(empty(spark)).count() == 0
+
+
+def test_languages_of_the_calibration_fold_alone_are_learned(spark):
+    """One distinct French text, in the fold that calibrates: its counts are in the models, and its n-grams with them."""
+    some = [f"{FR[0]} {i * 'encore '}" for i in range(60)]
+    held = [r["text"] for r in spark.createDataFrame([(t,) for t in some], "text string").where(f"pmod(xxhash64(text), {L.CALIBRATION}) = 0").collect()]
+    rows = [(lang, f"{t} {t[:i]}") for lang, texts in (("en", EN), ("de", DE)) for t in texts for i in range(20)] + [("fr", held[0])] * 5
+    models = L.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert models.langs == ["de", "en", "fr"] and models.decide(held[0])[0] == 2 and models.slope > 0
+    assert models.usual[2][1] == np.inf and models.usual[0][1] < np.inf
