@@ -6,10 +6,12 @@ word with gaps or inserted characters stays near the plain one. Punctuation insi
 word is passed over, digits only widen its gaps, and letters spelled one by one are
 read as one word. The fit adds copies of chosen words with one character inserted.
 
-Fit (on the driver, over a bounded sample of labelled rows). A labelled text gives
-sentences; a sentence stands for its highest-scoring word. All sentences of clean
-texts are negative; of a toxic text only those of the best words are positive, so
-words are chosen and the machine refitted in turn (multiple-instance learning).
+Fit. Words of clean texts are negative; of a toxic text only the best two words are
+positive, so words are chosen and the machine refitted in turn (multiple-instance
+learning). Spark counts the texts of each class that hold a word, and makes each
+choice, over all learnable labelled rows (``Evidence``). What is fitted on the driver
+are the words chosen in the texts of a bounded sample, the words of its clean texts,
+and every other word chosen in three texts or more whose counts are not chance.
 Words are mapped by the kernel with ``landmarks`` and the inverse root of the
 landmarks' kernel matrix (Nyström); a linear machine with squared hinge loss is
 solved by Newton steps. A text is as toxic as its most toxic sentence; a logistic
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -41,6 +44,8 @@ DECAY, SPAN, LANDMARKS, ROUNDS = 0.65, 6, 256, 4
 INSERTED = 0.2
 #: A toxic text whose best word scores below this counts as mislabelled.
 DOUBTFUL = -0.3
+#: A positive word below this kernel value with every landmark becomes one itself.
+UNLIKE = 0.5
 
 # Classes of characters: 0 white space, 1-26 a-z, 27-61 other letters, 62 digits, 63 the start of a word, 64 passed over.
 MARK, START, NOTHING = 62, 63, 64
@@ -156,7 +161,8 @@ def blocks(text: str, size: int = 1 << 20) -> Iterator[str]:
 def _words(text: str) -> list[bytes]:
     """Words as bytes of classes, START first, without marks."""
     c, starts, _ = word_stream(text)
-    return [p[p != MARK].tobytes() for p in np.split(c, starts[1:])] if len(starts) else []
+    head = bytes([START])
+    return [head + p for p in c[c != MARK].tobytes().split(head)[1:]] if len(starts) else []
 
 
 def _triples(word: bytes) -> dict[int, float]:
@@ -227,11 +233,13 @@ def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0
 def _fit_words(positive: Counter, negative: list[bytes], in_clean: Counter, rng: np.random.Generator) -> tuple[np.ndarray, float]:
     """Table and bias of the machine that tells ``positive`` words from ``negative`` ones (hardest first).
 
-    Landmarks: the most frequent positive words, the hardest negative ones, and negative ones at random.
+    Landmarks: the most frequent positive words, the hardest negative ones, negative ones at
+    random, and beyond ``LANDMARKS`` the positive ones that are like none of these.
     """
     marked = [w for w, _ in positive.most_common(LANDMARKS // 2)] + negative[:LANDMARKS // 4]
     marked += [negative[i] for i in rng.permutation(len(negative))[:max(0, LANDMARKS - len(marked))]]
     marked = list(dict.fromkeys(marked))
+    marked += _unlike([w for w, _ in positive.most_common()], marked)
     entries = _landmark_tables(marked)
     gram = _kernel(marked, entries, len(marked)).astype(np.float64)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
@@ -249,6 +257,26 @@ def _fit_words(positive: Counter, negative: list[bytes], in_clean: Counter, rng:
     return table, bias
 
 
+def _unlike(words: list[bytes], marked: list[bytes]) -> list[bytes]:
+    """Of ``words``, in turn, those whose kernel values with all landmarks and with the ones taken before are below ``UNLIKE``."""
+    def far(some: list[bytes], others: list[bytes]) -> np.ndarray:
+        return _kernel(some, _landmark_tables(others), len(others)).max(axis=1) < UNLIKE
+
+    out: list[bytes] = []
+    left = [w for w, x in zip(words, far(words, marked), strict=True) if x]
+    while left:
+        part, left = left[:LANDMARKS], left[LANDMARKS:]
+        gram = _kernel(part, _landmark_tables(part), len(part))
+        taken: list[int] = []
+        for i in range(len(part)):
+            if not taken or gram[i, taken].max() < UNLIKE:
+                taken.append(i)
+        new = [part[i] for i in taken]
+        out += new
+        left = [w for w, x in zip(left, far(left, new), strict=True) if x] if left else []
+    return out
+
+
 def _with_insertions(words: Counter, rng: np.random.Generator) -> dict[bytes, float]:
     """Copies of the words of five letters or more with a random letter inserted at each inner place, and their small weights."""
     out: dict[bytes, float] = {}
@@ -261,8 +289,11 @@ def _with_insertions(words: Counter, rng: np.random.Generator) -> dict[bytes, fl
     return out
 
 
-def fit(toxic: list[str], clean: list[str], seed: int = 8) -> Machine:
-    """Machine from labelled texts. Without texts of both classes the score is a constant (0.9 for toxic ones only, else 0.1)."""
+def fit(toxic: list[str], clean: list[str], seed: int = 8, evidence: Evidence | None = None) -> Machine:
+    """Machine from labelled texts. Without texts of both classes the score is a constant (0.9 for toxic ones only, else 0.1).
+
+    With ``evidence`` of a larger table, the texts are a sample of it, and words are judged and chosen over the whole of it.
+    """
     rng = np.random.default_rng(seed)
     toxic, clean = sorted(set(toxic)), sorted(set(clean))
     bags, other = [Counter(_words(t)) for t in toxic], [set(_words(t)) for t in clean]
@@ -272,7 +303,7 @@ def fit(toxic: list[str], clean: list[str], seed: int = 8) -> Machine:
         return Machine(np.zeros(CLASSES ** 3), 0.0, (0.0, 2.2 if bags else -2.2))
     in_toxic = Counter(w for b in bags for w in b)
     # Words that toxic texts hold at least ten times as often as clean ones. Labels err at times, so none need be absent from clean texts.
-    open_to = {w for w, n in in_toxic.items() if in_clean[w] * 10 * len(bags) <= n * len(other)}
+    open_to = evidence.open_of(in_clean) if evidence else {w for w, n in in_toxic.items() if in_clean[w] * 10 * len(bags) <= n * len(other)}
     types = sorted(w for w in in_clean if w not in open_to)
 
     def chosen(value, first: float, second: float) -> Counter:
@@ -288,18 +319,24 @@ def fit(toxic: list[str], clean: list[str], seed: int = 8) -> Machine:
     for b in bags:
         prefix.update({w[:5] for w in b})
     clean_prefix = {w[:5] for w in types}
-    positive = chosen(lambda w: max(in_toxic[w], 0 if w[:5] in clean_prefix else prefix[w[:5]]), min(3, 1 + len(bags) // 20), 3)
+    if evidence:
+        positive = evidence.chosen(None, 0.0, min(3, 1 + evidence.toxic // 20), 3)
+    else:
+        positive = chosen(lambda w: max(in_toxic[w], 0 if w[:5] in clean_prefix else prefix[w[:5]]), min(3, 1 + len(bags) // 20), 3)
     negative = [types[i] for i in rng.permutation(len(types))[:6000]]
     table, bias = np.zeros(CLASSES ** 3), 0.0
-    pool, value = sorted(in_toxic), {}
+    pool = sorted(in_toxic)
     for turn in range(ROUNDS):
         if not positive or not negative:
             break
         table, bias = _fit_words(positive, negative, in_clean, rng)
-        value = dict(zip(pool, _score_words(table, pool) + bias, strict=True))
         hard = np.argsort(-_score_words(table, types), kind="stable")[:3000]
         negative = list(dict.fromkeys([*(types[i] for i in hard), *(types[i] for i in rng.permutation(len(types))[:4000])]))
-        positive = chosen(value.__getitem__, DOUBTFUL, 0.0)
+        if evidence:
+            positive = evidence.chosen(table, bias, DOUBTFUL, 0.0)
+        else:
+            value = dict(zip(pool, _score_words(table, pool) + bias, strict=True))
+            positive = chosen(value.__getitem__, DOUBTFUL, 0.0)
     machine = Machine(table, bias, (1.0, 0.0))
     best = np.array([machine.best(t) for t in (*toxic, *clean)])
     y = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
@@ -330,20 +367,130 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
     return max(0.0, float(v[0])), float(v[1])
 
 
+WORD, BEGINNING, OF_TEXT = 0, 1, 2
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, kind, code, toxic, clean) from (code, label, copies, text): texts of each class that hold a word, and that
+    hold a word with a beginning of four letters, folded whenever 200,000 have gathered; and the words of every toxic text.
+
+    A row that is there ``copies`` times counts as that part of a text.
+    """
+    counts = {(kind, label): Counter() for kind in (WORD, BEGINNING) for label in (0, 1)}
+    names = ["word", "kind", "code", "toxic", "clean"]
+
+    def flush():
+        for (kind, label), own in counts.items():
+            n, none = len(own), pa.array(np.zeros(len(own)))
+            some = pa.array(list(own.values()), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([kind] * n, pa.int32()), pa.nulls(n, pa.int64()),
+                                              some if label else none, none if label else some], names)
+            own.clear()
+
+    for batch in batches:
+        for code, label, copies, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            words = {w for block in blocks(text) for w in _words(block)}
+            for kind, some in ((WORD, words), (BEGINNING, {w[:5] for w in words})):
+                counts[kind, int(label)].update(some if copies == 1 else dict.fromkeys(some, 1 / copies))
+            if label and words:
+                n = len(words)
+                yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array([OF_TEXT] * n, pa.int32()), pa.array([code] * n, pa.int64()),
+                                                  pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())], names)
+            if sum(map(len, counts.values())) > 200_000:
+                yield from flush()
+    yield from flush()
+
+
+class Evidence:
+    """Counts of words over all labelled texts ``rows(code, label, copies, text)``, and choices of words over all toxic ones.
+
+    ``words`` holds the words that toxic texts hold at least ten times as often as clean ones, with the
+    value of the first choice and whether their counts are sure: chance would bring less than one such word
+    among all words (Chernoff bound of the binomial tail). ``bags`` holds these words of every toxic text.
+    """
+
+    def __init__(self, rows: DataFrame, toxic: int, clean: int, last: int | None):
+        """``toxic`` and ``clean``: numbers of texts; ``last``: highest code of the sampled toxic texts."""
+        self.toxic = toxic
+        found = written(rows.select("code", "label", "copies", "text")
+                        .mapInArrow(_count_words, "word binary, kind int, code long, toxic double, clean double"), "word_rows")
+        counts = written(found.where(F.col("kind") != OF_TEXT).groupBy("word", "kind").agg(F.round(F.sum("toxic")).alias("toxic"), F.round(F.sum("clean")).alias("clean")), "word_counts")
+        counts = counts.withColumn("open", (F.col("toxic") > 0) & (F.col("clean") * 10 * toxic <= F.col("toxic") * clean))
+        words = counts.where(F.col("kind") == WORD)
+        n, share = F.col("toxic") + F.col("clean"), toxic / max(1, toxic + clean)
+        bound = (F.col("toxic") * F.log(F.col("toxic") / (n * share))
+                 + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * max(1 - share, 1e-9)))).otherwise(0.0))
+        sure = (bound > float(np.log(max(1, words.count()))))
+        taken = (words.groupBy(F.substring("word", 1, 5).alias("start")).agg(F.max(~F.col("open") & (F.col("clean") > 0)).alias("taken")))
+        starts = (counts.where(F.col("kind") == BEGINNING).select(F.col("word").alias("start"), F.col("toxic").alias("started")).join(taken, "start"))
+        self.words = written(words.where("open").withColumn("sure", sure).withColumn("start", F.substring("word", 1, 5)).join(starts, "start")
+                             .select("word", "sure", "clean", F.when(F.col("taken"), F.col("toxic")).otherwise(F.greatest("toxic", "started")).alias("value")), "open_words")
+        sampled = F.col("code") <= F.lit(last) if last is not None else F.lit(False)
+        self.bags = written(found.where(F.col("kind") == OF_TEXT).select("code", "word").join(self.words, "word")
+                            .groupBy("code").agg(F.collect_set(F.struct("word", "value", "sure")).alias("words"))
+                            .select(sampled.alias("sampled"), "words.word", "words.value", "words.sure"), "bags")
+
+    def open_of(self, words) -> set[bytes]:
+        """Those of ``words``, which clean texts hold, that are open."""
+        some = self.words.sparkSession.createDataFrame([(bytearray(w),) for w in sorted(words)], "word binary")
+        return {bytes(r["word"]) for r in self.words.where("clean > 0").join(some, "word", "left_semi").select("word").collect()}
+
+    def chosen(self, table: np.ndarray | None, bias: float, first: float, second: float) -> Counter:
+        """Numbers of toxic texts that choose a word as one of their two best, by ``table`` or else the value of the first choice.
+
+        Words that sampled texts choose, and sure ones that three texts choose.
+        """
+        sent = self.bags.sparkSession.sparkContext.broadcast(None if table is None else table.astype(np.float32))
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: dict[bytes, list] = {}
+                sampled, words, values, sures = (batch.column(i).to_pylist() for i in range(4))
+                pool = sorted({w for bag in words for w in bag})
+                scores = dict(zip(pool, _score_words(sent.value, pool) + bias, strict=True)) if sent.value is not None else None
+                for own, bag, given, sure in zip(sampled, words, values, sures, strict=True):
+                    value = given if scores is None else [scores[w] for w in bag]
+                    best = sorted(range(len(bag)), key=lambda i: (-value[i], bag[i]))[:2]
+                    for i, least in zip(best, (first, second), strict=False):
+                        if value[i] >= least:
+                            count = out.setdefault(bag[i], [0, 0, sure[i]])
+                            count[0] += 1
+                            count[1] += own
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), *(pa.array([c[k] for c in out.values()], kind)
+                                                  for k, kind in enumerate((pa.int64(), pa.int64(), pa.bool_())))], ["word", "n", "own", "sure"])
+
+        picked = self.bags.mapInArrow(pick, "word binary, n long, own long, sure boolean").groupBy("word", "sure").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+        rows = picked.where((F.col("own") > 0) | (F.col("sure") & (F.col("n") >= 3))).collect()
+        sent.destroy()
+        return Counter(dict(sorted((bytes(r["word"]), r["n"]) for r in rows)))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
-    """Machine from the learnable labelled rows of ``docs``: of each class those lowest by hash, up to the stated bounds."""
-    lean = docs.where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", F.xxhash64("text").alias("code"))
-    known = written(lean.join(labels_of(labels, "toxic", FOLDS, HELD_OUT), F.col("doc_id") == F.col("label_id"))
-                    .select("doc_id", "code", "label").distinct(), "learnable")
+    """Machine from the learnable labelled rows of ``docs``: words are counted and chosen over all of them.
+
+    The sample holds, of each class, the texts lowest by hash, up to the stated bounds.
+    """
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("code"))
+    known = written(texts.select("doc_id", "code", F.octet_length("text").alias("bytes")).join(labels_of(labels, "toxic", FOLDS, HELD_OUT), F.col("doc_id") == F.col("label_id"))
+                    .groupBy("doc_id", "code", "label").agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("copies")), "learnable")
 
-    def sample(label: int, most: int) -> list[str]:
+    def sample(label: int, most: int) -> tuple[list[str], int | None]:
         # At most ``most`` pairs of id and code; only their texts are fetched, and no text is shuffled.
-        keys = known.where(F.col("label") == label).orderBy("code", "doc_id").limit(most)
+        keys = known.where((F.col("label") == label) & (F.col("bytes") <= SAMPLE_BYTES)).orderBy("code", "doc_id").limit(most)
         picked = keys.select(F.col("doc_id").alias("picked_id"), F.col("code").alias("picked_code"))
         same = (F.col("doc_id") == F.col("picked_id")) & (F.xxhash64("text") == F.col("picked_code"))
-        return [r["text"] for r in docs.select("doc_id", "text").join(F.broadcast(picked), same, "left_semi").select("text").distinct().collect()]
-
-    return fit(sample(1, SAMPLE_TOXIC), sample(0, SAMPLE_CLEAN))
+        found = docs.select("doc_id", "text").join(F.broadcast(picked), same, "left_semi").select("text").distinct()
+        return [r["text"] for r in found.collect()], picked.agg(F.max("picked_code")).first()[0]
+
+    (toxic, last), (clean, _) = sample(1, SAMPLE_TOXIC), sample(0, SAMPLE_CLEAN)
+    # One row stands for all copies of a text in a class.
+    each = known.groupBy("code", "label").agg(F.min(F.struct("doc_id", "copies")).alias("one")).select("code", "label", "one.doc_id", "one.copies")
+    sizes = {int(r["label"]): r["count"] for r in each.groupBy("label").count().collect()}
+    if not sizes.get(0) or not sizes.get(1):
+        return fit(toxic, clean)
+    # Labels grow with the documents, so none are broadcast: the learnable texts are shuffled once, at every size.
+    rows = texts.where(is_learnable(F.col("doc_id"), FOLDS, HELD_OUT)).join(each.hint("merge"), ["doc_id", "code"])
+    return fit(toxic, clean, evidence=Evidence(rows, sizes[1], sizes[0], last))
 
 
 def score_column(spark, machine: Machine, text):

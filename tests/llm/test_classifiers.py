@@ -75,6 +75,22 @@ def test_toxicity_rows(spark):
     assert K.toxicity(d, known.limit(0)).where("predicted = 0").count() == d.count()
 
 
+def test_insults_outside_the_sample_are_learned(spark, monkeypatch):
+    """An insult unlike the others that one toxic text in twenty holds, so about two of the sample, is found in new texts."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(K, "SAMPLE_TOXIC", 40)
+    monkeypatch.setattr(K, "SAMPLE_CLEAN", 150)
+    extra = [(100 + i, texts(rng, i % 3 == 0 and i % 60 != 3), "en", "z", 1, 1.0, "", 1) for i in range(1500)]
+    extra = [(i, f"{t} Zygmuquix {sentence(rng)}" if i % 60 == 43 else t, *rest) for i, t, *rest in extra]
+    d = docs(spark, extra)
+    toxic = {e[0]: int((e[0] - 100) % 3 == 0) for e in extra}
+    machine = K.train(d, labels(spark, list((i, 1, y) for i, y in toxic.items())))
+    fresh = [sentence(rng) for _ in range(100)]
+    assert np.mean([machine.score(f"{t} zygmuquix {t}") >= K.THRESHOLD for t in fresh]) > 0.95
+    assert np.mean([machine.score(f"{t} dimwit {t}") >= K.THRESHOLD for t in fresh]) > 0.95
+    assert np.mean([machine.score(t) >= K.THRESHOLD for t in fresh]) < 0.05
+
+
 def test_paths_of_a_printed_forest():
     debug = """Model: (uid=x, numTrees=2)
   Tree 0 (weight 1.0):
