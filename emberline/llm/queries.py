@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, warc_dictionary, winnowing
+from . import mixing, seekable_fim, warc_dictionary, winnowing
+from .feast_whitening import op11_feast_whitening
 from .kd_shards import op4_kd_shards
 from .kernel_toxicity import op8_kernel_toxicity
 from .kneser_ney_langid import op2_kneser_ney_langid
@@ -22,10 +23,13 @@ QUERIES = {
     "op8_kernel_toxicity": op8_kernel_toxicity,
     "op9_winnowing": winnowing.op9_winnowing,
     "op10_systematic_mix": mixing.op10_systematic_mix,
+    "op11_feast_whitening": op11_feast_whitening,
+    "op12_seekable_fim": seekable_fim.op12_seekable_fim,
 }
 
 SQL: dict[str, str] = {
     "op1_warc_dictionary": warc_dictionary.SQL,
     "op9_winnowing": winnowing.SQL,
     "op10_systematic_mix": mixing.SQL,
+    "op12_seekable_fim": seekable_fim.SQL,
 }
