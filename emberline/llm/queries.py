@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import mixing, seekable_fim, warc_dictionary, winnowing
+from .decision_lists import op13_decision_lists
 from .feast_whitening import op11_feast_whitening
 from .kd_shards import op4_kd_shards
 from .kernel_toxicity import op8_kernel_toxicity
@@ -25,6 +26,7 @@ QUERIES = {
     "op10_systematic_mix": mixing.op10_systematic_mix,
     "op11_feast_whitening": op11_feast_whitening,
     "op12_seekable_fim": seekable_fim.op12_seekable_fim,
+    "op13_decision_lists": op13_decision_lists,
 }
 
 SQL: dict[str, str] = {
