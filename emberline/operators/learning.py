@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import itertools
 import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .evaluation import metric_passport, with_class_weights
+from .evaluation import passport_values, with_class_weights
 from .features import class_to_rank, fill_values, rank_to_class
 from .prefix import prefix_sums
 from .splits import hash_uniform
@@ -49,8 +51,8 @@ def classifier(kind: str, params: dict | None = None, weight_col: str | None = "
         est = DecisionTreeClassifier(maxDepth=p.get("max_depth", 10), minInstancesPerNode=p.get("min_samples_leaf", 10),
                                      impurity=p.get("criterion", "gini"), seed=seed)
     elif kind == "random_forest":
-        # More memory for histograms: more tree nodes a pass over the data, so fewer passes.
-        est = RandomForestClassifier(maxMemoryInMB=512, numTrees=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 15),
+        # More memory for histograms: more tree nodes a pass over the data, so fewer passes. Kept node ids save walking down each tree again in each.
+        est = RandomForestClassifier(maxMemoryInMB=1024, cacheNodeIds=True, numTrees=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 15),
                                      minInstancesPerNode=p.get("min_samples_leaf", 5), impurity=p.get("criterion", "gini"),
                                      subsamplingRate=p.get("subsample", 1.0), bootstrap=p.get("bootstrap", True),
                                      featureSubsetStrategy=p.get("max_features", "sqrt"), seed=seed)
@@ -76,7 +78,13 @@ def fit(train: DataFrame, features: list[str], kind: str = "random_forest", para
     if standardize:
         stages.append(StandardScaler(inputCol="raw_features", outputCol=FEATURES_COL, withMean=True, withStd=True))
     stages.append(classifier(kind, params, "weight" if balanced else None, seed))
-    return Pipeline(stages=stages).fit(df)
+    return Pipeline(stages=stages).fit(spread(df))
+
+
+def spread(train: DataFrame) -> DataFrame:
+    """Training rows on all cores: a small written table is one file, and so one task in every pass of a fit."""
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    return train.repartition(cores) if len(train.inputFiles()) < cores else train
 
 
 @dataclass(frozen=True)
@@ -152,13 +160,13 @@ def fit_regressor(train: DataFrame, features: list[str], target: str, kind: str
                   params: dict | None = None, seed: int = 42) -> PipelineModel:
     p = dict(params or {})
     if kind == "random_forest":
-        est = RandomForestRegressor(labelCol=target, numTrees=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 15),
+        est = RandomForestRegressor(labelCol=target, maxMemoryInMB=1024, cacheNodeIds=True, numTrees=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 15),
                                     minInstancesPerNode=p.get("min_samples_leaf", 5), seed=seed)
     else:
         est = DecisionTreeRegressor(labelCol=target, maxDepth=p.get("max_depth", 10),
                                     minInstancesPerNode=p.get("min_samples_leaf", 10), seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol=FEATURES_COL, handleInvalid="keep"),
-                            est]).fit(train)
+                            est]).fit(spread(train))
 
 
 def fold_column(df: DataFrame, key: str, folds: int, seed: int = 42, name: str = "fold") -> DataFrame:
@@ -171,28 +179,39 @@ METRICS = ("accuracy", "f1_macro", "f1_weighted", "precision", "recall", "ordina
 
 
 def _metrics(pred: DataFrame) -> dict[str, float]:
-    return {r["metric"]: r["value"] for r in metric_passport(pred).collect()}
+    return passport_values(pred)
 
 
-def fold_metrics(df: DataFrame, fit_one, folds: int, key: str = "event_id", seed: int = 42) -> list[dict[str, float]]:
-    """Metrics of each group fold; ``fit_one(train)`` gives a function from rows to predictions. Folds without rows are left out."""
-    data = written(fold_column(df, key, folds, seed), "folds")
-    out = []
-    for k in range(folds):
-        train, test = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
-        if test.limit(1).count() and train.limit(1).count():
-            out.append(_metrics(fit_one(train)(test)))
-    return out
+def fold_metrics(df: DataFrame, fit_one, folds: int, key: str = "event_id", seed: int = 42, fold: str | None = None) -> list[dict[str, float]]:
+    """Metrics of each fold, group folds of ``key`` or those of column ``fold``; ``fit_one(train)`` gives a function from rows to predictions.
+
+    Rows are written once and the folds fitted side by side. Folds without rows are left out.
+    """
+    name = fold or "fold"
+    data = written(df if fold else fold_column(df, key, folds, seed), "folds")
+
+    def one(k: int) -> dict[str, float] | None:
+        train, test = data.where(F.col(name) != k), data.where(F.col(name) == k)
+        return passport_values(fit_one(train)(test)) if test.limit(1).count() and train.limit(1).count() else None
+
+    with ThreadPoolExecutor(folds) as pool:
+        return [m for m in pool.map(one, range(folds)) if m]
+
+
+def stratified_folds(df: DataFrame, label: str, order: list[str], folds: int, seed: int = 42, name: str = "fold") -> DataFrame:
+    """Folds that each hold a ``folds``-th of every class: rows of a class take turns in the order of a seeded hash of ``order``."""
+    placed = df.withColumn("u_", hash_uniform(F.concat_ws("|", *[F.col(c).cast("string") for c in order]), seed))
+    return prefix_sums(placed, [label], ["u_", *order], None, "at_").withColumn(name, (F.col("at_") % folds).cast("int")).drop("u_", "at_")
 
 
 def cross_validate(df: DataFrame, features: list[str], kind: str = "random_forest", params: dict | None = None,
-                   folds: int = 5, key: str = "event_id", seed: int = 42, standardize: bool = False) -> DataFrame:
-    """Mean and std over group folds of accuracy / F1 macro / F1 weighted; fills and model are refitted in each fold."""
+                   folds: int = 5, key: str = "event_id", seed: int = 42, standardize: bool = False, fold: str | None = None) -> DataFrame:
+    """Mean and std over folds of accuracy / F1 macro / F1 weighted; fills and model are refitted in each fold."""
     def one(train: DataFrame):
         fitted = fit_filled(train, features, kind, params, standardize=standardize, seed=seed)
         return lambda test: fitted.predict(test, [])
 
-    rows = [(i, m.get("accuracy"), m.get("f1_macro"), m.get("f1_weighted")) for i, m in enumerate(fold_metrics(df, one, folds, key, seed))]
+    rows = [(i, m.get("accuracy"), m.get("f1_macro"), m.get("f1_weighted")) for i, m in enumerate(fold_metrics(df, one, folds, key, seed, fold))]
     per = df.sparkSession.createDataFrame(rows, "fold int, accuracy double, f1_macro double, f1_weighted double")
     return per.agg(*[F.round(F.avg(c), 6).alias(f"{c}_mean") for c in ("accuracy", "f1_macro", "f1_weighted")],
                    *[F.round(F.stddev_pop(c), 6).alias(f"{c}_std") for c in ("accuracy", "f1_macro", "f1_weighted")],
@@ -200,53 +219,20 @@ def cross_validate(df: DataFrame, features: list[str], kind: str = "random_fores
 
 
 def cross_validate_regression(df: DataFrame, features: list[str], target: str, params: dict | None = None, folds: int = 5,
-                              key: str = "event_id", seed: int = 42) -> DataFrame:
-    """M10 for a regressor: mean of MAE, RMSE and R2 over group folds."""
-    data = written(fold_column(df, key, folds, seed), "folds")
-    out = None
-    for k in range(folds):
-        train, test = data.where(F.col("fold") != k), data.where(F.col("fold") == k)
-        fills = median_fills(train, features)
-        m = fit_regressor(apply_fills(train, fills), features, target, "random_forest", params, seed)
-        one = regression_metrics(m.transform(apply_fills(test, fills)), target, "prediction")
-        out = one if out is None else out.unionByName(one)
-    return out.agg(*[F.round(F.avg(c), 6).alias(f"{c}_mean") for c in ("mae", "rmse", "r2")], F.count(F.lit(1)).alias("folds"))
-
-
-def grouped_search(df: DataFrame, features: list[str], kind: str, space: dict[str, list], trials: int, folds: int = 3,
-                   key: str = "event_id", metric: str = "f1_macro", seed: int = 42) -> DataFrame:
-    """``trials`` settings drawn from ``space`` by a seeded generator, each over group folds with the preprocessor
-    refitted inside; rows (trial, params, six mean metrics), best first."""
-    import json
-    import random
-
-    from .preprocessing import fit as fit_preprocessor
-
-    rng, rows, seen = random.Random(seed), [], set()
-    for trial in range(trials):
-        params = {k: rng.choice(v) for k, v in sorted(space.items())}
-        if (text := json.dumps(params, sort_keys=True)) in seen:
-            continue
-        seen.add(text)
-
-        def one(train: DataFrame, params=params):
-            pre = fit_preprocessor(train, features)
-            model = fit(_plain(pre.transform(train, ["label"])), _plain_names(pre.outputs), kind, params, seed=seed)
-            return lambda test: predict(model, _plain(pre.transform(test, ["label"])), [])
-
-        found = fold_metrics(df, one, folds, key, seed)
-        rows.append((trial, text, *[sum(m[x] for m in found) / len(found) if found else None for x in METRICS]))
-    schema = "trial int, params string, " + ", ".join(f"{m} double" for m in METRICS)
-    return df.sparkSession.createDataFrame(rows, schema).orderBy(F.desc(metric), "trial")
-
-
-def _plain_names(outputs: list[str]) -> list[str]:
-    """Names without dots, which vectors of columns cannot address."""
-    return [o.replace(".", "_") for o in outputs]
+                              key: str = "event_id", seed: int = 42, kind: str = "random_forest", fold: str | None = None) -> DataFrame:
+    """M10 for a regressor: mean of MAE, RMSE and R2 over folds, fitted side by side."""
+    data = written(df if fold else fold_column(df, key, folds, seed), "folds")
+    name = fold or "fold"
 
+    def one(k: int) -> DataFrame:
+        train, test = data.where(F.col(name) != k), data.where(F.col(name) == k)
+        fills = median_fills(train, features)
+        m = fit_regressor(apply_fills(train, fills), features, target, kind, params, seed)
+        return regression_metrics(m.transform(apply_fills(test, fills)), target, "prediction")
 
-def _plain(df: DataFrame) -> DataFrame:
-    return df.toDF(*_plain_names(df.columns))
+    with ThreadPoolExecutor(folds) as pool:
+        out = reduce(DataFrame.unionByName, pool.map(one, range(folds)))
+    return out.agg(*[F.round(F.avg(c), 6).alias(f"{c}_mean") for c in ("mae", "rmse", "r2")], F.count(F.lit(1)).alias("folds"))
 
 
 @dataclass(frozen=True)

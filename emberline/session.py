@@ -22,6 +22,8 @@ _DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call sites for error messages cost three calls to the JVM for every column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
