@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -28,6 +29,9 @@ EOD = 50256
 DTYPE = "<u2"
 BLOCK_TOKENS = 1 << 20
 FILE_TOKENS = 1 << 25
+#: The characters with the Unicode property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = re.compile(f"[{WHITE_SPACE}]{{10000,}}")
 _ENCODINGS: dict[str, object] = {}
 
 
@@ -44,11 +48,27 @@ def encoding(path: str):
     return _ENCODINGS[path]
 
 
+def encode(encoder, text: str) -> list[int]:
+    """Token numbers of a text, the same as ``encode_ordinary`` gives.
+
+    The tokenizer's pattern backtracks over runs of white space, and its stack does not hold
+    the longest. A run starts a piece, which is the run without its last character if
+    anything follows; so a long one is cut out there and encoded as the one piece that it is.
+    """
+    out, start = [], 0
+    for run in LONG_RUN.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        out += encoder.encode_ordinary(text[start:run.start()])
+        out += encoder._core_bpe.encode_single_piece(text[run.start():stop].encode("utf-8"))
+        start = stop
+    return out + encoder.encode_ordinary(text[start:]) if start else encoder.encode_ordinary(text)
+
+
 def _write_tokens(folder: str, tokenizer: str, eod: int, dtype: str, file_tokens: int):
     """Rows (file, ordinal, doc_id) of the flat files that a task writes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(tokenizer).encode_ordinary
+        encoder = encoding(tokenizer)
         path, out, size, ordinal = None, None, 0, 0
         for batch in batches:
             files, ordinals = [], []
@@ -58,7 +78,7 @@ def _write_tokens(folder: str, tokenizer: str, eod: int, dtype: str, file_tokens
                     system, name = FileSystem.from_uri(path)
                     system.create_dir(name.rpartition("/")[0], recursive=True)
                     out = system.open_output_stream(name)
-                tokens = np.array([*encode(text or ""), eod], dtype)
+                tokens = np.array([*encode(encoder, text or ""), eod], dtype)
                 out.write(tokens.tobytes())
                 files.append(path)
                 ordinals.append(ordinal)

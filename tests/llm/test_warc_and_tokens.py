@@ -92,3 +92,21 @@ def test_documents_span_blocks(spark, block):
                 start, n = i + 1, n + 1
     got = T.scan(spark.createDataFrame([(p,) for p in files], "file string"), eod=3, block_tokens=block).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_long_runs_encode_as_in_the_whole_text():
+    encoder = T.encoding(T.TOKENIZER)
+    for mark in (" ", "\n", " ", " \t", "a", "!", "é"):
+        for text in (f"{mark * 20_000}", f"x{mark * 20_000}y z", f"{mark * 20_000}.{mark * 15_000}", f"a {mark * 12_000} b"):
+            assert T.encode(encoder, text) == encoder.encode_ordinary(text), (mark, text[:3])
+
+
+def test_runs_of_millions(spark):
+    marks = [" ", "a", "!"]
+    rows = [(k, mark * n + end) for k, (mark, n, end) in enumerate((m, n, e) for m in marks for n in (1_000_000, 5_000_000) for e in ("", "b c"))]
+    found = {r["doc_id"]: r["n_tokens"] for r in T.token_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    encoder = T.encoding(T.TOKENIZER)
+    per = {m: len(encoder.encode_ordinary(m * 1000)) / 1000 for m in marks}
+    for k, text in rows:
+        n = len(text.removesuffix("b c"))
+        assert abs(found[k] - per[text[0]] * n) <= 4, (k, found[k])
