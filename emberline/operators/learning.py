@@ -14,6 +14,7 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
@@ -437,55 +438,67 @@ def segment_model(vectors: DataFrame, k: int, seed: int = 42, algorithm: str = "
     return best
 
 
-def clustering_grid(df: DataFrame, groups: dict[str, list[str]], rank: str, ks: list[int], algorithms: tuple[str, ...] = ("kmeans", "bisecting"),
-                    time_flag: str | None = "flag_time_invalid", threads: int = 4, seed: int = 42) -> DataFrame:
-    """Every feature group x {dropna, impute} x algorithm x k, one row per run with validity, silhouette and alignment.
+def clustering_grid(df: DataFrame, groups: dict[str, list[str]], rank: str, ks: list[int], key: str = "key", algorithms: tuple[str, ...] = ("kmeans", "ward"),
+                    time_flag: str | None = "flag_time_invalid", restarts: int = 20, seed: int = 42) -> DataFrame:
+    """Every feature group x {dropna, impute} x algorithm x k, one row per run with validity, silhouettes and alignment.
 
-    Runs of fewer than max(2k, 10) rows are skipped, as are rows without ``rank``, and
-    rows with invalid times for groups of time features. Models of one group are
-    fitted by a few driver threads over the same written table; all labels of a group
-    are evaluated together, in grouped passes over (run, row).
+    Runs of fewer than max(2k, 10) rows are skipped, as are rows without ``rank``, and rows with
+    invalid times for groups of time features. The standardised rows of all groups lie in
+    one written table (shorter vectors are padded with zeros, which no distance sees), so that
+    each step of all runs is one pass and the labels of all runs are evaluated together.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
+    from . import segmentation as SG
     from .evaluation import cluster_validity, rank_alignment
 
-    parts, run = [], 0
-    for name, feats in groups.items():
-        rows = df.where(~F.col(time_flag)) if time_flag and any(f.endswith("_min") for f in feats) else df
-        rows = rows.select(rank, *[F.col(c).cast("double").alias(c) for c in feats])
-        for imputation in ("dropna", "impute"):
-            base = rows.dropna(subset=feats) if imputation == "dropna" else apply_fills(rows, median_fills(rows, feats))
-            base = base.where(F.col(rank).isNotNull())
-            z = written(standardize(base, feats, keep=[rank]), "scaled")
-            n = z.count()
-            wanted = [(a, k) for a in algorithms for k in ks]
-            ids = {x: run + i for i, x in enumerate(wanted)}
-            run += len(wanted)
-            wanted = [(a, k) for a, k in wanted if n >= max(2 * k, 10)]
-            if not wanted:
-                continue
-            vectors = assemble(z, feats).persist()
-            try:
-                with ThreadPoolExecutor(threads) as pool:
-                    models = list(pool.map(lambda x, v=vectors: segment_model(v, x[1], seed, x[0]), wanted))
-            finally:
-                vectors.unpersist()
-            rows_of = assemble(z, feats)
-            for (a, k), model in zip(wanted, models, strict=True):
-                rows_of = model.setPredictionCol(f"c_{a}_{k}").transform(rows_of)
-            labels = F.array(*[F.struct(F.lit(ids[a, k]).alias("run_id"), F.lit(a).alias("algorithm"), F.lit(k).alias("asked_k"), F.col(f"c_{a}_{k}").alias("cluster"))
-                               for a, k in wanted])
-            long = written(rows_of.select(rank, *feats, F.inline(labels)), "labels")
-            by = ["run_id", "algorithm", "asked_k"]
-            one = cluster_validity(long, feats, "cluster", by, silhouette=True).join(rank_alignment(long, "cluster", rank, by), by)
-            parts.append(written(one.select("run_id", F.lit(name).alias("feature_set"), F.lit(imputation).alias("imputation"), "algorithm", F.col("asked_k").alias("k"),
-                                            F.col("n").alias("rows_used"), "silhouette", "davies_bouldin", "calinski_harabasz", "inertia", "cluster_min", "cluster_max",
-                                            (F.col("cluster_min") / F.col("n")).alias("cluster_smallest_share"), "spearman", "purity", "nmi"), "runs"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    spark, width = df.sparkSession, max(len(f) for f in groups.values())
+    every = list(dict.fromkeys(c for g in groups.values() for c in g))
+    doubles = df.select(key, rank, *([time_flag] if time_flag else []), *[F.col(c).cast("double").alias(c) for c in every])
+    timely = {name: bool(time_flag) and any(f.endswith("_min") for f in feats) for name, feats in groups.items()}
+    rows_of = {False: doubles, True: doubles.where(~F.col(time_flag)) if time_flag else doubles}
+    fills = {t: median_fills(rows_of[t], sorted({c for n, g in groups.items() if timely[n] == t for c in g})) for t in set(timely.values())}
+    names = [(name, imputation) for name in groups for imputation in ("dropna", "impute")]
+
+    def scaled_set(s: int) -> DataFrame:
+        name, imputation = names[s]
+        feats, rows = groups[name], rows_of[timely[name]]
+        base = rows.dropna(subset=feats) if imputation == "dropna" else apply_fills(rows, {c: fills[timely[name]][c] for c in feats})
+        z = standardize(base.where(F.col(rank).isNotNull()), feats, keep=[key, rank])
+        x = F.array(*[F.col(c) for c in feats], *[F.lit(0.0)] * (width - len(feats)))
+        return z.select(F.lit(s).alias("set_id"), F.col(key).alias("key"), F.col(rank).alias("rank"), x.alias("x"))
+
+    with ThreadPoolExecutor(4) as pool:
+        parts = list(pool.map(scaled_set, range(len(names))))
+    points = written(spread(written(reduce(DataFrame.unionByName, parts), "scaled")), "points")
+    sizes = {r["set_id"]: r["count"] for r in points.groupBy("set_id").count().collect()}
+    centres = SG.kmeans_many(points, ks, restarts, seed) if "kmeans" in algorithms else {}
+    trees = {}
+    if "ward" in algorithms:
+        for s, (c, n) in SG.summaries(points, seed=seed).items():
+            trees[s] = (c, SG.ward(c, n))
+    runs, about, run = {}, [], 0
+    for s, (name, imputation) in enumerate(names):
+        for a in algorithms:
+            for k in ks:
+                if sizes.get(s, 0) >= max(2 * k, 10):
+                    found = None
+                    if a == "kmeans" and (s, k) in centres:
+                        found = (centres[s, k][0], np.arange(k))
+                    elif a == "ward" and len(trees[s][0]) >= k:
+                        found = (trees[s][0], SG.cut(trees[s][1], len(trees[s][0]), k))
+                    if found:
+                        runs.setdefault(s, []).append((run, *found))
+                        about.append((run, name, imputation, a, k))
+                run += 1
+    labels = written(SG.labelled(points, runs), "labels")
+    feats = [f"x{i}" for i in range(width)]
+    long = written(labels.select("rank", *[F.element_at("x", i + 1).alias(f) for i, f in enumerate(feats)], F.inline("labels")), "runs")
+    by = ["run_id"]
+    one = cluster_validity(long, feats, "cluster", by, silhouette=True).join(rank_alignment(long, "cluster", "rank", by), by).join(SG.euclidean_silhouettes(labels), by, "left")
+    known = spark.createDataFrame(about, "run_id int, feature_set string, imputation string, algorithm string, asked_k int")
+    out = written(one.join(known, by), "grid")
+    return out.select("run_id", "feature_set", "imputation", "algorithm", F.col("asked_k").alias("k"), F.col("n").alias("rows_used"),
+                      F.col("euclidean_silhouette").alias("silhouette"), F.col("silhouette").alias("squared_silhouette"), "davies_bouldin", "calinski_harabasz",
+                      "inertia", "cluster_min", "cluster_max", (F.col("cluster_min") / F.col("n")).alias("cluster_smallest_share"), "spearman", "purity", "nmi")
 
 
 def pca_2d(df: DataFrame, features: list[str], keep: list[str] = ()) -> DataFrame:
