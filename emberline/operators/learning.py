@@ -16,7 +16,7 @@ from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -528,34 +528,146 @@ def subset_study(df: DataFrame, pool: list[str], test_flag: str = "is_test", max
 
 # ---- neighbour oversampling (M30) ------------------------------------------------
 
-def near_rows(df: DataFrame, key: str, features: list[str], k: int, by: list[str], projections: int = 6, width: int = 8, seed: int = 42) -> DataFrame:
-    """(key, near, d, place): up to ``k`` nearest rows among candidates, inside the groups ``by``.
+#: Least recall of the neighbour index, and the share of rows (every so many) it is measured on against all rows.
+RECALL, QUERY_EVERY = 0.9, 100
 
-    Candidates of a row are the ``width`` rows before and after it in the order of
-    each of a few random projections; orders come from prefix sums and candidates
-    from equality joins on positions, so their number is 2 * projections * width a
-    row whatever the group's size. Distances to them are exact.
+
+def _is_query(key: Column, every: int) -> Column:
+    """Whole numbers divisible by ``every``; other keys by their hash."""
+    number = key.try_cast("long")
+    return F.coalesce((number % every == 0), (F.xxhash64(key.cast("string")) % every == 0))
+
+
+def _same(by: list[str]) -> Column:
+    out = F.lit(True)
+    for c in by:
+        out = out & F.col(c).eqNullSafe(F.col(f"{c}_r"))
+    return out
+
+
+def _gap() -> Column:
+    return F.sqrt(F.aggregate(F.zip_with("x_", "y_", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+
+
+def exact_near(df: DataFrame, key: str, features: list[str], k: int, by: list[str], every: int = QUERY_EVERY) -> DataFrame:
+    """(key, place, d): distances of the ``k`` nearest rows, of the rows whose key is divisible by ``every``, against all rows of their group.
+
+    Queries are dealt into blocks and rows into chunks; each pair of them gives its ``k`` best, so the work is rows x queries and nothing larger than
+    a block and a chunk is held.
+    """
+    point = F.array(*[F.col(c).cast("double") for c in features])
+    rows = written(df.select(F.col(key).alias("key_"), *by, point.alias("x_")), "points")
+    spread_ = F.abs(F.xxhash64("key_"))
+    n = max((r["n"] for r in rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()), default=0)
+    asked = rows.where(_is_query(F.col("key_"), every)).groupBy(*[F.col(c).alias(f"{c}_r") for c in by], (spread_ % (n // (every * 256) + 1)).alias("b_")) \
+        .agg(F.collect_list(F.struct("key_", "x_")).alias("queries"))
+    chunks = rows.groupBy(*by, (spread_ % (n // 4096 + 1)).alias("c_")).agg(F.collect_list(F.struct("key_", "x_")).alias("points"))
+    pairs = chunks.join(asked, _same(by)).select("queries", "points")
+
+    def nearest(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for q, p in zip(batch.column(0), batch.column(1), strict=True):
+                names, there = q.values.field("key_"), p.values.field("key_").to_pylist()
+                x, y = (s.values.field("x_").flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1) for s in (q, p))
+                d = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+                place = {name: i for i, name in enumerate(there)}
+                for i, name in enumerate(names.to_pylist()):
+                    if name in place:
+                        d[i, place[name]] = np.inf
+                best = np.sort(d, axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(x)), best.shape[1]))), pa.array(best.ravel())], ["key_", "d"])
+
+    kind = dict(rows.dtypes)["key_"]
+    found = pairs.mapInArrow(nearest, f"key_ {kind}, d double").where(F.col("d") < float("inf"))
+    place = F.row_number().over(Window.partitionBy("key_").orderBy("d"))
+    return found.withColumn("place", place).where(F.col("place") <= k).withColumnRenamed("key_", key)
+
+
+@dataclass(frozen=True)
+class NeighbourIndex:
+    """Rows in the order of several random projections, each order written once, and how many rows on either side are looked at."""
+    key: str
+    by: tuple[str, ...]
+    orders: tuple[DataFrame, ...]
+    width: int
+    recall: float
+
+    def near(self, k: int, queries: Column | None = None) -> DataFrame:
+        """(key, near, d, place): up to ``k`` nearest rows among the candidates of all rows, or of those for which ``queries`` (of ``key_``) holds."""
+        pairs, by = None, list(self.by)
+        for at in self.orders:
+            steps = F.explode(F.array(*[F.lit(i) for i in range(-self.width, self.width + 1) if i]))
+            left = (at if queries is None else at.where(queries)).select(*by, "key_", "x_", "at_", steps.alias("step_")).withColumn("to_", F.col("at_") + F.col("step_"))
+            right = at.select(*[F.col(c).alias(f"{c}_r") for c in by], F.col("key_").alias("near"), F.col("x_").alias("y_"), F.col("at_").alias("at_r"))
+            one = left.join(right, (F.col("to_") == F.col("at_r")) & _same(by)).select("key_", "near", _gap().alias("d"))
+            pairs = one if pairs is None else pairs.unionByName(one)
+        place = F.row_number().over(Window.partitionBy("key_").orderBy("d", "near"))
+        return pairs.distinct().withColumn("place", place).where(F.col("place") <= k).withColumnRenamed("key_", self.key)
+
+
+def neighbour_index(df: DataFrame, key: str, features: list[str], k: int, by: list[str], projections: int = 6, width: int = 8, recall: float = RECALL,
+                    every: int = QUERY_EVERY, seed: int = 42) -> NeighbourIndex:
+    """An index whose recall at ``k`` was measured to be ``recall`` or more.
+
+    Recall is the share of the exact ``k`` nearest distances that the index reaches too, of the rows whose key is divisible by ``every``
+    (of all rows if none is) against all rows. The looked-at stretch is doubled until it is enough; at the size of the
+    largest group the index is exact. Candidates of a row are twice the stretch a projection, whatever the group's size.
     """
     import random
 
-    rng, pairs = random.Random(seed), None
+    rng = random.Random(seed)
     point = F.array(*[F.col(c).cast("double") for c in features])
     rows = written(df.select(F.col(key).alias("key_"), *by, point.alias("x_")), "points")
+    orders = []
     for _ in range(projections):
         w = [rng.gauss(0, 1) for _ in features]
         line = sum((F.element_at("x_", i + 1) * F.lit(v) for i, v in enumerate(w)), F.lit(0.0))
-        at = written(prefix_sums(rows.withColumn("p_", line), by, ["p_", "key_"], None, "at_"), "order")
-        steps = F.explode(F.array(*[F.lit(i) for i in range(-width, width + 1) if i]))
-        left = at.select(*by, "key_", "x_", "at_", steps.alias("step_")).withColumn("to_", F.col("at_") + F.col("step_"))
-        right = at.select(*[F.col(c).alias(f"{c}_r") for c in by], F.col("key_").alias("near"), F.col("x_").alias("y_"), F.col("at_").alias("at_r"))
-        same = F.col("to_") == F.col("at_r")
-        for c in by:
-            same = same & F.col(c).eqNullSafe(F.col(f"{c}_r"))
-        d = F.sqrt(F.aggregate(F.zip_with("x_", "y_", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-        one = left.join(right, same).select("key_", "near", d.alias("d"))
-        pairs = one if pairs is None else pairs.unionByName(one)
-    place = F.row_number().over(Window.partitionBy("key_").orderBy("d", "near"))
-    return pairs.distinct().withColumn("place", place).where(F.col("place") <= k).withColumnRenamed("key_", key)
+        orders.append(written(prefix_sums(rows.withColumn("p_", line), by, ["p_", "key_"], None, "at_"), "order"))
+    if not rows.where(_is_query(F.col("key_"), every)).limit(1).count():
+        every = 1
+    want = written(exact_near(df, key, features, k, by, every), "exact")
+    total = want.count()
+    last = want.groupBy(F.col(key).alias("key_")).agg(F.max("d").alias("limit_"))
+    largest = max((r["count"] for r in rows.groupBy(*by).count().collect()), default=0)
+    while True:
+        index = NeighbourIndex(key, tuple(by), tuple(orders), width, 1.0)
+        found = index.near(k, _is_query(F.col("key_"), every)).withColumnRenamed(key, "found_")
+        hits = found.join(last, F.col("found_") == F.col("key_")).where(F.col("d") <= F.col("limit_") + 1e-9).count()
+        reached = hits / total if total else 1.0
+        if reached >= recall or width >= largest:
+            return NeighbourIndex(key, tuple(by), tuple(orders), width, reached)
+        width *= 2
+
+
+def near_rows(df: DataFrame, key: str, features: list[str], k: int, by: list[str], projections: int = 6, width: int = 8, recall: float = RECALL,
+              seed: int = 42) -> DataFrame:
+    """(key, near, d, place): up to ``k`` nearest rows inside the groups ``by``, with exact distances, by an index of measured ``recall``."""
+    return neighbour_index(df, key, features, k, by, projections, width, recall, seed=seed).near(k)
+
+
+def margin_rows(df: DataFrame, key: str, label: str, features: list[str], seed: int = 42) -> DataFrame:
+    """(key) of the rows on or inside the margin of a linear machine that tells their class from all others: its support vectors."""
+    vectors = written(assemble(df.select(key, label, *[F.col(c).cast("double").alias(c) for c in features]), features), "vectors")
+    classes = sorted(r[0] for r in vectors.select(label).distinct().collect())
+    if len(classes) < 2:
+        return vectors.select(key)
+
+    def one(c) -> DataFrame:
+        mine = (F.col(label) == c).cast("double")
+        model = LinearSVC(labelCol="mine_", weightCol="share_", regParam=0.01, maxIter=50).fit(
+            vectors.withColumn("mine_", mine).join(F.broadcast(_shares(vectors, label, c)), F.col("mine_") == F.col("side_")))
+        return model.transform(vectors.where(F.col(label) == c)).where(vector_to_array("rawPrediction")[1] <= 1.0).select(key)
+
+    with ThreadPoolExecutor(len(classes)) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, classes))
+
+
+def _shares(rows: DataFrame, label: str, c) -> DataFrame:
+    """Two rows: the balanced weight of a class and of all others."""
+    n = rows.agg(F.count_if(F.col(label) == c).alias("own"), F.count(F.lit(1)).alias("all")).first()
+    return rows.sparkSession.createDataFrame([(1.0, n["all"] / (2.0 * n["own"])), (0.0, n["all"] / (2.0 * max(1, n["all"] - n["own"])))], "side_ double, share_ double")
 
 
 def oversample(df: DataFrame, key: str, label: str, features: list[str], plan: DataFrame, method: str = "smote", k: int = 5, m: int = 10,
@@ -566,15 +678,17 @@ def oversample(df: DataFrame, key: str, label: str, features: list[str], plan: D
     same class, at a seeded place; categorical features take the commonest value of
     those neighbours. Seeds: all rows of a class in turn (``smote``), those of which
     half or more of the ``m`` nearest rows belong to other classes (``borderline``),
-    or all in proportion to that share (``adasyn``). A class without such seeds uses
-    all its rows; rows without a neighbour are repeated as they are.
+    all in proportion to that share (``adasyn``), or those on the margin of a linear machine
+    (``svm``), of which rows with only other classes around are left out, and rows with fewer than
+    half of them lead outwards, away from the neighbour by half the way at most. A class without
+    such seeds uses all its rows; rows without a neighbour are repeated as they are.
     """
-    if method not in ("smote", "borderline", "adasyn"):
+    if method not in ("smote", "borderline", "adasyn", "svm"):
         raise ValueError(f"unknown method {method}")
     numeric = [c for c in features if c not in categorical]
     rows = written(df.where(F.col(label).isNotNull()).select(F.col(key).alias("rid_"), label, *features), "rows")
     near = written(near_rows(rows, "rid_", numeric, k, [label], seed=seed), "near")
-    weight = F.lit(1.0)
+    weight, reach = F.lit(1.0), F.lit(1.0)
     seeds = rows.select("rid_", label)
     if method != "smote":
         other = near_rows(rows.select("rid_", *numeric), "rid_", numeric, m, [], seed=seed + 1)
@@ -582,8 +696,14 @@ def oversample(df: DataFrame, key: str, label: str, features: list[str], plan: D
         share = (other.join(seeds, "rid_").join(labels, F.col("near") == F.col("near_id"))
                  .groupBy("rid_").agg(F.avg((F.col("near_label") != F.col(label)).cast("double")).alias("share_")))
         seeds = seeds.join(share, "rid_", "left")
-        weight = F.coalesce(F.col("share_"), F.lit(0.0)) if method == "adasyn" else (F.coalesce(F.col("share_"), F.lit(0.0)) >= 0.5).cast("double")
-    seeds = written(seeds.select("rid_", label, weight.alias("w_")), "seeds")
+        share = F.coalesce(F.col("share_"), F.lit(0.0))
+        if method == "svm":
+            margin = margin_rows(rows, "rid_", label, numeric, seed).withColumnRenamed("rid_", "margin_")
+            seeds = seeds.join(margin, F.col("rid_") == F.col("margin_"), "left")
+            weight, reach = (F.col("margin_").isNotNull() & (share < 1.0)).cast("double"), F.when(share >= 0.5, 1.0).otherwise(-0.5)
+        else:
+            weight = share if method == "adasyn" else (share >= 0.5).cast("double")
+    seeds = written(seeds.select("rid_", label, weight.alias("w_"), reach.alias("reach_")), "seeds")
     totals = seeds.groupBy(F.col(label).alias("cls_")).agg(F.sum("w_").alias("sum_"), F.count(F.lit(1)).alias("n_"))
     want = plan.select(F.col("cls").alias("plan_"), (F.col("target") - F.col("n")).alias("extra_")).where(F.col("extra_") > 0)
     asked = totals.join(want, F.col("cls_") == F.col("plan_"))
@@ -600,8 +720,10 @@ def oversample(df: DataFrame, key: str, label: str, features: list[str], plan: D
     pick = near.select(F.col("rid_").alias("seed_"), F.col("place").alias("p_"), F.col("near").alias("near_"))
     drawn = drawn.join(pick, (F.col("rid_") == F.col("seed_")) & (F.col("place_") == F.col("p_")), "left")
     ends = rows.select(F.col("rid_").alias("end_"), *[F.col(c).alias(f"end_{c}") for c in numeric])
-    both = drawn.join(rows.drop(label), "rid_").join(ends, F.coalesce("near_", "rid_") == F.col("end_"))
-    cols = {c: (F.col(c) + F.col("gap_") * (F.col(f"end_{c}") - F.col(c))) for c in numeric}
+    reaches = seeds.select(F.col("rid_").alias("reach_id_"), "reach_")
+    both = (drawn.join(rows.drop(label), "rid_").join(ends, F.coalesce("near_", "rid_") == F.col("end_"))
+            .join(reaches, F.col("rid_") == F.col("reach_id_")))
+    cols = {c: (F.col(c) + F.col("reach_") * F.col("gap_") * (F.col(f"end_{c}") - F.col(c))) for c in numeric}
     if categorical:
         values = rows.select(F.col("rid_").alias("val_"), *categorical)
         seen = near.join(values, F.col("near") == F.col("val_"))

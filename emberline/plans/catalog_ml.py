@@ -284,16 +284,27 @@ def m30_neighbour_oversampling(spark, sf):
     """Real and synthetic rows per class after each kind of neighbour oversampling of the training part."""
     train, _ = _parts(training_rows(spark, sf))
     num = ["building_floors", "fire_floor", "distance_to_station"]
-    rows = written(L.apply_fills(train, L.median_fills(train, num)).select(F.concat_ws("-", *K).alias("id"), (F.col("label") + 1).cast("int").alias("cls"), *num, "region_code"), "rows")
+    rows = written(L.apply_fills(train, L.median_fills(train, num)).select((F.col("row_id").cast("long") * 8 + F.col("sheet_ord")).alias("id"), (F.col("label") + 1).cast("int").alias("cls"), *num, "region_code"), "rows")
     plan = written(E.oversampling_plan(rows, "cls"), "plan")
     out = None
-    for method in ("smote", "borderline", "adasyn"):
+    for method in ("smote", "borderline", "adasyn", "svm"):
         one = L.oversample(rows, "id", "cls", [*num, "region_code"], plan, method, categorical=["region_code"])
         one = one.groupBy("cls").agg(F.count_if(~F.col("synthetic")).alias("n_real"), F.count_if("synthetic").alias("n_synthetic")).select(F.lit(method).alias("method"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@register("m30_neighbour_recall", ids=("M30",))
+def m30_neighbour_recall(spark, sf):
+    """Measured recall of the neighbour indexes that oversampling uses: 5 nearest inside the class and 10 nearest of all rows, of the rows whose id is
+    divisible by 100 against all rows; with the stretch of rows that was needed."""
+    train, _ = _parts(training_rows(spark, sf))
+    num = ["building_floors", "fire_floor", "distance_to_station"]
+    rows = written(L.apply_fills(train, L.median_fills(train, num)).select((F.col("row_id").cast("long") * 8 + F.col("sheet_ord")).alias("id"), "label", *num), "rows")
+    found = [(scope, k, ix.width, ix.recall) for scope, k, by in (("class", 5, ["label"]), ("all", 10, [])) for ix in [L.neighbour_index(rows, "id", num, k, by)]]
+    return spark.createDataFrame(found, "scope string, k int, width int, recall double")
+
+
 @register("m34_train_pipeline", ids=("M34", "U1", "S13"))
 def m34_train_pipeline(spark, sf):
     """Stage features -> group split -> preprocessor of the training part -> tree -> calibration -> passport, importances, stored model."""
