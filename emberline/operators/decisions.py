@@ -124,6 +124,57 @@ def apply_corrections(decisions: DataFrame, corrections: DataFrame) -> DataFrame
                     F.col("_new_rank").isNotNull().alias("corrected"))
 
 
+def merge_decisions(decisions: DataFrame, updates: DataFrame) -> DataFrame:
+    """The next version of ``decisions`` after ``updates(decision_id, decision_rank, comment, updated_at, update_id)``, with ``changed`` and ``updated_at``.
+
+    The last update of a decision by (updated_at, update_id) holds. Its rank and comment replace the old ones, so a null
+    rank clears the rank and a null comment the comment. Updates of unknown decisions are left out. ``changed`` is true where either differs.
+    """
+    last = updates.groupBy(F.col("decision_id").alias("for_")).agg(F.max(F.struct("updated_at", "update_id", "decision_rank", "comment")).alias("u_"))
+    joined = decisions.join(last, F.col("decision_id") == F.col("for_"), "left")
+    given = F.col("for_").isNotNull()
+    new = {"decision_rank": F.when(given, F.col("u_.decision_rank")).otherwise(F.col("decision_rank")), "comment": F.when(given, F.col("u_.comment")).otherwise(F.col("comment"))}
+    changed = given & ~(F.col("decision_rank").eqNullSafe(new["decision_rank"]) & F.col("comment").eqNullSafe(new["comment"]))
+    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in decisions.columns], changed.alias("changed"), F.col("u_.updated_at").alias("updated_at"))
+
+
+def propagate_decisions(incidents: DataFrame, merged: DataFrame, key: str = "row_id") -> DataFrame:
+    """The next version of ``incidents``: those of updated, saved decisions take the decision's rank and count as verified and usable.
+
+    The decision updated last holds where an incident has several; a cleared rank clears the incident's rank too.
+    """
+    saved = merged.where(F.col("updated_at").isNotNull() & F.col("save_to_db"))
+    last = saved.groupBy(F.col("fire_id").alias("for_")).agg(F.max(F.struct("updated_at", "decision_id", "decision_rank")).alias("d_"))
+    joined = incidents.join(last, F.col(key) == F.col("for_"), "left")
+    hit = F.col("for_").isNotNull()
+    new = {"rank_tz": F.col("d_.decision_rank"), "rank_tz_vector": F.col("d_.decision_rank"), "rank_label_source": F.lit(S.LABEL_SOURCE_DECISION),
+           "human_verified": F.lit(True), "usable_for_training": F.lit(True)}
+    old = {"human_verified": F.lit(False)} if "human_verified" not in incidents.columns else {}
+    cols = [F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in incidents.columns]
+    return joined.select(*cols, *[F.when(hit, new[c]).otherwise(v).alias(c) for c, v in old.items()])
+
+
+def whole_number(c: Column) -> Column:
+    """Text as a whole number: decimals are cut off, anything else is null."""
+    return F.regexp_replace(F.trim(c.cast("string")), ",", ".").try_cast("double").try_cast("bigint")
+
+
+def submitted_incidents(cases: DataFrame, whole: list[str] = (), numbers: list[str] = ()) -> DataFrame:
+    """Submitted cases as incidents of their own: fields coerced, source and dates of the submission, label where saved, event identity.
+
+    ``cases`` has case_id, decided_at, decision_rank (parsed) and decision_saved beside incident fields as text.
+    """
+    from .identity import event_identity
+
+    when = F.col("decided_at")
+    new = {"row_id": F.lit(None).cast("bigint"), "source_sheet": F.lit("LPR_MANUAL_INPUT"), "fire_date": when.cast("date"), "year": F.year(when), "month": F.month(when)}
+    new |= {c: whole_number(F.col(c)) for c in whole} | {c: F.regexp_replace(F.trim(F.col(c).cast("string")), ",", ".").try_cast("double") for c in numbers}
+    saved = F.coalesce(F.col("decision_saved"), F.lit(True)) & F.col("decision_rank").isNotNull()
+    rows = cases.withColumns(new | {"rank_tz": F.when(saved, F.col("decision_rank")), "rank_label_source": F.when(saved, F.lit(S.LABEL_SOURCE_DECISION)),
+                                    "human_verified": saved})
+    return event_identity(rows, ["case_id"]).withColumn("usable_for_training", F.col("human_verified"))
+
+
 # ---- operations log (S12) ---------------------------------------------------------
 
 def log_from_events(events: DataFrame) -> DataFrame:
