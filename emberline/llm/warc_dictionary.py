@@ -3,8 +3,8 @@
 Each task writes archives of bounded size. It gathers the first records of an
 archive, builds a dictionary from them, writes it in a leading skippable frame
 (magic 0x184D2A5D) and compresses every record into a frame of its own, so that a
-record can be read with the dictionary alone. Too few or too small records give no
-dictionary; such an archive has no leading frame.
+record can be read with the dictionary alone. Records too few or too small to train on
+are the dictionary themselves, as raw content.
 
 Pages with equal payloads of ``min_bytes`` or more are stored once: the page with the
 smallest id is a response, the others are revisits that name it and repeat its HTTP
@@ -25,6 +25,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -53,10 +54,10 @@ def record(page_id: str, url: str | None, payload: bytes, refers_to: str | None,
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "urn:unknown"
-    head = [f"WARC/1.1\r\nWARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}",
+    head = [f"WARC/1.1\r\nWARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{quote(page_id)}>", f"WARC-Date: {DATE}",
             f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest32(payload)}"]
     if revisit:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: <urn:page:{quote(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -73,14 +74,14 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     return fields, payload, int(re.search(rb"Content-Length: (\d+)", http)[1])
 
 
-def dictionary(sample: list[bytes], size: int = DICTIONARY_BYTES) -> bytes | None:
-    """A dictionary built from records, or None where they are too few or too alike in size to build one."""
-    if len(sample) < 8 or sum(map(len, sample)) < 4096:
-        return None
-    try:
-        return zstandard.train_dictionary(min(size, sum(map(len, sample)) // 4), sample).as_bytes()
-    except zstandard.ZstdError:
-        return None
+def dictionary(sample: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """A dictionary built from records; where they are too few or too alike in size to train on, the end of their text as raw content."""
+    if len(sample) >= 8 and sum(map(len, sample)) >= 4096:
+        try:
+            return zstandard.train_dictionary(min(size, sum(map(len, sample)) // 4), sample).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"".join(sample)[-size:]
 
 
 class Archive:
@@ -109,10 +110,8 @@ class Archive:
         self.out = system.open_output_stream(path)
         # A few very long records must not crowd out the others.
         found = dictionary([x[:1 << 16] for x in self.held])
-        if found:
-            self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(found)) + found)
-        words = zstandard.ZstdCompressionDict(found) if found else None
-        self.press = zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=True)
+        self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(found)) + found)
+        self.press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(found), write_content_size=True)
         for data in self.held:
             self._write(data)
         self.held = []
@@ -194,7 +193,7 @@ def _read_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _id(urn: str | None) -> str | None:
-    return urn[len("<urn:page:"):-1] or None if urn else None
+    return unquote(urn[len("<urn:page:"):-1]) or None if urn else None
 
 
 def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -221,9 +220,10 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = AR
 def read_archives(archives: DataFrame) -> DataFrame:
     """All records of ``archives(path, records)``: page_id (text), payload_bytes, payload_digest, record_type, refers_to, url.
 
-    Every payload is read back and checked against its digest. An archive is one task's work.
+    Every payload is read back and checked against its digest. An archive is read by one task, and tasks are no more than
+    16 times the shuffle partitions, whatever the number of archives.
     """
-    n = max(1, archives.count())
+    n = max(1, min(archives.count(), 16 * int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return archives.repartition(n, "path").mapInArrow(
         _read_archives, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string")
 

@@ -48,6 +48,17 @@ def test_dictionary_leads_the_archive(spark):
     assert sum(1 for _ in W.read_archive(path)) == 407
 
 
+def test_small_archives_have_a_dictionary_too(spark):
+    few = spark.createDataFrame([("a b", "u", "x"), ("c\r\nWARC-Type: revisit", "u", "y" * 50), ("<é>", "u", "x")], "page_id string, url string, html string")
+    archives = W.write_archives(few.coalesce(1))
+    system, name = FileSystem.from_uri(archives.first()["path"])
+    with system.open_input_stream(name) as f:
+        magic, size = struct.unpack("<II", f.read(8))
+    assert magic == W.DICTIONARY_MAGIC and size > 0
+    found = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in W.read_archives(archives).collect())
+    assert found == sorted([("a b", 1, "revisit", "<é>"), ("c\r\nWARC-Type: revisit", 50, "response", None), ("<é>", 1, "response", None)], key=lambda r: r[0])
+
+
 def test_empty_pages(spark):
     assert W.read_archives(W.write_archives(pages(spark).limit(0))).count() == 0
 
