@@ -671,7 +671,7 @@ def _shares(rows: DataFrame, label: str, c) -> DataFrame:
 
 
 def oversample(df: DataFrame, key: str, label: str, features: list[str], plan: DataFrame, method: str = "smote", k: int = 5, m: int = 10,
-               categorical: list[str] = (), seed: int = 42) -> DataFrame:
+               categorical: list[str] = (), seed: int = 42, neighbours: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``df``'s (label, features) and the synthetic rows that ``plan(cls, n, target)`` asks for, with ``synthetic``.
 
     A synthetic row lies between a seed row and one of its ``k`` nearest rows of the
@@ -682,16 +682,17 @@ def oversample(df: DataFrame, key: str, label: str, features: list[str], plan: D
     (``svm``), of which rows with only other classes around are left out, and rows with fewer than
     half of them lead outwards, away from the neighbour by half the way at most. A class without
     such seeds uses all its rows; rows without a neighbour are repeated as they are.
+    ``neighbours`` are tables of :func:`near_rows` inside the classes and among all rows, where several methods share them.
     """
     if method not in ("smote", "borderline", "adasyn", "svm"):
         raise ValueError(f"unknown method {method}")
     numeric = [c for c in features if c not in categorical]
     rows = written(df.where(F.col(label).isNotNull()).select(F.col(key).alias("rid_"), label, *features), "rows")
-    near = written(near_rows(rows, "rid_", numeric, k, [label], seed=seed), "near")
+    near = neighbours[0].withColumnRenamed(key, "rid_") if neighbours else written(near_rows(rows, "rid_", numeric, k, [label], seed=seed), "near")
     weight, reach = F.lit(1.0), F.lit(1.0)
     seeds = rows.select("rid_", label)
     if method != "smote":
-        other = near_rows(rows.select("rid_", *numeric), "rid_", numeric, m, [], seed=seed + 1)
+        other = neighbours[1].withColumnRenamed(key, "rid_") if neighbours else near_rows(rows.select("rid_", *numeric), "rid_", numeric, m, [], seed=seed + 1)
         labels = rows.select(F.col("rid_").alias("near_id"), F.col(label).alias("near_label"))
         share = (other.join(seeds, "rid_").join(labels, F.col("near") == F.col("near_id"))
                  .groupBy("rid_").agg(F.avg((F.col("near_label") != F.col(label)).cast("double")).alias("share_")))

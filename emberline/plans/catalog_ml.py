@@ -7,6 +7,11 @@ with the reference's parameters unless a query's docstring says otherwise.
 
 from __future__ import annotations
 
+import itertools
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import feature_sets as FS
@@ -159,7 +164,7 @@ def m11_grouped_search(spark, sf):
     """
     feats = FS.CONTRACT_SETS["dispatch_initial_safe"][0]
     train, _ = _parts(training_rows(spark, sf, feats))
-    return ST.grouped_search(train, feats, "decision_tree", trials=20)[0]
+    return ST.grouped_search(train, feats, "decision_tree", trials=20, parallelism=8)[0]
 
 
 @register("m14_feature_importance", ids=("M14",))
@@ -187,7 +192,7 @@ def m15_batch_export(spark, sf):
     from ..streaming import scratch
 
     feats = FS.CONTRACT_SETS["dispatch_initial_safe"][0]
-    rows = training_rows(spark, sf, feats)
+    rows = training_rows(spark, sf, [*feats, "fire_date"])
     train, _ = _parts(rows)
     overlap = SP.passport(rows, "group_shuffle").first()["event_overlap_rate"]
     path = scratch(spark, "model")
@@ -286,9 +291,10 @@ def m30_neighbour_oversampling(spark, sf):
     num = ["building_floors", "fire_floor", "distance_to_station"]
     rows = written(L.apply_fills(train, L.median_fills(train, num)).select((F.col("row_id").cast("long") * 8 + F.col("sheet_ord")).alias("id"), (F.col("label") + 1).cast("int").alias("cls"), *num, "region_code"), "rows")
     plan = written(E.oversampling_plan(rows, "cls"), "plan")
+    near = (written(L.near_rows(rows, "id", num, 5, ["cls"]), "near"), written(L.near_rows(rows, "id", num, 10, []), "around"))
     out = None
     for method in ("smote", "borderline", "adasyn", "svm"):
-        one = L.oversample(rows, "id", "cls", [*num, "region_code"], plan, method, categorical=["region_code"])
+        one = L.oversample(rows, "id", "cls", [*num, "region_code"], plan, method, categorical=["region_code"], neighbours=near)
         one = one.groupBy("cls").agg(F.count_if(~F.col("synthetic")).alias("n_real"), F.count_if("synthetic").alias("n_synthetic")).select(F.lit(method).alias("method"), "*")
         out = one if out is None else out.unionByName(one)
     return out
@@ -367,12 +373,13 @@ def m40_variant_comparison(spark, sf):
     tables = {"original": FEATS, "enhanced": FEATS + extra, "generated": list(named), "combined": FEATS + extra + list(named)}
     models = {"tree": ("decision_tree", {"max_depth": 10, "min_samples_leaf": 10}, False), "forest": ("random_forest", {"n_estimators": 20, "max_depth": 10}, False),
               "logistic": ("logistic", {"max_iter": 200}, True)}
-    out = None
-    for t, feats in tables.items():
-        for m, (kind, params, scale) in models.items():
-            cv = L.cross_validate(rows, feats, kind, params, folds=3, standardize=scale)
-            one = cv.select(F.lit(f"{t}+{m}").alias("name"), F.lit(len(feats)).alias("n_features"), "*")
-            out = one if out is None else out.unionByName(one)
+    def one(pair):
+        (t, feats), (m, (kind, params, scale)) = pair
+        cv = L.cross_validate(rows, feats, kind, params, folds=3, standardize=scale)
+        return cv.select(F.lit(f"{t}+{m}").alias("name"), F.lit(len(feats)).alias("n_features"), "*")
+
+    with ThreadPoolExecutor(3) as pool:
+        out = reduce(DataFrame.unionByName, pool.map(one, itertools.product(tables.items(), models.items())))
     runs = written(out, "variants")
     board = X.leaderboard(runs, "f1_macro_mean", "name", "original+tree", top=len(tables) * len(models))
     return board.join(runs.drop("f1_macro_mean"), "name").orderBy(F.desc("f1_macro_mean"), "name")
