@@ -20,7 +20,7 @@ _MERGED = [("N  п/п.", "row_id"), ("Unnamed: 1", "address"), ("Код реги
            ("Время сообщения", "t_report"), ("Время прибытия", "t_arrival"), ("Техника, виды", "equipment"), ("Количество", "equipment_count"),
            ("Количество стволов", "nozzle_count"), ("Наименование объёкта", "object_name"), ("Почтовый адрес", "address"), ("Примечание", "region"), ("", None)]
 _PERIOD = [(ru, en) for ru, en in S.RAW_COLUMNS if en in {c for _, c in _MERGED if c}]
-_SHEETS = [(S.CANONICAL_SOURCE_SHEET, _MERGED, ["Сводная база", "по годам, 2000--2020", ""]), ("1...2000-2008", _PERIOD, ["Период"])]
+_SHEETS = [(S.CANONICAL_SOURCE_SHEET, _MERGED, ["Сводная база", "по годам, 2000--2020", ""]), ("1...2000-2008", _PERIOD, ["Период"]), ("2...2009-2020", _PERIOD, ["Период"])]
 
 
 def _filled() -> set[str]:
@@ -34,10 +34,10 @@ def _s1_sql():
 
 @register("s1_sheet_harmonisation", sql=_s1_sql, ids=("S1", "S2"))
 def s1_sheet_harmonisation(spark, sf):
-    """Two sheets exported with title lines and messy headers, read back as canonical columns and united."""
+    """All three sheets exported with title lines and messy headers, read back as canonical columns and united."""
     rows, out = V.raw(spark, sf), None
-    for sheet, headers, titles in _SHEETS:
-        path = f"{_folder(spark)}/{len(headers)}"
+    for i, (sheet, headers, titles) in enumerate(_SHEETS):
+        path = f"{_folder(spark)}/{i}"
         SH.write_sheet(rows.where(F.col("source_sheet") == sheet), path, titles, headers)
         one = SH.read_sheet(spark, path, sheet)
         out = one if out is None else out.unionByName(one)

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import csv
 import re
+from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,23 +104,32 @@ def read_sheet(spark: SparkSession, path: str, sheet: str, header: int | None =
     """The 37 canonical columns of an exported sheet as text, missing ones null, with ``source_sheet``.
 
     ``header`` is the 0-based line of the header, by default that of the sheet's name.
-    Title and header lines are told by their place in the first part: they are its
-    first lines, which are left out by comparing whole rows, so a data row equal to
-    one of them would be left out too.
+    Title and header lines are told by file and position: of the first block of the
+    first part, the first rows that equal them are left out, as many as there are
+    such lines. Data rows that equal one, and rows without any value, are kept;
+    lines without any character are no rows.
     """
     at = header_row(sheet) if header is None else header
-    lines = [r[0] for r in spark.read.text(f"{path}/part-00000*").limit(at + 1).collect()]
-    if len(lines) <= at:
+    first = spark.read.text(f"{path}/part-00000*").select("value", F.col("_metadata.file_name").alias("file")).limit(at + 1).collect()
+    if len(first) <= at:
         raise ValueError(f"{path} has no header line {at}")
-    above = [next(csv.reader([line], escapechar="\\"), []) for line in lines]
+    above = [next(csv.reader([r["value"]], escapechar="\\"), []) for r in first]
     width = len(above[at])
     names = [f"c{i}" for i in range(width)]
     rows = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).option("mode", "PERMISSIVE").csv(path)
     whole = F.concat_ws("\x1f", *[F.coalesce(F.col(n), F.lit("")) for n in names])
-    titles = ["\x1f".join((cells + [""] * width)[:width]) for cells in above]
+    # The reader itself leaves out lines of white space alone.
+    times = Counter("\x1f".join((cells + [""] * width)[:width]) for r, cells in zip(first, above, strict=True) if r["value"].strip())
+    head = (F.col("_metadata.file_name") == first[0]["file"]) & (F.col("_metadata.file_block_start") == 0)
+    like = whole.isin(list(times))
+    n_times = F.coalesce(*[F.when(F.col("whole") == t, F.lit(n)) for t, n in times.items()], F.lit(0))
+    # Only rows that equal a title line are numbered; ids rise with the place in the file.
+    nth = F.row_number().over(Window.partitionBy("whole").orderBy("place"))
+    again = rows.where(head & like).select(*names, whole.alias("whole"), F.monotonically_increasing_id().alias("place")).select(*names, "whole", nth.alias("nth"))
+    kept = rows.where(~(head & like)).select(*names).unionByName(again.where(F.col("nth") > n_times).select(*names))
     found = resolve_headers(above[at])
     cols = [F.col(names[found[c]]).alias(c) if c in found else F.lit(None).cast("string").alias(c) for c in S.EN_COLS]
-    return rows.where(~whole.isin(titles)).select(*cols, F.lit(sheet).alias("source_sheet"))
+    return kept.select(*cols, F.lit(sheet).alias("source_sheet"))
 
 
 def write_sheet(df: DataFrame, path: str, titles: list[str], headers: list[tuple[str, str | None]]) -> None:

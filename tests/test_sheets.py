@@ -37,3 +37,19 @@ def test_round_trip_with_quotes_and_header_row(spark):
     assert got == [("1", 'a "b", c', None, None, "2...2009-2020"), ("2", "\\x", "5", None, "2...2009-2020")]
     with pytest.raises(ValueError):
         SH.read_sheet(spark, path, "2...", header=9)
+
+
+def test_rows_like_title_lines_and_blank_rows_are_kept(spark):
+    heads = [("N п/п", "row_id"), ("Этажность", "building_floors"), ("Прим.", None)]
+    rows = [("7", "2"), ("Сводная база", None), ("N п/п", "Этажность"), (None, None), (None, None), ("7", "2")]
+    df = spark.createDataFrame(rows, "row_id string, building_floors string").repartition(3)
+    for titles in (["Сводная база", ",,", ""], ["Сводная база,,", "Сводная база", "7,2"]):
+        path = scratch(spark, "sheet")
+        SH.write_sheet(df, path, titles, heads)
+        got = [(r["row_id"], r["building_floors"]) for r in SH.read_sheet(spark, path, "БД-1").collect()]
+        assert sorted(got, key=str) == sorted(rows, key=str)
+    # Title lines and rows in one part.
+    path = scratch(spark, "sheet")
+    spark.createDataFrame([("a,b",), ("N п/п,Этажность",), ("a,b",), (",",), ("N п/п,Этажность",)], "value string").coalesce(1).write.text(path)
+    got = [(r["row_id"], r["building_floors"]) for r in SH.read_sheet(spark, path, "1...").collect()]
+    assert sorted(got, key=str) == sorted([("a", "b"), (None, None), ("N п/п", "Этажность")], key=str)
