@@ -5,8 +5,10 @@ kept (the last one on ties), in documents and in benchmark items alike. A shared
 span of ``k + w - 1`` words shares all hashes of one such window, hence its kept
 one: with k = 6 and w = 8 no shared span of 13 words is missed. Kept document
 hashes are looked up among the kept item hashes, and each hit is extended word by
-word along its diagonal to the whole shared span, which also discards hash
-collisions. An item of n < 13 words is one window; it is fingerprinted with
+word along its diagonal as far as a shared window that holds it can reach, which also
+discards hash collisions. Every window holds a hit, so the union is the whole shared
+span. Equal surroundings of kept k-grams, of one item or of many, are extended once,
+so runs of equal words and repeated phrases cost no more than what differs in them. An item of n < 13 words is one window; it is fingerprinted with
 k = n, w = 1, which keeps every n-gram.
 
 Scale. Documents are never shuffled: the items' index goes to the tasks. Its size is
@@ -19,6 +21,7 @@ of a shared span, so k-grams with such a word are never kept.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,8 @@ from .common import fresh, read_table, small_batches, written
 WINDOW = 13
 K = 6
 BLOCK_BYTES = 32 << 20
+PLACES = 1 << 16
+PAIRS = 1 << 16
 
 #: Bytes that end a word become spaces, A-Z become a-z, all bytes of other code points stay.
 WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -77,13 +82,28 @@ def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
     return kept[hashes[kept] != NEVER]
 
 
+def _around(padded: np.ndarray, at: np.ndarray, k: int, length: int) -> np.ndarray:
+    """Word numbers from ``length - k`` words before to ``length`` words after the start of each k-gram ``at``."""
+    return padded[(at - (length - k))[:, None] + np.arange(2 * length - k)]
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the distinct rows, in order of their columns, and which of them each row equals."""
+    order = np.lexsort(rows.T[::-1])
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[order[1:]] != rows[order[:-1]]).any(axis=1)
+    same = np.empty(len(rows), np.int64)
+    same[order] = np.cumsum(new) - 1
+    return order[new], same
+
+
 class ItemIndex:
     """Kept fingerprints of one block of items, by window length."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW, k: int = K):
-        self.names, self.ids, self.vocabulary = [], [], {}
-        self.shortest = window
-        by_length: dict[int, list[tuple[np.ndarray, np.ndarray, int]]] = {}
+        self.names, self.vocabulary, self.window, self.shortest = [], {}, window, window
+        gap = np.zeros(window, np.uint32)
+        flat, start, by_length = [gap], window, {}
         for name, text in items:
             words = words_of(text)
             if not words:
@@ -93,15 +113,28 @@ class ItemIndex:
             self.shortest = min(self.shortest, length)
             hashes = gram_hashes(ids, self._k(length, window, k))
             at = winnow(hashes, length - self._k(length, window, k) + 1)
-            by_length.setdefault(length, []).append((hashes[at], at, len(self.names)))
+            by_length.setdefault(length, []).append((hashes[at], at + start, np.full(len(at), len(self.names))))
             self.names.append(name)
-            self.ids.append(ids)
-        self.tables = []
-        for length, parts in sorted(by_length.items()):
-            hashes = np.concatenate([h for h, _, _ in parts])
-            order = np.argsort(hashes, kind="stable")
-            self.tables.append((length, self._k(length, window, k), hashes[order], np.concatenate([a for _, a, _ in parts])[order],
-                                np.concatenate([np.full(len(a), i) for _, a, i in parts])[order]))
+            flat += [ids.astype(np.uint32), gap]
+            start += len(ids) + window
+        #: The words of all items, each between as many zeros as a window has words.
+        self.flat = np.concatenate(flat)
+        self.tables = [self._table(length, self._k(length, window, k), *map(np.concatenate, zip(*parts, strict=True)))
+                       for length, parts in sorted(by_length.items())]
+
+    def _table(self, length: int, k: int, hashes: np.ndarray, places: np.ndarray, owner: np.ndarray):
+        """Distinct surroundings in order of the hash: hash, place of one of them, and the items of all of them."""
+        order = np.argsort(hashes, kind="stable")
+        hashes, places, owner, low = hashes[order], places[order], owner[order], 0
+        kept, pairs, n = [], [], 0
+        while low < len(hashes):
+            high = int(np.searchsorted(hashes, hashes[min(low + PLACES, len(hashes)) - 1], "right"))
+            firsts, same = _distinct(np.column_stack([hashes[low:high], _around(self.flat, places[low:high], k, length)]))
+            kept.append(low + firsts)
+            pairs.append(np.unique(np.column_stack([same + n, owner[low:high]]), axis=0))
+            low, n = high, n + len(firsts)
+        kept, pairs = np.concatenate(kept), np.concatenate(pairs)
+        return length, k, hashes[kept], places[kept], np.searchsorted(pairs[:, 0], np.arange(n + 1)), pairs[:, 1].copy()
 
     @staticmethod
     def _k(length: int, window: int, k: int) -> int:
@@ -114,47 +147,65 @@ class ItemIndex:
         gaps = np.flatnonzero(ids == 0)
         if not len(ids) or np.diff(np.r_[-1, gaps, len(ids)]).max() - 1 < self.shortest:
             return [], []
-        spans, found = [], set()
-        for length, k, table, item_at, item in self.tables:
+        spans, found, padded = [], set(), np.pad(ids, self.window)
+        for length, k, table, places, first, item in self.tables:
             hashes = gram_hashes(ids, k)
             kept = winnow(hashes, length - k + 1)
-            left, right = np.searchsorted(table, hashes[kept], "left"), np.searchsorted(table, hashes[kept], "right")
-            reached: dict[tuple[int, int], int] = {}
-            for p, a, b in zip(*(x[right > left].tolist() for x in (kept, left, right)), strict=True):
-                for entry in range(a, b):
-                    i, shift = int(item[entry]), p - int(item_at[entry])
-                    if reached.get((i, shift), -1) > p:
-                        continue
-                    start, stop = self._extended(ids, self.ids[i], p, shift)
-                    reached[i, shift] = stop
-                    if stop - start >= length:
-                        spans.append((start, stop))
-                        found.add(self.names[i])
+            kept = kept[table[np.minimum(np.searchsorted(table, hashes[kept]), len(table) - 1)] == hashes[kept]]
+            used = np.zeros(len(table), bool)
+            for at in (kept[j:j + PLACES] for j in range(0, len(kept), PLACES)):
+                rows = np.column_stack([hashes[at], _around(padded, at + self.window, k, length)])
+                own, same = _distinct(rows)
+                before, after = self._extended(rows[own], table, places, length, k, used)
+                ok = after[same] > 0
+                spans.extend(zip((at - before[same])[ok].tolist(), (at + after[same])[ok].tolist(), strict=True))
+            found.update(item[j] for e in np.flatnonzero(used).tolist() for j in range(first[e], first[e + 1]))
         merged: list[tuple[int, int]] = []
         for start, stop in sorted(spans):
             if merged and start <= merged[-1][1]:
                 merged[-1] = (merged[-1][0], max(stop, merged[-1][1]))
             else:
                 merged.append((start, stop))
-        return merged, sorted(found)
-
-    @staticmethod
-    def _extended(doc: np.ndarray, item: np.ndarray, at: int, shift: int) -> tuple[int, int]:
-        """The longest span around ``at`` where ``doc`` equals ``item`` moved by ``shift``; empty if they differ at ``at``."""
-        low, high = max(0, shift), min(len(doc), len(item) + shift)
-        differ = np.flatnonzero(doc[low:high] != item[low - shift:high - shift]) + low
-        cut = int(np.searchsorted(differ, at))
-        if cut < len(differ) and differ[cut] == at:
-            return at, at
-        return (int(differ[cut - 1]) + 1 if cut else low), (int(differ[cut]) if cut < len(differ) else high)
+        return merged, sorted({self.names[i] for i in found})
+
+    def _extended(self, keys: np.ndarray, table: np.ndarray, places: np.ndarray, length: int, k: int, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many words the longest shared span has before, and from the start of, each k-gram of ``keys`` (hash, surrounding
+        words); 0 and 0 if none has ``length`` words. Marks entries ``used``; looks at ``PAIRS`` pairs at a time."""
+        left, right = np.searchsorted(table, keys[:, 0], "left"), np.searchsorted(table, keys[:, 0], "right")
+        before, after = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        ends = np.cumsum(right - left)
+        for low in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+            pair = np.arange(low, min(low + PAIRS, int(ends[-1])))
+            own = np.searchsorted(ends, pair, "right")
+            entry = right[own] - (ends[own] - pair)
+            words = keys[own, 1:]
+            equal = (words == _around(self.flat, places[entry], k, length)) & (words != 0)
+            back = np.logical_and.accumulate(equal[:, :length - k][:, ::-1], axis=1).sum(axis=1)
+            ahead = np.logical_and.accumulate(equal[:, length - k:], axis=1).sum(axis=1)
+            ok = (ahead >= k) & (back + ahead >= length)
+            used[entry[ok]] = True
+            np.maximum.at(before, own[ok], back[ok])
+            np.maximum.at(after, own[ok], ahead[ok])
+        return before, after
+
+
+_BUILT: dict[str, ItemIndex] = {}
+
+
+def _built(token: str, items: list[tuple[str, bytes]]) -> ItemIndex:
+    """The index of ``items``, built once in a Python worker; only the last one is held."""
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = ItemIndex(items)
+    return _BUILT[token]
 
 
 def _hits_udf(spark, items: list[tuple[str, bytes]]):
-    sent = spark.sparkContext.broadcast(items)
+    sent, token = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     @F.pandas_udf(HITS)
     def hits(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        index = ItemIndex(sent.value)
+        index = _BUILT.get(token) or _built(token, sent.value)
         for batch in texts:
             rows = []
             for text in batch:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 
@@ -40,6 +41,24 @@ def test_every_shared_window_is_found():
         assert sum(b - a for a, b in spans) == hit and found == want
 
 
+def test_runs_and_repeated_phrases_cost_what_differs():
+    rng = random.Random(4)
+    for phrase in (["a"], ["a", "b"], "one two three four five six".split()):
+        # Short ones against brute force, with other words between the phrases.
+        for _ in range(20):
+            items = [(str(i), " ".join(w for _ in range(9) for w in (*phrase, *rng.choices("xyz", k=rng.randrange(3))))) for i in range(4)]
+            text = " ".join(w for _ in range(14) for w in (*phrase, *rng.choices("xyz", k=rng.randrange(3))))
+            spans, found = W.ItemIndex([(n, t.encode()) for n, t in items]).hits(W.words_of(text.encode()))
+            _, hit, want = brute(text, items)
+            assert sum(b - a for a, b in spans) == hit and found == want
+        # A million words against an item of three thousand: one span, within seconds.
+        index = W.ItemIndex([("0", " ".join(phrase * 3000).encode())])
+        began = time.monotonic()
+        spans, found = index.hits(W.words_of(" ".join(phrase * (1_000_000 // len(phrase))).encode()))
+        assert spans == [(0, 1_000_000 // len(phrase) * len(phrase))] and found == ["0"]
+        assert time.monotonic() - began < 30
+
+
 def test_winnow_keeps_one_of_every_window():
     h = np.random.default_rng(0).integers(0, 5, 400).astype(np.uint64)
     kept = set(W.winnow(h, 8).tolist())
