@@ -7,22 +7,26 @@ split by id, then by row. Leaves stand for one shard each, of about the target b
 
 Scale. Metadata is written once, without texts. The splits of a level are found
 together: histograms of bytes over at most ``BINS`` ranges per node narrow each cut
-until it falls on one row, so no rows are shuffled or sorted and the driver sees at
-most (nodes x BINS) sums a pass. Slots come from one range sort (``common.ranked``).
+until it falls on one row, so no rows are shuffled or sorted. Cuts and searches are
+small tables of one row per node, at most as many as shards, that go to the rows by
+broadcast; histograms are summed up in Spark and the driver sees one row per node a
+pass. Slots come from one range sort (``common.ranked``).
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ranked, read_table, written
 
 SHARDS = 24
 BINS = 1024
+LEVELS = 5
 LEAST = -(1 << 62)
 
 
@@ -41,120 +45,122 @@ def metadata(docs: DataFrame) -> dict[str, Column]:
 
 @dataclass
 class Node:
-    first: int                      # first shard
+    first: int                      # first shard, which names the node
     shards: int
-    dim: str = ""
+    dim: int = 0                    # place of the dimension among the keys
     cut: tuple[int, ...] = ()       # the last (dimension, id, row) of the left side
-    sides: list[Node] = field(default_factory=list)
 
 
-def _upto(keys: list[str], cut: tuple[int, ...]) -> Column:
-    """Rows whose ``keys`` are at most ``cut``, in lexicographic order."""
-    if len(keys) == 1:
-        return F.col(keys[0]) <= cut[0]
-    return (F.col(keys[0]) < cut[0]) | ((F.col(keys[0]) == cut[0]) & _upto(keys[1:], cut[1:]))
+def _table(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of one row per node, at most as many as there are shards, to be sent to every task."""
+    types = [x.split() for x in schema.split(", ")]
+    kinds = {"long": pa.int64(), "double": pa.float64()}
+    columns = zip(*rows, strict=True) if rows else [[] for _ in types]
+    return F.broadcast(spark.createDataFrame(pa.table([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, types, strict=True)], [n for n, _ in types])))
 
 
-def _leaf(node: Node) -> Column:
-    """First shard of the leaf that a row falls into, as one expression."""
-    if not node.sides:
-        return F.lit(node.first)
-    left, right = node.sides
-    return F.when(_upto([node.dim, "t_id", "t_uid"], node.cut), _leaf(left)).otherwise(_leaf(right))
+def _apply_cuts(rows: DataFrame, nodes: list[Node], keys: Column) -> DataFrame:
+    """``rows`` with ``t_node`` moved to the side of its node's cut that it falls on."""
+    cuts = _table(rows.sparkSession, [(n.first, n.shards // 2, n.dim + 1, *n.cut) for n in nodes], "c_node long, c_half long, c_dim long, c0 long, c1 long, c2 long")
+    at = F.element_at(keys, F.col("c_dim").cast("int"))
+    left = (at < F.col("c0")) | ((at == F.col("c0")) & ((F.col("t_id") < F.col("c1")) | ((F.col("t_id") == F.col("c1")) & (F.col("t_uid") <= F.col("c2")))))
+    moved = F.col("t_node") + F.when(F.col("c_node").isNull() | left, 0).otherwise(F.col("c_half"))
+    return rows.join(cuts, F.col("t_node") == F.col("c_node"), "left").select(*[c for c in rows.columns if c != "t_node"], moved.alias("t_node"))
 
 
-def _choose(pairs: list[tuple[Column, Column]]) -> Column:
-    out = F.lit(None).cast("long")
-    for when, value in reversed(pairs):
-        out = F.when(when, value).otherwise(out)
-    return out
-
-
-def _split_level(rows: DataFrame, root: Node, nodes: list[Node], dims: list[str], spread: dict[str, int]) -> None:
-    at = rows.withColumn("t_node", _leaf(root))
-    ends = [f(c).alias(f"{n}_{c}") for c in dims + ["t_id", "t_uid"] for n, f in (("lo", F.min), ("hi", F.max))]
-    stats = {r["t_node"]: r for r in at.groupBy("t_node").agg(F.sum("t_size").alias("bytes"), *ends).collect()}
+def _find_cuts(rows: DataFrame, nodes: list[Node], dims: list[str], spread: dict[str, int]) -> None:
+    """Set dimension and cut of every node, from ``rows`` with their ``t_node``."""
+    spark, names = rows.sparkSession, [*dims, "t_id", "t_uid"]
+    ends = [f(c).alias(f"{n}_{c}") for c in names for n, f in (("lo", F.min), ("hi", F.max))]
+    split = _table(spark, [(n.first,) for n in nodes], "s_node long")
+    stats = {r["t_node"]: r for r in rows.join(split, F.col("t_node") == F.col("s_node"), "left_semi")
+             .groupBy("t_node").agg(F.sum("t_size").alias("bytes"), *ends).collect()}
     search = []
     for node in nodes:
-        r, half = stats.get(node.first), node.shards // 2
-        node.sides = [Node(node.first, half), Node(node.first + half, node.shards - half)]
+        r = stats.get(node.first)
         if r is None:  # no rows
-            node.dim, node.cut = dims[0], (LEAST, LEAST, LEAST)
+            node.cut = (LEAST, LEAST, LEAST)
             continue
-        node.dim = max(dims, key=lambda c: (r[f"hi_{c}"] - r[f"lo_{c}"]) / max(1, spread[c]))
-        search.append({"node": node, "keys": [node.dim, "t_id", "t_uid"], "fixed": (), "below": 0,
-                       "goal": r["bytes"] * half / node.shards, "range": (r[f"lo_{node.dim}"], r[f"hi_{node.dim}"])})
-    at = at.where(F.col("t_node").isin([s["node"].first for s in search])) if search else at
+        node.dim = max(range(len(dims)), key=lambda d: (r[f"hi_{dims[d]}"] - r[f"lo_{dims[d]}"]) / max(1, spread[dims[d]]))
+        search.append({"node": node, "fixed": (), "below": 0, "goal": r["bytes"] * (node.shards // 2) / node.shards,
+                       "range": (r[f"lo_{dims[node.dim]}"], r[f"hi_{dims[node.dim]}"])})
+    keys = F.array(*names)
     while search:
         # The rows in question of each node, by ranges of the key that is being narrowed.
-        binned = []
+        now = []
         for s in search:
-            key, (low, high) = s["keys"][len(s["fixed"])], s["range"]
-            s["width"] = max(1, math.ceil((high - low + 1) / BINS))
-            inside = (F.col("t_node") == s["node"].first) & F.col(key).between(low, high)
-            for k, v in zip(s["keys"], s["fixed"], strict=False):
-                inside &= F.col(k) == v
-            binned.append((inside, F.floor((F.col(key) - F.lit(low)) / s["width"]) if s["width"] > 1 else F.col(key) - F.lit(low), F.col(key)))
-        bins = (at.select("t_node", "t_size", "t_id", "t_uid", _choose([(w, b) for w, b, _ in binned]).alias("t_bin"),
-                          _choose([(w, k) for w, _, k in binned]).alias("t_key"))
-                .where(F.col("t_bin").isNotNull()).groupBy("t_node", "t_bin")
+            dim, n, (low, high) = s["node"].dim + 1, len(s["fixed"]), s["range"]
+            now.append((s["node"].first, (dim, len(dims) + 1, len(dims) + 2)[n], dim, low, high, max(1, math.ceil((high - low + 1) / BINS)),
+                        *(*s["fixed"], None, None)[:2], s["below"], s["goal"]))
+        asked = _table(spark, now, "s_node long, s_key long, s_dim long, s_low long, s_high long, s_width long, s_f0 long, s_f1 long, s_below long, s_goal double")
+        pick = lambda c: F.element_at(keys, F.col(c).cast("int"))
+        inside = (F.col("t_key").between(F.col("s_low"), F.col("s_high")) & (F.col("s_f0").isNull() | (pick("s_dim") == F.col("s_f0")))
+                  & (F.col("s_f1").isNull() | (F.col("t_id") == F.col("s_f1"))))
+        bins = (rows.join(asked, F.col("t_node") == F.col("s_node")).withColumn("t_key", pick("s_key")).where(inside)
+                .groupBy("t_node", F.floor((F.col("t_key") - F.col("s_low")) / F.col("s_width")).alias("t_bin"))
                 .agg(F.sum("t_size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("t_key").alias("low"), F.max("t_key").alias("high"),
-                     F.min("t_id").alias("id0"), F.max("t_id").alias("id1"), F.min("t_uid").alias("uid0"), F.max("t_uid").alias("uid1")).collect())
+                     F.min("t_id").alias("id0"), F.max("t_id").alias("id1"), F.min("t_uid").alias("uid0"), F.max("t_uid").alias("uid1"),
+                     F.max("s_below").alias("s_below"), F.max("s_goal").alias("s_goal")))
+        # The first range that reaches the goal, else the last; a node has at most BINS ranges.
+        order = Window.partitionBy("t_node").orderBy("t_bin")
+        below = F.col("s_below") + F.sum("bytes").over(order) - F.col("bytes")
+        reached = bins.select("*", below.alias("below"), F.lead("t_bin").over(order).isNull().alias("last"))
+        reached = reached.where((F.col("below") + F.col("bytes") >= F.col("s_goal")) | F.col("last"))
+        one = F.min(F.struct("t_bin", "below", "bytes", "n", "low", "high", "id0", "id1", "uid0", "uid1")).alias("r")
+        found = {x["t_node"]: x["r"] for x in reached.groupBy("t_node").agg(one).collect()}
         ahead = []
         for s in search:
-            own = sorted((r for r in bins if r["t_node"] == s["node"].first), key=lambda r: r["t_bin"])
-            below = s["below"]
-            for k, r in enumerate(own):
-                if below + r["bytes"] >= s["goal"] or k == len(own) - 1:
-                    break
-                below += r["bytes"]
-            s["below"] = below
+            r = found[s["node"].first]
+            s["below"] = r["below"]
             if r["n"] == 1:  # the row at the cut goes to the nearer side
-                take = 2 * below + r["bytes"] < 2 * s["goal"]
-                s["node"].cut = self_cut(s, r, take)
-            elif r["low"] < r["high"]:
+                row = (*s["fixed"], r["low"], *(r["id0"], r["uid0"])[len(s["fixed"]):])
+                s["node"].cut = row if 2 * r["below"] + r["bytes"] < 2 * s["goal"] else (*row[:-1], row[-1] - 1)
+                continue
+            if r["low"] < r["high"]:
                 s["range"] = (r["low"], r["high"])
-                ahead.append(s)
             else:
                 s["fixed"] += (r["low"],)
                 s["range"] = (r["id0"], r["id1"]) if len(s["fixed"]) == 1 else (r["uid0"], r["uid1"])
-                ahead.append(s)
+            ahead.append(s)
         search = ahead
 
 
-def self_cut(s: dict, r, take: bool) -> tuple[int, ...]:
-    """The cut just after (``take``) or just before the single row of range ``r``."""
-    row = (*s["fixed"], r["low"], *(r["id0"], r["uid0"])[len(s["fixed"]):])
-    return row if take else (*row[:-1], row[-1] - 1)
+def kd_leaves(rows: DataFrame, dims: list[str], shards: int) -> DataFrame:
+    """``rows`` (dimensions, t_size, t_id, t_uid) with ``t_node``, the shard; one level of splits at a time."""
+    ends = rows.agg(*[F.coalesce(F.max(c) - F.min(c), F.lit(0)).alias(c) for c in dims]).first().asDict()
+    keys, placed, level, depth = F.array(*dims, "t_id", "t_uid"), rows.withColumn("t_node", F.lit(0).cast("long")), [Node(0, shards)], 0
+    while level := [n for n in level if n.shards > 1]:
+        _find_cuts(placed, level, dims, ends)
+        placed = _apply_cuts(placed, level, keys)
+        level = [side for n in level for side in (Node(n.first, n.shards // 2), Node(n.first + n.shards // 2, n.shards - n.shards // 2))]
+        depth += 1
+        if depth % LEVELS == 0:  # no longer chains of joins than this
+            placed = written(placed, "levels")
+    return placed
 
 
-def kd_tree(rows: DataFrame, dims: list[str], shards: int) -> Node:
-    """The tree over ``rows`` (dimensions, t_size, t_id, t_uid), one level of splits at a time."""
-    root = Node(0, shards)
-    ends = rows.agg(*[(F.coalesce(F.max(c) - F.min(c), F.lit(0))).alias(c) for c in dims]).first()
-    level = [root]
-    while level := [n for n in level if n.shards > 1]:
-        _split_level(rows, root, level, dims, ends.asDict())
-        level = [side for n in level for side in n.sides]
-    return root
+def order_key(doc_id: Column) -> Column:
+    """A whole number that ids are ordered by: the id itself, of other ids a hash; the least one for null."""
+    number = doc_id.cast("string").try_cast("long")
+    return F.when(doc_id.isNull(), LEAST).otherwise(F.coalesce(number, F.shiftright(F.xxhash64(doc_id.cast("string")), 2)))
 
 
 def kd_shards(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot (gapless from 0 inside a shard, by doc_id).
 
     Give ``shards`` or the ``target_bytes`` of a leaf. Null texts count 8 bytes and
-    CRC 0; a null id sorts first; repeated rows and ties are told apart by a row
+    CRC 0; a null id sorts first; ids that are no whole numbers are ordered by a hash; repeated rows and ties are told apart by a row
     number; an empty table gives an empty result; other columns are not read.
     """
     dims = metadata(docs)
     lean = written(docs.select("doc_id", document_size(F.col("text")).alias("t_size"),
                                F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-                               F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("t_id"),
+                               order_key(F.col("doc_id")).alias("t_id"),
                                F.monotonically_increasing_id().alias("t_uid"), *[e.alias(f"d_{c}") for c, e in dims.items()]), "metadata")
     if target_bytes:
         shards = max(1, math.ceil((lean.agg(F.sum("t_size")).first()[0] or 0) / target_bytes))
-    tree = kd_tree(lean, [f"d_{c}" for c in dims], shards)
-    dealt = lean.select("doc_id", F.col("t_size").alias("size"), "text_crc32", "t_id", "t_uid", _leaf(tree).cast("int").alias("shard"))
+    dealt = kd_leaves(lean, [f"d_{c}" for c in dims], shards)
+    dealt = dealt.select("doc_id", F.col("t_size").alias("size"), "text_crc32", "t_id", "t_uid", F.col("t_node").cast("int").alias("shard"))
     return ranked(dealt, ["shard"], ["t_id", "t_uid"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 

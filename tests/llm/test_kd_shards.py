@@ -64,3 +64,12 @@ def test_edge_rows(spark):
     assert K.kd_shards(empty(spark)).count() == 0
     out = K.contract(found)
     assert {r["law"] for r in out.collect()} == {"bytes"} and out.columns[-1] == "grown_shard"
+
+
+def test_text_ids_and_many_leaves(spark):
+    rows = [(f"doc-{i}" if i % 3 else None, "x" * (i % 50), f"s{i % 5}") for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    p = check([tuple(r) for r in K.kd_shards(d, 500).collect()], 500)
+    assert sorted(p.doc_id, key=str) == sorted((r[0] for r in rows), key=str)
+    sizes = p.groupby("shard")["size"].sum()
+    assert len(sizes) == 500 and sizes.max() - sizes.min() < 2 * 58
