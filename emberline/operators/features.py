@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import feature_sets as FS
@@ -310,25 +310,36 @@ WIDE_SET_SIZE = 50
 # end of fixed values
 
 
-def wide_numeric(df: DataFrame, target: str = "rank_tz") -> list[str]:
-    """Numeric columns that are neither the target nor a proxy of it, nor bookkeeping, flags or marks."""
-    def usable(c: str) -> bool:
-        low = c.lower()
-        return not (c == target or c in PROXY_COLUMNS or c in META_COLUMNS or any(p in low for p in PROXY_PATTERNS)
-                    or low.startswith(("synthetic_", "_", "flag_")) or low.endswith("_invalid"))
+def experiment_sets(df: DataFrame, target: str = "rank_tz") -> DataFrame:
+    """(feature_set, position, feature), position from 1: the seven feature sets of an experiment.
 
-    return [c for c in numeric_columns(df) if usable(c)]
+    A query over schema rows: five sets are unions of stage sets and late columns in
+    order, two are the numeric columns that no rule takes for the target, its proxies,
+    bookkeeping or marks.
+    """
+    spark = df.sparkSession
+    fields = spark.createDataFrame([(i, c, c in numeric_columns(df)) for i, c in enumerate(df.columns)], "place int, feature string, is_number boolean")
+    barred = "|".join(PROXY_PATTERNS) + "|^synthetic_|^_|^flag_|_invalid$"
+    wide = fields.where(F.col("is_number") & ~F.col("feature").isin(target, *PROXY_COLUMNS, *META_COLUMNS) & ~F.lower("feature").rlike(barred))
+    stages = [("features_10_dispatch", "dispatch_initial_safe", []), ("features_13_arrival", "arrival_update_safe", []),
+              ("features_15_first_hose", "first_hose_update_safe", []), ("features_19_retrospective_time", "first_hose_update_safe", LATE_TIMES),
+              ("features_35_enhanced_retrospective", "enhanced_tactical", LATE_ENHANCED)]
+    named = spark.createDataFrame([(name, i, c) for name, stage, late in stages for i, c in enumerate([*FS.CONTRACT_SETS[stage][0], *late])],
+                                  "feature_set string, place int, feature string")
+    every = wide.select(F.explode(F.array(F.lit("features_50_wide_no_target"), F.lit("features_all_known_numeric"))).alias("feature_set"), "place", "feature")
+    # U3 on rows: each name once, where it comes first.
+    firsts = named.unionByName(every).groupBy("feature_set", "feature").agg(F.min("place").alias("place"))
+    placed = firsts.select("feature_set", F.row_number().over(Window.partitionBy("feature_set").orderBy("place")).alias("position"), "feature")
+    return placed.where((F.col("feature_set") != "features_50_wide_no_target") | (F.col("position") <= WIDE_SET_SIZE))
 
 
 def experiment_feature_sets(df: DataFrame, target: str = "rank_tz") -> dict[str, list[str]]:
-    """the seven feature sets of an experiment, from the stage sets and the table's numeric columns."""
-    dispatch, arrival, hose, enhanced = (FS.CONTRACT_SETS[n][0] for n in (
-        "dispatch_initial_safe", "arrival_update_safe", "first_hose_update_safe", "enhanced_tactical"))
-    wide = wide_numeric(df, target)
-    return {"features_10_dispatch": list(dispatch), "features_13_arrival": list(arrival), "features_15_first_hose": list(hose),
-            "features_19_retrospective_time": ordered_union(hose, LATE_TIMES),
-            "features_35_enhanced_retrospective": ordered_union(enhanced, LATE_ENHANCED),
-            "features_50_wide_no_target": wide[:WIDE_SET_SIZE], "features_all_known_numeric": wide}
+    """The sets of ``experiment_sets`` as lists, by name; sets without a column are empty lists."""
+    found = {n: [] for n in ("features_10_dispatch", "features_13_arrival", "features_15_first_hose", "features_19_retrospective_time",
+                             "features_35_enhanced_retrospective", "features_50_wide_no_target", "features_all_known_numeric")}
+    for r in experiment_sets(df, target).orderBy("feature_set", "position").collect():
+        found[r["feature_set"]].append(r["feature"])
+    return found
 
 
 def ordered_union(*column_lists: list[str]) -> list[str]:

@@ -32,5 +32,5 @@ def register(name: str, sql: str | Callable[[], str] | None = None, ids: tuple[s
 def all_queries() -> dict[str, Query]:
     # importing the catalogue modules fills the registry
     from . import (catalog_clean, catalog_eval, catalog_features, catalog_ml, catalog_relational,  # noqa: F401
-                   catalog_streaming, catalog_io, catalog_explore, catalog_sheets, catalog_reduce, catalog_store)
+                   catalog_streaming, catalog_io, catalog_explore, catalog_sheets, catalog_reduce, catalog_store, catalog_profile)
     return dict(_REGISTRY)
