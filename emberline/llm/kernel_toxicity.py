@@ -183,7 +183,7 @@ def _landmark_tables(landmarks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np
             at.append(j)
             key.append(k)
             weight.append(v / norm)
-    return np.array(at), np.array(key), np.array(weight)
+    return np.array(at, np.int64), np.array(key, np.int64), np.array(weight, np.float64)
 
 
 def _kernel(words: list[bytes], marks: tuple[np.ndarray, np.ndarray, np.ndarray], m: int) -> np.ndarray:
