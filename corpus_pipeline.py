@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the stage before
 kept; its rows are written as Parquet and reread. All but the last return the columns
-of ``documents``. Part of the training-data operators in ``emberline/llm``.
+of ``documents``, further ones and ones whose names clash with the stages' own included.
+Empty tables give empty results; nulls in columns that a stage does not read pass through. Part of the training-data operators in ``emberline/llm``.
 """
 
 from __future__ import annotations
@@ -13,27 +14,42 @@ from emberline.llm import common, kd_shards, kernel_toxicity, mixing, simhash_an
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the string-kernel machine, fitted on the learnable labels, does not reject."""
+    """Documents that the string-kernel machine, fitted on the learnable labels, does not reject.
+
+    Null and empty texts hold no insult and stay; labels without id or label are not learnt from.
+    """
     return kernel_toxicity.drop_toxic(docs, common.read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
+    """One document of each SimHash component.
+
+    Texts without words, null ones too, share the fingerprint zero and count as copies of each other; of repeated rows one stays.
+    """
     return simhash_anchors.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than 5 % of the words are in benchmark windows."""
+    """Documents of which less than 5 % of the words are in benchmark windows.
+
+    Texts without words stay; null items are ignored.
+    """
     return winnowing.drop_contaminated(docs, common.read_table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to target weights emits them."""
+    """Documents as often as the mix to target weights emits them.
+
+    Rows without words have size 0 and no copies; a null source is a source of its own, the last one.
+    """
     return mixing.mix(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every emitted document."""
+    """Shard and slot of every emitted document.
+
+    Copies share id and text and are told apart by row; a null id sorts first, a null text counts 8 bytes.
+    """
     return kd_shards.contract(kd_shards.kd_shards(docs))
 
 
