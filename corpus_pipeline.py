@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix to target weights emits them.
 
-    Rows without words have size 0 and no copies; a null source is a source of its own, the last one.
+    Texts without words have size 0; a null source is a source of its own, the last one; a source without any word emits nothing.
     """
     return mixing.mix(docs)
 
