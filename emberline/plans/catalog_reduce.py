@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import learning as L
+from ..session import written
 from . import catalog_eval as CE
 from . import catalog_explore as CX
 from . import incidents as V
@@ -25,11 +26,11 @@ def _w(chain, select: str) -> str:
     return B.with_(*chain) + select
 
 
-def _tree_probs(spark, sf):
+def _tree_probs(p):
     def tree(power: float):
         return L.scaled(F.transform("probability", lambda x: F.pow(x, F.lit(power))))
 
-    p, trees = CE._pred(spark, sf), [tree(t) for t in _POWERS]
+    trees = [tree(t) for t in _POWERS]
     return p.select(*K, F.array(*trees).alias("tree_probs"))
 
 
@@ -52,7 +53,11 @@ _M16 = ["mean_prob_class", "std_prob_class", "ci_lower_prob", "ci_upper_prob", "
 @register("m16_tree_reduction", sql=_m16_sql, ids=("M16",))
 def m16_tree_reduction(spark, sf):
     """Class, mean, spread, quantiles and entropy over five stand-in trees of every prediction."""
-    r = L.reduce_tree_probabilities(_tree_probs(spark, sf), K)
+    return _reduced(written(CE._pred(spark, sf), "pred"))
+
+
+def _reduced(pred):
+    r = L.reduce_tree_probabilities(_tree_probs(pred), K)
     return r.select(*K, "predicted_class", "predicted_rank", *[F.round(c, 6).alias(c) for c in _M16])
 
 
@@ -60,8 +65,9 @@ def m16_tree_reduction(spark, sf):
           "SELECT sheet_ord, row_id, t3.cls AS top1_class, t3.probability AS top1_prob, m16.mean_prob_class, m16.entropy FROM t3 JOIN m16 USING (sheet_ord, row_id) WHERE position = 1"))
 def m18_confidence_join(spark, sf):
     """Top-1 predictions joined by row key with the uncertainty over trees."""
-    top = CE.t3_top_k(spark, sf).where("position = 1").select(*K, F.col("cls").alias("top1_class"), F.col("probability").alias("top1_prob"))
-    return top.join(m16_tree_reduction(spark, sf).select(*K, "mean_prob_class", "entropy"), K)
+    pred = written(CE._pred(spark, sf), "pred")
+    top = E.top_k(pred, K, 3).where("position = 1").select(*K, F.col("cls").alias("top1_class"), F.col("probability").alias("top1_prob"))
+    return top.join(_reduced(pred).select(*K, "mean_prob_class", "entropy"), K)
 
 
 @register("m17_value_reduction", ids=("M17",), sql=lambda: _w(V.sql_stage1() + [

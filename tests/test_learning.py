@@ -135,3 +135,13 @@ def test_predictions_round_trip(spark, rows, tmp_path):
     path = IO.write_predictions(top, str(tmp_path / "p"), {"model": "tree", "k": 3, "words": "ранг"})
     back, meta = IO.read_predictions(spark, path, T.StructType([T.StructField(f.name, f.dataType) for f in top.schema]))
     assert meta == {"model": "tree", "k": 3, "words": "ранг"} and sorted(map(tuple, back.collect())) == sorted(map(tuple, top.collect()))
+
+
+def test_work_per_row_of_the_reductions(spark):
+    """A sum over trees is worked out once a row: each level of arrays is a column of its own, made by one Generate."""
+    probs = spark.range(1).select("id", F.array(*[F.array(*[F.lit((i + j) / 30.0) for j in range(6)]) for i in range(5)]).alias("tree_probs"))
+    plan = L.reduce_tree_probabilities(probs, ["id"])._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") <= 6 and plan.count("array_sort(") == 1
+    r = L.reduce_tree_probabilities(probs, ["id"]).first()
+    assert r["mean_prob_class"] == pytest.approx(7 / 30) and r["std_prob_class"] == pytest.approx(2 ** 0.5 / 30)
+    assert L.reduce_tree_values(spark.range(1).select("id", F.array(F.lit(3.0), F.lit(1.0), F.lit(2.0)).alias("tree_values")), ["id"]).first()["std"] == pytest.approx((2 / 3) ** 0.5)
