@@ -53,6 +53,8 @@ def robust_summary(df: DataFrame, columns: list[str], by: list[str] | None = Non
     """
     by = list(by or [])
     keys = ["column", *by]
+    # Read by three passes: written, so that what it comes from is worked out once.
+    df = written(df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns if c not in by]), "summary")
     long = _long(df, columns, by)
     base = long.groupBy(*keys).agg(
         F.count("value").alias("count"), F.count_if(F.col("value").isNull()).alias("missing"),
@@ -162,7 +164,7 @@ def dense_ranks(df: DataFrame, column: str, by: list[str] | None = None) -> Data
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Spearman rho over pairwise-complete rows (average ranks, then Pearson)."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    both = written(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("_a"), F.col(b).alias("_b")), "pairs")
     ra = average_ranks(both, "_a").withColumnRenamed("value", "_a").withColumnRenamed("avg_rank", "ra")
     rb = average_ranks(both, "_b").withColumnRenamed("value", "_b").withColumnRenamed("avg_rank", "rb")
     ranked = both.join(ra, "_a").join(rb, "_b")

@@ -8,6 +8,7 @@ from .. import feature_sets as FS
 from .. import schema as S
 from ..operators import profiling as P
 from ..operators.cleaning import period_group
+from ..session import written
 from . import incidents as V
 from . import sqlblocks as B
 from .registry import register
@@ -275,9 +276,14 @@ def _split_sql(protocol: str) -> str:
     raise ValueError(protocol)
 
 
+def _split_rows(spark, sf):
+    """What splits read, written once: a protocol reads its rows for the cut and again for the sides."""
+    return written(V.labelled(spark, sf).select(*K, "event_id", "fire_date", "source_sheet", "rank_tz"), "labelled")
+
+
 def _split_build(protocol: str):
     def build(spark, sf):
-        lab = V.labelled(spark, sf)
+        lab = _split_rows(spark, sf) if protocol != SP.ROW_RANDOM else V.labelled(spark, sf)
         return SP.split(lab, protocol, 0.25, 42, label_col="rank_tz").select(*K, "is_test")
     build.__doc__ = f"{protocol} split (hash of key and seed; exact test-group count via order statistic)."
     return build
@@ -307,8 +313,7 @@ def _m2_sql():
 @register("m2_split_passport", sql=_m2_sql, ids=("M2", "U2"))
 def m2_split_passport(spark, sf):
     """Split passport of the group split: event overlap (must be 0), event counts, date ranges."""
-    lab = V.labelled(spark, sf)
-    s = SP.split(lab, "group_shuffle", 0.25, 42)
+    s = written(SP.split(_split_rows(spark, sf), "group_shuffle", 0.25, 42), "split")
     return SP.passport(s, "group_shuffle")
 
 
