@@ -70,6 +70,17 @@ def test_calibration_sums_to_one_and_keeps_accuracy(rows):
         assert all(abs(sum(r["probability"]) - 1) < 1e-9 for r in pred.collect())
 
 
+def test_calibrations_share_their_fits(rows, monkeypatch):
+    train, test = parts(rows)
+    params = {"max_depth": 5, "min_samples_leaf": 5}
+    base, scores = L.fit_filled(train, FEATS, "decision_tree", params), L.out_of_fold(train, FEATS, "decision_tree", params)
+    assert scores.count() == train.count()
+    monkeypatch.setattr(L, "fit_filled", None)  # nothing is fitted again
+    for method in ("sigmoid", "isotonic"):
+        pred = L.calibrate(train, FEATS, "decision_tree", params, method, scores=scores, base=base).predict(test, ["id"])
+        assert E.passport_values(pred)["accuracy"] > 0.9
+
+
 @pytest.mark.parametrize("kind", ["random_forest", "decision_tree"])
 def test_regressors_hold_out(rows, kind):
     train, test = parts(rows.where("a is not null"))
