@@ -130,6 +130,20 @@ def test_uncertainty_over_trees_against_plain(rows):
         assert got[r["id"]]["std_prob_class"] == pytest.approx(p.std(axis=0).max()) and got[r["id"]]["n_trees"] == 7
 
 
+def test_confidence_is_over_all_trees(rows, monkeypatch):
+    from emberline.plans import catalog_ml as CM
+
+    train, test = parts(rows)
+    m = L.fit_filled(train, FEATS, "random_forest", {"n_estimators": 33, "max_depth": 3})
+    some = test.where("id < 60").withColumns({"sheet_ord": F.lit(1), "row_id": F.col("id")})
+    monkeypatch.setattr(CM, "fitted", lambda *_: (m, some))
+    got = {r["row_id"]: r for r in CM.m18_prediction_with_confidence(None, "").collect()}
+    assert len(got) == some.count()
+    for r in m.model.stages[0].transform(m.filled(some)).select("row_id", "features").collect():
+        p = np.array([t.predictProbability(r["features"]).toArray() for t in m.model.stages[-1].trees])
+        assert got[r["row_id"]]["n_trees"] == 33 and got[r["row_id"]]["std_prob_class"] == pytest.approx(p.std(axis=0).max())
+
+
 def test_subsets_segments_and_components(rows):
     study = L.subset_study(rows, FEATS, max_size=2, trees=5).collect()
     assert len(study) == 3 and study[0]["features"] == "a,b"
