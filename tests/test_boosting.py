@@ -94,3 +94,42 @@ def test_degenerate_rows(spark):
     assert [list(r["p"]) for r in model.transform(one).select(vector_to_array("probability").alias("p")).collect()] == [[1.0], [1.0]]
     with pytest.raises(ValueError):
         B.SoftmaxBoosting(maxIter=2).fit(one.where("id < 0"))
+
+
+def test_against_rest_is_sparks_boosting(spark):
+    """Features of few values, so that both see the same bins: margins of Spark's own boosting of each class against the others."""
+    from pyspark.ml.classification import GBTClassifier
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        x = [float(rng.randrange(6)), float(rng.randrange(5)), float(rng.randrange(3))]
+        rows.append((i, x, int(x[0] > 2) + int(x[1] > 3 and x[2] > 0) if rng.random() > 0.1 else rng.randrange(3), 1.0 + rng.randrange(2)))
+    df = spark.createDataFrame(rows, "id long, x array<double>, label int, weight double").select("id", array_to_vector("x").alias("features"), "label", "weight").persist()
+    model = B.AgainstRestBoosting(weightCol="weight", maxIter=6, maxDepth=3, maxLeaves=8, minInstancesPerNode=1, stepSize=0.1, maxBins=32).fit(df.repartition(3))
+    got = {r["id"]: r["m"] for r in model.transform(df).select("id", vector_to_array("rawPrediction").alias("m")).collect()}
+    for c in range(3):
+        one = GBTClassifier(labelCol="mine", weightCol="weight", maxIter=6, maxDepth=3, stepSize=0.1, maxBins=32).fit(df.withColumn("mine", (F.col("label") == c).cast("double")))
+        for r in one.transform(df.withColumn("mine", F.lit(0.0))).select("id", vector_to_array("rawPrediction").alias("m")).collect():
+            assert abs(got[r["id"]][c] - r["m"][1]) < 1e-6
+    df.unpersist()
+
+
+def test_sums_of_many_parts_are_those_of_few(spark, monkeypatch):
+    df = table(spark, 200)
+    fit = lambda: B.SoftmaxBoosting(maxIter=2, minInstancesPerNode=5).fit(df.repartition(5))
+    few = fit()
+    monkeypatch.setattr(B, "FEW_PARTS", 2)
+    assert np.allclose(fit().losses, few.losses)
+
+
+def test_registered_boostings_are_whole(monkeypatch):
+    """300 rounds of depth 8, and all 255 bins where the estimator takes them."""
+    from emberline.plans import catalog_ml as CM
+
+    asked = []
+    monkeypatch.setattr(CM, "fitted", lambda *a, **_: asked.append(a) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        CM.m6_gradient_boosting_ovr(None, "")
+    assert asked[0][2:] in [("gradient_boosting",), ("gradient_boosting", {"max_iter": 300, "max_depth": 8})]
+    assert {**{"maxBins": 255}, **CM.BOOSTING} == {"maxIter": 300, "maxDepth": 8, "maxLeaves": 31, "minInstancesPerNode": 20, "stepSize": 0.05, "maxBins": 255}
