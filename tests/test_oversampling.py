@@ -86,3 +86,32 @@ def test_nothing_to_add(spark):
     assert out.count() == 60 and not out.where("synthetic").count()
     with pytest.raises(ValueError):
         L.oversample(df, "id", "cls", ["x"], plan, "other")
+
+
+def test_near_rows_come_from_stretches_of_bounded_size(spark, monkeypatch):
+    """The nearest of the rows beside each row in any order, across the ends of stretches, with keys and points that come twice, missing values and missing groups;
+    no more than k rows an order and row leave a task."""
+    rng = np.random.default_rng(2)
+    rows = [(int(i % 90), None if i % 5 == 0 else int(i % 2), float(round(p[0], 1)), None if i == 7 else float(p[1])) for i, p in enumerate(rng.normal(size=(100, 2)))]
+    df = spark.createDataFrame(rows, "id long, cls int, x double, y double")
+    monkeypatch.setattr(L, "STRETCH", 16)
+    index = L.neighbour_index(df, "id", ["x", "y"], 3, ["cls"], projections=2, width=2)
+    index = L.NeighbourIndex(index.key, index.by, index.orders, 2, 0.0)
+    want: dict = {}
+    for order in index.orders:
+        group: dict = {}
+        for r in order.collect():
+            group.setdefault(r["cls"], []).append(r)
+        for own in group.values():
+            own.sort(key=lambda r: r["at_"])
+            for i, r in enumerate(own):
+                for o in own[max(0, i - 2):i] + own[i + 1:i + 3]:
+                    gap = None if None in (*r["x_"], *o["x_"]) else float(np.sqrt(sum((a - b) ** 2 for a, b in zip(r["x_"], o["x_"]))))
+                    want.setdefault(r["key_"], set()).add((-1.0 if gap is None else gap, o["key_"]))
+    got: dict = {}
+    for r in index.near(3).collect():
+        got.setdefault(r["id"], []).append((-1.0 if r["d"] is None else r["d"], r["near"]))
+    assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v)[:3] for i, v in want.items()}
+    one = index.orders[0].select("cls", "key_", "x_", "at_", F.lit(True).alias("asked_"), F.lit(0).cast("long").alias("b_"))
+    few = one.groupBy("cls").applyInArrow(L._nearest(3, 50, 1000), "key_ long, near long, d double")
+    assert few.count() <= 3 * 100
